@@ -97,16 +97,20 @@ def audit_metrics(
     pairs: bool = True,
     history: bool = True,
     privileged: dict | None = None,
+    secondary: dict | None = None,
 ) -> DataFrame:
     """All metrics of every key and protected attribute, one judged row each.
 
     ``rows`` carries the keys, the attributes, y_true, y_pred, y_score and the
     ``order`` columns. Only the cube, the pair score and the time windows touch
     rows; the cube is written once and the rest derives from it. Keys below the
-    minimum sample are left out (see ``cube.sample_gate``)."""
+    minimum sample are left out (see ``cube.sample_gate``). ``secondary`` overrides
+    the second axis of the intersectional score per attribute."""
     keys, attributes = list(keys), cube.present_attributes(rows, attributes)
     ids = [*keys, "attribute", "attribute_ord"]
-    joint = materialize(cube.joint_cube(rows, keys, attributes), "joint-cube")
+    axes = {**second_axes(attributes, compat), **(secondary or {})}
+    extra = [a for a in dict.fromkeys(axes.values()) if a not in (*attributes, "y_true")]
+    joint = materialize(cube.joint_cube(rows, keys, [*attributes, *extra]), "joint-cube")
     groups = cube.group_cube(joint, keys, attributes)
     frame = cube.audit_frame(groups, keys, privileged).where(F.col("sample_size") >= minimum)
     sided = cube.with_sides(groups, frame, keys)
@@ -127,7 +131,7 @@ def audit_metrics(
         facts.join(M.group_metrics(sided, ids), ids)
         .join(M.calibration_gap(bins, ids), ids, "left")
         .join(
-            M.intersectional_bias(joint, keys, attributes, second_axes(attributes, compat)),
+            M.intersectional_bias(joint, keys, attributes, axes),
             ids,
             "left",
         )

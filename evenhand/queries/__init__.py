@@ -21,4 +21,4 @@ def query(oracle: str | None = None):
 
 
 def load_all() -> None:
-    from evenhand.queries import audits, ingest, privacy  # noqa: F401
+    from evenhand.queries import audits, drift, ingest, privacy, reports  # noqa: F401

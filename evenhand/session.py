@@ -3,7 +3,7 @@
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -36,3 +36,12 @@ def utc(spark: SparkSession) -> SparkSession:
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
+
+
+def sized_broadcast(df: DataFrame, label: str, max_rows: int = 200_000) -> DataFrame:
+    """Write a per-key table once and mark it for broadcast if its row count allows.
+
+    Beyond ``max_rows`` it is returned unmarked and joins by shuffle, where
+    adaptive execution splits hot keys."""
+    table = materialize(df, label)
+    return F.broadcast(table) if table.count() <= max_rows else table
