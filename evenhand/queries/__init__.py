@@ -21,4 +21,12 @@ def query(oracle: str | None = None):
 
 
 def load_all() -> None:
-    from evenhand.queries import audits, drift, ingest, privacy, reports  # noqa: F401
+    from evenhand.queries import (  # noqa: F401
+        audits,
+        drift,
+        ingest,
+        mitigation,
+        monitoring,
+        privacy,
+        reports,
+    )
