@@ -147,8 +147,8 @@ def thresholds() -> dict:
     return known
 
 
-def group_metrics(sided: DataFrame, keys, names=None, replicate: bool = False) -> DataFrame:
-    """Wide table, one column per metric, one row per key and attribute.
+def group_metric_columns(names=None, replicate: bool = False) -> list:
+    """Aggregate columns of the registered metrics.
 
     ``replicate`` applies the small-side rule that holds for resamples only."""
     columns = []
@@ -160,7 +160,12 @@ def group_metrics(sided: DataFrame, keys, names=None, replicate: bool = False) -
             smaller = F.least(side("n", True), side("n", False))
             value = F.when(smaller < m.side_minimum, F.lit(0.0)).otherwise(value)
         columns.append(value.alias(m.name))
-    return sided.groupBy(*keys).agg(*columns)
+    return columns
+
+
+def group_metrics(sided: DataFrame, keys, names=None, replicate: bool = False) -> DataFrame:
+    """Wide table, one column per metric, one row per key and attribute."""
+    return sided.groupBy(*keys).agg(*group_metric_columns(names, replicate))
 
 
 def calibration_gap(bins: DataFrame, keys) -> DataFrame:
@@ -204,7 +209,7 @@ def intersectional_bias(joint: DataFrame, keys, attributes, secondary) -> DataFr
     )
 
 
-def breach(name="name", value="value") -> Column:
+def breach(value="value") -> Column:
     """Strict comparison of the unrounded value with its threshold."""
     below = F.col("breached_below")
     return F.when(below, F.col(value) < F.col("threshold")).otherwise(
@@ -231,26 +236,36 @@ def metric_severity() -> Column:
     )
 
 
-def long_metrics(wide: DataFrame, id_columns, names=None) -> DataFrame:
-    """Unpivot wide metrics into one judged row per metric.
-
-    Adds order, threshold, breach and severity; ``wide`` must carry p_value."""
+def judge(long: DataFrame) -> DataFrame:
+    """Add order, threshold, breach and severity to rows of name, value and p_value."""
     limits, order = thresholds(), metric_order()
-    names = [n for n in order if n in wide.columns and (not names or n in names)]
-    rows = F.array(
+    known = F.create_map(
         *[
-            F.struct(
-                F.lit(order.index(n) + 1).alias("metric_ord"),
-                F.lit(n).alias("name"),
-                F.col(n).cast("double").alias("value"),
-                F.lit(float(limits[n][0])).alias("threshold"),
-                F.lit(limits[n][1]).alias("breached_below"),
+            x
+            for n in order
+            for x in (
+                F.lit(n),
+                F.struct(
+                    F.lit(order.index(n) + 1).alias("metric_ord"),
+                    F.lit(float(limits[n][0])).alias("threshold"),
+                    F.lit(limits[n][1]).alias("breached_below"),
+                ),
             )
-            for n in names
         ]
     )
     return (
-        wide.select(*id_columns, "p_value", F.inline(rows))
+        long.withColumn("_known", known[F.col("name")])
+        .select("*", "_known.*")
+        .drop("_known")
         .withColumn("breached", breach())
         .withColumn("severity", metric_severity())
     )
+
+
+def long_metrics(wide: DataFrame, id_columns, names=None) -> DataFrame:
+    """Unpivot wide metrics into one judged row each; ``wide`` must carry p_value."""
+    names = [n for n in metric_order() if n in wide.columns and (not names or n in names)]
+    rows = F.array(
+        *[F.struct(F.lit(n).alias("name"), F.col(n).cast("double").alias("value")) for n in names]
+    )
+    return judge(wide.select(*id_columns, "p_value", F.inline(rows)))

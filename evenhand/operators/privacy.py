@@ -19,7 +19,8 @@ REST_SCAN_TYPES = {
     "PASSPORT": PASSPORT,
     "STREET_ADDRESS": STREET,
 }
-TOKEN_PATTERN = "|".join((EMAIL, SSN, PHONE))
+NUMBER_PATTERN = "|".join((SSN, PHONE))
+TOKEN_PATTERN = "|".join((EMAIL, NUMBER_PATTERN))
 
 # A JSON string literal, with the colon if it is a key, once escaped backslashes
 # and quotes are out of the way. Control characters cannot occur in JSON text,
@@ -51,7 +52,21 @@ def token(match, key: str) -> F.Column:
 
 def tokenise(text, key: str) -> F.Column:
     """Text with e-mail addresses, phone and social security numbers as tokens."""
-    return replace_matches(text, TOKEN_PATTERN, lambda m: token(m, key))
+    text = F.col(text) if isinstance(text, str) else text
+
+    def replaced(pattern):
+        return replace_matches(text, pattern, lambda m: token(m, key))
+
+    # most texts hold no address, and only an address needs the slow pattern
+    return F.when(text.contains("@"), replaced(TOKEN_PATTERN)).otherwise(replaced(NUMBER_PATTERN))
+
+
+def matches(text: str, pattern: str) -> F.Column:
+    """All matches in a text column."""
+    found = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
+    if pattern != EMAIL:
+        return found
+    return F.when(F.col(text).contains("@"), found).otherwise(F.array().cast("array<string>"))
 
 
 def mask(text, pattern: str = SSN) -> F.Column:
@@ -106,7 +121,7 @@ def scan_text(rows: DataFrame, ids, text: str, types: dict | None = None) -> Dat
         *[
             F.struct(
                 F.lit(name).alias("info_type"),
-                F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)).alias("quotes"),
+                matches(text, pattern).alias("quotes"),
             )
             for name, pattern in types.items()
         ]
@@ -130,7 +145,7 @@ def scan_summary(rows: DataFrame, text_columns, day=None, types: dict | None = N
             F.struct(
                 F.lit(name).alias("info_type"),
                 F.lit(c).alias("column_name"),
-                F.size(F.regexp_extract_all(F.col(c), F.lit(pattern), F.lit(0))).alias("hits"),
+                F.size(matches(c, pattern)).alias("hits"),
             )
             for c in text_columns
             for name, pattern in types.items()

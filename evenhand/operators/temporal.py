@@ -1,52 +1,89 @@
 """Temporal drift of the group gap over row-count windows in time order."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from evenhand.operators.cube import group_text, unpivot_attributes
 from evenhand.operators.drift import DRIFT_SLACK, cusum_of_array
-from evenhand.operators.scan import row_index
+from evenhand.operators.scan import row_index, running_before
+from evenhand.session import materialize, sized_broadcast
 
 SMALLEST_WINDOW = 50
+TIME_CELLS = 8192
 
 
-def overlapping_windows(indexed: DataFrame) -> DataFrame:
-    """Add ``first_window`` and ``last_window``: the windows holding each row.
+def overlapping_windows(rows, row_no) -> tuple:
+    """First and last window holding row ``row_no`` of ``rows`` rows.
 
     A window is a tenth of the rows (50 at least) and each starts half a window
     after the one before. Rows in no window get last < first."""
-    size = F.greatest(F.floor(F.col("key_rows") / 10), F.lit(SMALLEST_WINDOW))
+    size = F.greatest(F.floor(rows / 10), F.lit(SMALLEST_WINDOW))
     step = F.floor(size / 2)
-    return (
-        indexed.withColumn(
-            "first_window",
-            F.greatest(F.lit(0), F.ceil((F.col("row_no") - size + 1) / step)),
-        )
-        .withColumn(
-            "last_window",
-            F.least(
-                F.floor(F.col("row_no") / step),
-                # short input has no window at all
-                F.when(F.col("key_rows") >= size, F.floor((F.col("key_rows") - size) / step)).otherwise(-1),
-            ),
-        )
-    )
+    first = F.greatest(F.lit(0), F.ceil((row_no - size + 1) / step))
+    # short input has no window at all
+    newest = F.when(rows >= size, F.floor((rows - size) / step)).otherwise(-1)
+    return first.cast("long"), F.least(F.floor(row_no / step), newest).cast("long")
 
 
-def window_gaps(df: DataFrame, frame: DataFrame, keys, attributes, order) -> DataFrame:
-    """|selection rate gap| per window where both sides are present.
+def window_spans(df: DataFrame, keys, attributes, order, cells: int = TIME_CELLS) -> DataFrame:
+    """Row counts per (first window, last window, groups, prediction).
 
-    Rows shrink to counts per (first window, last window, groups) before they
-    are copied into their windows."""
+    The time range is cut into cells and counted in one pass. Running totals of
+    the cells tell which rows lie in which windows, except in the few cells with
+    a window edge inside; only the rows of those are put in exact order.
+    ``order`` is the time column and what settles equal times."""
+    micros = F.unix_micros(order[0])
+    low, high = df.agg(F.min(micros), F.max(micros)).first()
+    width = 1 if low is None else (high - low) // cells + 1
     rows = df.select(
-        *keys, *order, *[group_text(a).alias(a) for a in attributes], "y_pred"
+        *keys,
+        *order,
+        F.floor((micros - F.lit(low or 0)) / F.lit(width)).alias("cell"),
+        *[group_text(a).alias(a) for a in attributes],
+        "y_pred",
     )
-    spans = (
-        overlapping_windows(row_index(rows, keys, order))
+    dims = [*attributes, "y_pred"]
+    counts = materialize(
+        rows.groupBy(*keys, "cell", *dims).agg(F.count(F.lit(1)).alias("n")), "time-cells"
+    )
+    sizes = counts.groupBy(*keys, "cell").agg(F.sum("n").alias("cell_rows"))
+    placed = sizes.withColumn("cell_start", running_before("cell_rows", keys, ["cell"]).cast("long")).withColumn(
+        "key_rows", F.sum("cell_rows").over(W.partitionBy(*keys))
+    )
+
+    def windows_at(row):
+        found = overlapping_windows(F.col("key_rows"), row)
+        return F.struct(found[0].alias("first_window"), found[1].alias("last_window"))
+
+    placed = placed.withColumn("head", windows_at(F.col("cell_start"))).withColumn(
+        "tail", windows_at(F.col("cell_start") + F.col("cell_rows") - 1)
+    )
+    edge = F.col("head") != F.col("tail")
+    whole = counts.join(placed.where(~edge), [*keys, "cell"]).select(
+        *keys, "head.first_window", "head.last_window", *dims, "n"
+    )
+    # at most about three edges per window, sixty per key
+    split = sized_broadcast(
+        placed.where(edge).select(*keys, "cell", "cell_start", F.col("key_rows").alias("all_rows")), "edge-cells"
+    )
+    indexed = row_index(rows.join(split, [*keys, "cell"]), [*keys, "cell"], order)
+    first, last = overlapping_windows(F.col("all_rows"), F.col("cell_start") + F.col("row_no"))
+    edges = indexed.select(
+        *keys, first.alias("first_window"), last.alias("last_window"), *dims, F.lit(1).cast("long").alias("n")
+    )
+    return (
+        whole.unionByName(edges)
         .where("last_window >= first_window")
-        .groupBy(*keys, "first_window", "last_window", *attributes, "y_pred")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .groupBy(*keys, "first_window", "last_window", *dims)
+        .agg(F.sum("n").alias("n"))
     )
-    cells = unpivot_attributes(spans, attributes).withColumn(
+
+
+def window_gaps(
+    df: DataFrame, frame: DataFrame, keys, attributes, order, cells: int = TIME_CELLS
+) -> DataFrame:
+    """|selection rate gap| per window where both sides are present."""
+    spans = window_spans(df, keys, attributes, order, cells)
+    moved = unpivot_attributes(spans, attributes).withColumn(
         "window_no", F.explode(F.sequence("first_window", "last_window"))
     )
     ids = [*keys, "attribute", "attribute_ord"]
@@ -57,7 +94,7 @@ def window_gaps(df: DataFrame, frame: DataFrame, keys, attributes, order) -> Dat
         return F.sum(F.when(keep, F.col("n")).otherwise(F.lit(0)))
 
     return (
-        cells.join(frame.select(*ids, "privileged_group"), ids)
+        moved.join(frame.select(*ids, "privileged_group"), ids)
         .groupBy(*ids, "window_no")
         .agg(
             total(priv, False).alias("n_p"),

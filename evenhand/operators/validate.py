@@ -5,22 +5,23 @@ from pyspark.sql import DataFrame, functions as F
 from evenhand.schemas import USE_CASES
 from evenhand.sources.events import event_key, parse_events
 
-_REQUIRED_TEXT = {
-    "model_id": "event.model_id",
-    "model_version": "event.model_version",
-    "prediction.label": "event.prediction.label",
-    "session_context.tenant_id": "event.session_context.tenant_id",
-    "session_context.use_case": "event.session_context.use_case",
-}
-_UNIT_NUMBERS = {
-    "prediction.score": "event.prediction.score",
-    "prediction.threshold": "event.prediction.threshold",
-}
+_REQUIRED_TEXT = (
+    "model_id",
+    "model_version",
+    "prediction.label",
+    "session_context.tenant_id",
+    "session_context.use_case",
+)
+_UNIT_NUMBERS = ("prediction.score", "prediction.threshold")
 
 
 def _kind(path) -> F.Column:
     """JSON kind of a field: STRING, BIGINT, ..., VOID for null; null if absent."""
-    return F.schema_of_variant(F.try_variant_get("typed", f"$.{path}", "variant"))
+    return F.schema_of_variant(F.col(f"event.{path}"))
+
+
+def _text(path) -> F.Column:
+    return F.col(f"event.{path}").cast("string")
 
 
 def event_time(column) -> F.Column:
@@ -40,58 +41,73 @@ def validation_errors() -> F.Column:
     def rule(name, broken):
         rules.append(F.when(broken, F.lit(name)))
 
-    for path, column in _REQUIRED_TEXT.items():
-        value = F.col(column)
-        rule(f"{path}: required", value.isNull())
-        rule(f"{path}: not a string", value.isNotNull() & (_kind(path) != "STRING"))
-    rule("model_id: contains a space", F.col("event.model_id").contains(" "))
+    for path in _REQUIRED_TEXT:
+        rule(f"{path}: required", F.coalesce(_kind(path), F.lit("VOID")) == "VOID")
+        rule(f"{path}: not a string", ~_kind(path).isin("STRING", "VOID"))
+    rule("model_id: contains a space", _text("model_id").contains(" "))
     when = F.col("event.timestamp")
     rule("timestamp: required", when.isNull())
     rule("timestamp: not a time", when.isNotNull() & event_time("event.timestamp").isNull())
     features = F.col("event.features")
     rule("features: required", features.isNull())
     rule("features: not an object", features.isNotNull() & ~features.startswith("{"))
-    for path, column in _UNIT_NUMBERS.items():
-        text, number = F.col(column), F.col(column).try_cast("double")
+    for path in _UNIT_NUMBERS:
+        text = F.col(f"event.{path}")
+        number = text.try_cast("double")
         rule(f"{path}: required", text.isNull())
         rule(f"{path}: not a number", text.isNotNull() & (number.isNull() | F.isnan(number)))
         rule(f"{path}: outside 0..1", ~number.between(0.0, 1.0))
-    use_case = F.col("event.session_context.use_case")
-    rule("session_context.use_case: unknown", ~use_case.isin(*USE_CASES))
-    for path in ("event_id", "ground_truth"):
-        rule(f"{path}: not a string", ~_kind(path).isin("STRING", "VOID"))
+    rule("session_context.use_case: unknown", ~_text("session_context.use_case").isin(*USE_CASES))
+    rule("event_id: not a string", _kind("event_id") != "STRING")
+    rule("ground_truth: not a string", ~_kind("ground_truth").isin("STRING", "VOID"))
     return F.array_compact(F.array(*rules))
 
 
 def validate(messages: DataFrame, raw: str = "raw") -> DataFrame:
-    """Parse and judge messages: adds ``event``, ``errors`` and ``valid``."""
-    parsed = parse_events(messages, raw)
+    """Parse and judge messages: adds the event's fields, ``errors`` and ``valid``."""
     errors = F.when(F.col("corrupt"), F.array(F.lit("json: cannot be parsed"))).otherwise(
         validation_errors()
     )
+    judged = F.struct(
+        errors.alias("errors"),
+        _text("event_id").alias("event_id"),
+        _text("model_id").alias("model_id"),
+        _text("model_version").alias("model_version"),
+        event_time("event.timestamp").alias("timestamp"),
+        F.col("event.features").alias("features"),
+        _text("prediction.label").alias("prediction_label"),
+        F.col("event.prediction.score").try_cast("double").alias("prediction_score"),
+        F.col("event.prediction.threshold").try_cast("double").alias("prediction_threshold"),
+        _text("ground_truth").alias("ground_truth"),
+        F.coalesce("event.demographic_tags", F.array().cast("array<string>")).alias(
+            "demographic_tags"
+        ),
+        _text("session_context.tenant_id").alias("tenant_id"),
+        _text("session_context.use_case").alias("use_case"),
+    )
     # a generator again: the rules run once, whatever filters on their outcome
-    judged = parsed.select("*", F.inline(F.array(F.struct(errors.alias("errors")))))
-    return judged.withColumn("valid", F.size("errors") == 0).drop("typed")
+    return (
+        parse_events(messages, raw)
+        .select(*messages.columns, "corrupt", F.inline(F.array(judged)))
+        .withColumn("valid", F.size("errors") == 0)
+    )
 
 
 def flatten_valid(judged: DataFrame, ingested_at=None, raw: str = "raw", *position) -> DataFrame:
     """Valid events as rows of the predictions table."""
-    e = "event"
     return judged.where("valid").select(
-        F.coalesce(f"{e}.event_id", event_key(raw, *position)).alias("event_id"),
-        f"{e}.model_id",
-        f"{e}.model_version",
-        event_time(f"{e}.timestamp").alias("timestamp"),
-        f"{e}.features",
-        F.col(f"{e}.prediction.label").alias("prediction_label"),
-        F.col(f"{e}.prediction.score").cast("double").alias("prediction_score"),
-        F.col(f"{e}.prediction.threshold").cast("double").alias("prediction_threshold"),
-        f"{e}.ground_truth",
-        F.coalesce(f"{e}.demographic_tags", F.array().cast("array<string>")).alias(
-            "demographic_tags"
-        ),
-        F.col(f"{e}.session_context.tenant_id").alias("tenant_id"),
-        F.col(f"{e}.session_context.use_case").alias("use_case"),
+        F.coalesce("event_id", event_key(raw, *position)).alias("event_id"),
+        "model_id",
+        "model_version",
+        "timestamp",
+        "features",
+        "prediction_label",
+        "prediction_score",
+        "prediction_threshold",
+        "ground_truth",
+        "demographic_tags",
+        "tenant_id",
+        "use_case",
         (ingested_at if ingested_at is not None else F.current_timestamp()).alias("ingested_at"),
     )
 

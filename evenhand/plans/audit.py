@@ -113,10 +113,15 @@ def audit_metrics(
     joint = materialize(cube.joint_cube(rows, keys, [*attributes, *extra]), "joint-cube")
     groups = cube.group_cube(joint, keys, attributes)
     frame = cube.audit_frame(groups, keys, privileged).where(F.col("sample_size") >= minimum)
-    sided = cube.with_sides(groups, frame, keys)
+    # one row per group: everything below is small and starts from here
+    sided = materialize(cube.with_sides(groups, frame, keys), "sided-groups")
+    frame = sided.select(*ids, "privileged_group").distinct()
     bins = cube.score_bin_cube(joint, frame, keys, attributes)
+    if intervals:
+        bins = materialize(bins, "score-bins")
 
-    facts = sided.groupBy(*ids).agg(
+    names = [m.name for m in M.registered()]
+    core = sided.groupBy(*ids).agg(
         F.max("privileged_group").alias("privileged_group"),
         F.coalesce(
             F.min(F.when(~F.col("is_priv"), F.col("group_value"))), F.lit("unprivileged")
@@ -124,40 +129,46 @@ def audit_metrics(
         M.side("n", True).alias("privileged_size"),
         M.side("n", False).alias("unprivileged_size"),
         *chi_square_columns(),
+        *M.group_metric_columns(names),
     ).withColumn("p_value", p_value())
 
-    # sided is an inner join with the gated frame, so it also gates the others
-    wide = (
-        facts.join(M.group_metrics(sided, ids), ids)
-        .join(M.calibration_gap(bins, ids), ids, "left")
-        .join(
-            M.intersectional_bias(joint, keys, attributes, axes),
-            ids,
-            "left",
-        )
-        .na.fill({"calibration_gap": 0.0})
+    def part(df, name):
+        return df.select(*ids, F.lit(name).alias("name"), F.col(name).alias("found"))
+
+    found = part(M.calibration_gap(bins, ids), "calibration_gap").unionByName(
+        part(M.intersectional_bias(joint, keys, attributes, axes), "intersectional_bias_score")
     )
+    # what a metric is worth when there is nothing to compute it from
+    empty = {"calibration_gap": 0.0, "intersectional_bias_score": 0.0}
     if pairs:
-        wide = wide.join(individual_fairness(rows, keys, attributes).drop("pairs"), ids, "left")
-        wide = wide.na.fill({"individual_fairness_score": 1.0})
+        name = "individual_fairness_score"
+        found = found.unionByName(part(individual_fairness(rows, keys, attributes), name))
+        empty[name] = 1.0
     if history:
+        name = "temporal_drift_index"
         gaps = window_gaps(rows, frame, keys, attributes, list(order))
-        drift = temporal_drift(gaps, keys).select(*ids, "temporal_drift_index")
-        wide = wide.join(drift, ids, "left").na.fill({"temporal_drift_index": 0.0})
-
-    carried = [
-        "privileged_group",
-        "compared_group",
-        "privileged_size",
-        "unprivileged_size",
-    ]
-    long = M.long_metrics(wide, [*ids, *carried])
+        found = found.unionByName(part(temporal_drift(gaps, keys), name))
+        empty[name] = 0.0
+    carried = ["privileged_group", "compared_group", "privileged_size", "unprivileged_size", "p_value"]
+    rowed = F.array(
+        *[
+            F.struct(F.lit(n).alias("name"), v.cast("double").alias("value"))
+            for n, v in [*[(n, F.col(n)) for n in names], *[(n, F.lit(v)) for n, v in empty.items()]]
+        ]
+    )
+    long = (
+        core.select(*ids, *carried, F.inline(rowed))
+        .join(found, [*ids, "name"], "left")
+        .withColumn("value", F.coalesce("found", "value"))
+        .drop("found")
+    )
+    judged = M.judge(long)
     if not intervals:
-        return long
+        return judged
     drawn = bootstrap.group_intervals(sided, ids, resamples=resamples).unionByName(
         bootstrap.calibration_intervals(bins, ids, resamples=resamples)
     )
-    return constant_intervals(long.join(drawn, [*ids, "name"], "left"))
+    return constant_intervals(judged.join(drawn, [*ids, "name"], "left"))
 
 
 def constant_intervals(long: DataFrame) -> DataFrame:

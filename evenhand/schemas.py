@@ -126,18 +126,20 @@ _S, _D, _L, _B, _TS = (
     T.TimestampType(),
 )
 
-# Incoming event. Numbers and times stay text here so that a bad value is
-# reported by its rule instead of voiding the whole record.
+# Incoming event. Fields that must be text are read as variants, which still know
+# text from numbers and null from absent; numbers and times stay text, so that a
+# bad value is reported by its rule instead of voiding the whole record.
+_V = T.VariantType()
 EVENT_JSON = _struct(
-    event_id=_S,
-    model_id=_S,
-    model_version=_S,
+    event_id=_V,
+    model_id=_V,
+    model_version=_V,
     timestamp=_S,
     features=_S,
-    prediction=_struct(label=_S, score=_S, threshold=_S),
-    ground_truth=_S,
+    prediction=_struct(label=_V, score=_S, threshold=_S),
+    ground_truth=_V,
     demographic_tags=T.ArrayType(_S),
-    session_context=_struct(tenant_id=_S, use_case=_S),
+    session_context=_struct(tenant_id=_V, use_case=_V),
 )
 
 PREDICTIONS = _struct(

@@ -37,13 +37,11 @@ def split_bodies(bodies: DataFrame, raw: str = "raw") -> DataFrame:
 
 
 def parse_events(messages: DataFrame, raw: str = "raw") -> DataFrame:
-    """Parse each message once: adds ``event`` and ``corrupt``, and ``typed``, the
-    same message as a variant, which still knows text from numbers."""
+    """Parse each message once: adds ``event`` and ``corrupt``."""
     schema = T.StructType([*EVENT_JSON.fields, T.StructField(_CORRUPT, T.StringType())])
     parsed = F.from_json(F.col(raw), schema, {"columnNameOfCorruptRecord": _CORRUPT})
-    both = F.struct(parsed.alias("event"), F.try_parse_json(F.col(raw)).alias("typed"))
     # a generator, so that filters and projections above do not parse again
-    return messages.select("*", F.inline(F.array(both))).withColumn(
+    return messages.select("*", F.inline(F.array(F.struct(parsed.alias("event"))))).withColumn(
         "corrupt", F.col("event").isNull() | F.col(f"event.{_CORRUPT}").isNotNull()
     )
 
