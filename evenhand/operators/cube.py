@@ -5,7 +5,7 @@ window), combination of group values, score bin, prediction and truth. Every
 per-attribute table below is a re-aggregation of those counts.
 """
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from evenhand.schemas import PRIVILEGED_GROUPS
 
@@ -207,5 +207,6 @@ def sample_gate(df: DataFrame, keys, minimum: int) -> DataFrame:
 
 def latest_demographics(demographics: DataFrame) -> DataFrame:
     """Reduce an append-only side table to the newest row per event."""
-    w = W.partitionBy("event_id").orderBy(F.col("enriched_at").desc())
-    return demographics.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
+    kept = F.struct(*[c for c in demographics.columns if c != "event_id"])
+    newest = F.max_by(kept, "enriched_at").alias("r")
+    return demographics.groupBy("event_id").agg(newest).select("event_id", "r.*")

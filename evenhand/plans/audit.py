@@ -3,12 +3,14 @@
 from pyspark.sql import DataFrame, functions as F
 
 from evenhand.operators import bootstrap, cube, metrics as M, severity as V
+from evenhand.operators.drift import cusum
 from evenhand.operators.individual import individual_fairness
 from evenhand.operators.significance import chi_square_columns, p_value
 from evenhand.operators.slices import demographic_slices, nested_slices
 from evenhand.operators.temporal import temporal_drift, window_gaps
 from evenhand.schemas import MIN_SAMPLE_SIZE, SEX_SPELLINGS
 from evenhand.session import materialize
+from evenhand.sources import sinks
 
 # Half widths of the intervals that are not bootstrapped, and the
 # range each is clipped to.
@@ -98,6 +100,7 @@ def audit_metrics(
     history: bool = True,
     privileged: dict | None = None,
     secondary: dict | None = None,
+    past: DataFrame | None = None,
 ) -> DataFrame:
     """All metrics of every key and protected attribute, one judged row each.
 
@@ -105,7 +108,9 @@ def audit_metrics(
     ``order`` columns. Only the cube, the pair score and the time windows touch
     rows; the cube is written once and the rest derives from it. Keys below the
     minimum sample are left out (see ``cube.sample_gate``). ``secondary`` overrides
-    the second axis of the intersectional score per attribute."""
+    the second axis of the intersectional score per attribute. ``past`` is a history
+    with the keys, recorded_at and metric_value; keys with more than five points
+    take their temporal drift from it."""
     keys, attributes = list(keys), cube.present_attributes(rows, attributes)
     ids = [*keys, "attribute", "attribute_ord"]
     axes = {**second_axes(attributes, compat), **(secondary or {})}
@@ -162,6 +167,8 @@ def audit_metrics(
         .withColumn("value", F.coalesce("found", "value"))
         .drop("found")
     )
+    if past is not None:
+        long = _drift_from_past(long, past, keys)
     judged = M.judge(long)
     if not intervals:
         return judged
@@ -171,6 +178,17 @@ def audit_metrics(
     return constant_intervals(judged.join(drawn, [*ids, "name"], "left"))
 
 
+def _drift_from_past(long: DataFrame, past: DataFrame, keys) -> DataFrame:
+    day = F.to_date("recorded_at")
+    known = cusum(past, keys, "recorded_at", "metric_value", day).where("points > 5")
+    is_drift = F.col("name") == "temporal_drift_index"
+    return (
+        long.join(known.select(*keys, F.col("cusum").alias("_past")), keys, "left")
+        .withColumn("value", F.when(is_drift, F.coalesce("_past", "value")).otherwise(F.col("value")))
+        .drop("_past")
+    )
+
+
 def constant_intervals(long: DataFrame) -> DataFrame:
     """Fill the intervals of the metrics that are not bootstrapped."""
     lower, upper = F.col("ci_lower"), F.col("ci_upper")
@@ -278,6 +296,21 @@ def run_audit(
     return audit_results(metrics, slices, header, keys, attributes), metrics
 
 
+def persist(audits: DataFrame, metrics: DataFrame, paths: dict, tenant_id: str = "default") -> None:
+    """Append audits to the tables their severity calls for.
+
+    ``paths`` names the bias_audits, fairness_timeseries and ledger tables. LOW
+    audits go to the ledger only. No mitigation is started here."""
+    judged = V.required_action(audits)
+    stored = judged.where("log_to_warehouse")
+    sinks.append_audits(stored, paths["bias_audits"])
+    times = stored.select("model_id", "audit_timestamp")
+    merged = V.last_attribute_wins(metrics, ["model_id"]).join(times, "model_id")
+    sinks.append_timeseries(timeseries(merged, F.col("audit_timestamp")), paths["fairness_timeseries"])
+    events = sinks.audit_completed(judged.where("log_to_ledger"), tenant_id)
+    sinks.append_ledger(events, paths["ledger"])
+
+
 def timeseries(metrics: DataFrame, recorded_at) -> DataFrame:
     """The long metric history: one row per metric and audit."""
     return metrics.select(

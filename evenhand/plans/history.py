@@ -21,7 +21,7 @@ def drift_statistics(series: DataFrame) -> DataFrame:
     at, value = "recorded_at", "metric_value"
     day = F.to_date(at)
     cuts = changepoints(series, KEYS, at, value).groupBy(*KEYS).agg(
-        F.array_sort(F.collect_list("changepoint")).alias("changepoints")
+        F.array_sort(F.collect_list("at")).alias("changepoints")
     )
     jumps = simple_changepoints(series, KEYS, at, value).groupBy(*KEYS).agg(
         F.count("changepoint").alias("jumps")
@@ -33,5 +33,5 @@ def drift_statistics(series: DataFrame) -> DataFrame:
         .join(cuts, list(KEYS), "left")
         .join(jumps, list(KEYS), "left")
     )
-    none = F.array().cast("array<bigint>")
+    none = F.array().cast("array<timestamp>")
     return out.withColumn("changepoints", F.coalesce("changepoints", none)).na.fill({"jumps": 0})

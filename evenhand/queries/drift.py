@@ -51,14 +51,32 @@ def cusum_with_target(spark, folder):
 
 
 # Mean gap per model and week: a history that drifts little and one that does.
-@query(
-    f"""WITH {P},
+# One weekly history, model after model, so that its level shifts.
+WEEKLY = (
+    P
+    + """,
 d0 AS (SELECT model_id, date_trunc('week', ts) AS day, sex, avg(y_pred) AS r FROM p GROUP BY ALL),
-w0 AS (SELECT model_id, day, max(r) - min(r) AS gap FROM d0 GROUP BY ALL),
--- models one after the other, so that the level shifts
+weekly AS (SELECT model_id, day, max(r) - min(r) AS gap FROM d0 GROUP BY ALL)"""
+)
+
+
+def weekly_gaps(spark, folder):
+    rows = predictions(spark, folder).withColumn("week", F.date_trunc("week", "ts"))
+    groups = cube.confusion_cube(rows, ["model_id", "week"], ["sex"])
+    rate = F.col("pred_pos") / F.col("n")
+    gaps = groups.groupBy("model_id", "week").agg((F.max(rate) - F.min(rate)).alias("gap"))
+    return gaps.select(
+        F.lit("all").alias("series"),
+        F.concat("model_id", F.lit(" "), F.date_format("week", "yyyy-MM-dd")).alias("at"),
+        "gap",
+    )
+
+
+@query(
+    f"""WITH {WEEKLY},
 t AS (SELECT 'all' AS series, row_number() OVER (ORDER BY model_id, day) - 1 AS ln, count(*) OVER () AS n, gap,
         coalesce(sum(gap) OVER (ORDER BY model_id, day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ls,
-        sum(gap) OVER () AS total FROM w0),
+        sum(gap) OVER () AS total FROM weekly),
 h AS (SELECT *, n >= 10 AND ln >= n // 4 AND ln < 3 * n // 4 AND ln >= 3 AND n - ln >= 3
         AND abs(ls / ln - (total - ls) / (n - ln)) >= sqrt(ln(4 / 0.002) / (2 / (1.0 / ln + 1.0 / (n - ln)))) AS hit
       FROM t)
@@ -69,17 +87,8 @@ SELECT series, max(n) AS points, bool_or(coalesce(hit, false)) AS drift_detected
 FROM h GROUP BY series"""
 )
 def adwin(spark, folder):
-    rows = predictions(spark, folder).withColumn("week", F.date_trunc("week", "ts"))
-    groups = cube.confusion_cube(rows, ["model_id", "week"], ["sex"])
-    rate = F.col("pred_pos") / F.col("n")
-    gaps = groups.groupBy("model_id", "week").agg((F.max(rate) - F.min(rate)).alias("gap"))
-    series = gaps.select(
-        F.lit("all").alias("series"),
-        F.concat("model_id", F.lit(" "), F.date_format("week", "yyyy-MM-dd")).alias("at"),
-        "gap",
-    )
     # the block is a prefix of the order column
-    out = D.adwin(series, ["series"], "at", "gap", F.substring("at", 1, 12))
+    out = D.adwin(weekly_gaps(spark, folder), ["series"], "at", "gap", F.substring("at", 1, 12))
     return out.select(
         "series",
         "points",
@@ -92,12 +101,26 @@ def adwin(spark, folder):
 
 @query()
 def changepoints(spark, folder):
-    return D.changepoints(daily_gaps(spark, folder), _KEYS, "day", "gap")
+    return D.changepoints(weekly_gaps(spark, folder), ["series"], "at", "gap", penalty=0.5)
 
 
-@query()
+# the running statistics, one row at a time
+@query(
+    f"""WITH RECURSIVE {DAILY},
+o AS (SELECT model_id, gap, day, row_number() OVER (PARTITION BY model_id ORDER BY day) - 1 AS i FROM daily),
+st AS (SELECT model_id, i, day, CAST(1 AS BIGINT) AS n, gap AS mean, CAST(0 AS DOUBLE) AS m2, false AS hit FROM o WHERE i = 0
+  UNION ALL
+  SELECT model_id, i, day, CASE WHEN hit THEN 1 ELSE n END, CASE WHEN hit THEN gap ELSE mean END, CASE WHEN hit THEN 0 ELSE m2 END, hit
+  FROM (SELECT *, n > 3 AND sqrt(m2 / (n - 1)) > 0 AND abs(gap - mean) > 2.0 * sqrt(m2 / (n - 1)) AS hit
+    FROM (SELECT model_id, i, day, gap, n, mean, m2p + (gap - prev) * (gap - mean) AS m2
+      FROM (SELECT o.model_id, o.i, o.day, o.gap, st.n + 1 AS n, st.mean AS prev, st.m2 AS m2p,
+              st.mean + (o.gap - st.mean) / (st.n + 1) AS mean
+            FROM st JOIN o ON o.model_id = st.model_id AND o.i = st.i + 1))))
+SELECT model_id, i AS changepoint, strftime(day, '%Y-%m-%d') AS day FROM st WHERE hit"""
+)
 def running_sigma_changepoints(spark, folder):
-    return D.simple_changepoints(daily_gaps(spark, folder), _KEYS, "day", "gap")
+    out = D.simple_changepoints(daily_gaps(spark, folder), _KEYS, "day", "gap")
+    return out.select("model_id", "changepoint", F.date_format("at", "yyyy-MM-dd").alias("day"))
 
 
 @query(

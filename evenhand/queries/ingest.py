@@ -94,6 +94,18 @@ def flatten_events(spark, folder):
     )
 
 
+@query(
+    f"""WITH {_VALID} SELECT event_id, substr(t, 1, 10) AS day, CAST(prediction_label AS INTEGER) AS prediction_label,
+  CAST(ground_truth AS INTEGER) AS ground_truth FROM v"""
+)
+def staged_predictions(spark, folder):
+    from evenhand.plans.views import staged_predictions as staged
+
+    return staged(_valid(spark, folder)).select(
+        "event_id", F.col("day").cast("string").alias("day"), "prediction_label", "ground_truth"
+    )
+
+
 @query(
     f"""WITH {_JUDGED} SELECT raw AS original_message,
   CASE WHEN ok THEN 'ValidationError' ELSE 'JSONDecodeError' END AS error_type, message AS error_message

@@ -438,21 +438,30 @@ def attribution_summary(spark, folder):
     )
 
 
-@query()
-def shapley_attribution(spark, folder):
-    rows = load(spark, folder, "customer").select(
+def _shapley_rows(spark, folder):
+    return load(spark, folder, "customer").select(
         "c_custkey",
         (F.col("c_acctbal") / 10000).alias("balance"),
         (F.col("c_nationkey") / 25).alias("nation"),
         (F.col("c_custkey") % 7 / 7).alias("part"),
     )
 
-    def score(df):
-        z = 2 * F.col("balance") - F.col("nation") * F.col("part")
-        return df.withColumn("output", 1 / (1 + F.exp(-z)))
 
-    background = rows.orderBy("c_custkey").limit(100)
-    out = E.shapley_attribution(rows, "c_custkey", ["balance", "nation", "part"], score, background)
+def _shapley_score(df):
+    z = 2 * F.col("balance") - F.col("nation") * F.col("part")
+    return df.withColumn("output", 1 / (1 + F.exp(-z)))
+
+
+@query()
+def shapley_attribution(spark, folder):
+    rows = _shapley_rows(spark, folder)
+    out = E.shapley_attribution(
+        rows,
+        "c_custkey",
+        ["balance", "nation", "part"],
+        _shapley_score,
+        rows.orderBy("c_custkey").limit(100),
+    )
     return out.groupBy("feature").agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.abs("value")).alias("importance")
     )
@@ -522,15 +531,35 @@ def change_description(spark, folder):
     )
 
 
-@query()
+@query("SELECT c_custkey, 50 AS copies, true AS in_range FROM customer")
 def background_copies(spark, folder):
-    rows = load(spark, folder, "customer").select("c_custkey", F.col("c_acctbal").alias("balance"))
+    rows = load(spark, folder, "customer").select(
+        "c_custkey", F.col("c_acctbal").alias("balance"), F.col("c_acctbal").alias("given")
+    )
     out = E.background_around(
         rows,
         "c_custkey",
         ["balance"],
-        lambda df: df.withColumn("prediction", (F.col("balance") > 5000).cast("int")),
+        lambda df: df.join(rows.select("c_custkey", "given"), "c_custkey").withColumn(
+            "prediction",
+            F.abs(F.col("balance") - F.col("given")) <= 0.5 * F.abs("given") + 1e-9,
+        ),
     )
     return out.groupBy("c_custkey").agg(
-        F.count(F.lit(1)).alias("copies"), F.sum("prediction").alias("positive")
+        F.count(F.lit(1)).alias("copies"), F.bool_and("prediction").alias("in_range")
+    )
+
+
+# With one background row, a row's values add up to its output less the background's.
+@query(
+    """WITH x AS (SELECT c_custkey, c_acctbal / 10000 AS b, c_nationkey / 25 AS n, c_custkey % 7 / 7 AS q FROM customer),
+y AS (SELECT c_custkey, 1 / (1 + exp(-(2 * b - n * q))) AS o FROM x)
+SELECT c_custkey, round(o - (SELECT arg_min(o, c_custkey) FROM y), 6) + 0.0 AS total FROM y"""
+)
+def shapley_total(spark, folder):
+    rows = _shapley_rows(spark, folder)
+    background = rows.orderBy("c_custkey").limit(1)
+    out = E.shapley_attribution(
+        rows, "c_custkey", ["balance", "nation", "part"], _shapley_score, background, permutations=4
     )
+    return out.groupBy("c_custkey").agg((F.round(F.sum("value"), 6) + 0.0).alias("total"))

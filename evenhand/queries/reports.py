@@ -323,7 +323,35 @@ def report_narrative(spark, folder):
     return C.narrative(audits, metrics, KEYS)
 
 
-@query()
+def _plain(x):
+    """A number with up to six decimals as SQL text."""
+    text = f"regexp_replace(CAST(CAST(round({x}, 6) AS DECIMAL(30, 6)) AS VARCHAR), '0+$', '')"
+    return f"({text} || CASE WHEN ends_with({text}, '.') THEN '0' ELSE '' END)"
+
+
+_NL = "chr(10)"
+
+
+@query(
+    f"""WITH {JUDGED},
+l AS (SELECT model_id, month, count(*) AS nm, count(*) FILTER (breached) AS nb,
+  string_agg('  - ' || name || ': value=' || format('{{:.4f}}', value) || ', threshold=' || {_plain('threshold')} ||
+    ', severity=' || severity || ', p_value=' || format('{{:.4f}}', p_value), {_NL} ORDER BY metric_ord) FILTER (breached) AS bt,
+  string_agg(name, ', ' ORDER BY metric_ord) FILTER (NOT breached) AS pt FROM judged GROUP BY 1, 2),
+sl AS (SELECT model_id, month, string_agg('  - segment=' || group_value || ': n=' || n || ', positive_rate=' ||
+    format('{{:.3f}}', pred_pos / n) || ', TPR=' || {_plain('tp / greatest(tp + fn, 1)')} || ', FPR=' || {_plain('fp / greatest(fp + tn, 1)')},
+    {_NL} ORDER BY group_value) AS st
+  FROM s GROUP BY 1, 2)
+SELECT model_id, month, '## Bias Audit Report Data' || {_NL} || {_NL} || '**Audit ID:** ' || audit_id || {_NL} || '**Model:** ' || model_id ||
+  ' v' || model_version || {_NL} || '**Audit Window:** ' || month || '-01T00:00:00 to ' ||
+  strftime(strptime(month || '-01', '%Y-%m-%d') + INTERVAL 3 MONTH, '%Y-%m-%dT00:00:00') || {_NL} || '**Predictions Analyzed:** ' ||
+  format('{{:,}}', sample_size) || {_NL} || '**Overall Severity:** ' || overall_severity || {_NL} || {_NL} ||
+  '### Breached Fairness Metrics (' || nb || ' of ' || nm || '):' || {_NL} || coalesce(bt, 'None') || {_NL} || {_NL} ||
+  '### Passing Metrics:' || {_NL} || coalesce(pt, 'All metrics breached') || {_NL} || {_NL} ||
+  '### Demographic Group Performance:' || {_NL} || st || {_NL} || {_NL} ||
+  '### Top Feature Importances (Bias Drivers):' || {_NL} || 'Not available' || {_NL} AS prompt
+FROM a JOIN l USING (model_id, month) JOIN sl USING (model_id, month)"""
+)
 def audit_prompt(spark, folder):
     audits, metrics, slices = _tables(spark, folder)
     return C.prompt_text(audits, metrics, slices, KEYS)
@@ -386,6 +414,17 @@ def scorecard(spark, folder):
     )
 
 
+@query(
+    f"""WITH {JUDGED} SELECT audit_id, model_id, {_DAY} AS day, overall_severity,
+  CASE overall_severity WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 1 ELSE 0 END AS severity_level
+FROM a"""
+)
+def staged_audits(spark, folder):
+    return views.staged_audits(_audit_table(spark, folder)).select(
+        "audit_id", "model_id", F.col("day").cast("string").alias("day"), "overall_severity", "severity_level"
+    )
+
+
 @query(
     f"""WITH {JUDGED} SELECT model_id, audit_id, {_DAY} AS day, round(value, 6) AS metric_value, 0.8 AS reference
 FROM a JOIN judged USING (model_id, month, audit_timestamp) WHERE name = 'disparate_impact_ratio'"""

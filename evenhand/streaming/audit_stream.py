@@ -106,3 +106,12 @@ def start_continuous_audit(
         .option("checkpointLocation", checkpoint)
     )
     return writer.trigger(**(trigger or {"processingTime": "1 minute"})).start()
+
+
+def late_rows(run) -> int:
+    """Rows a query has dropped so far because they came after the watermark."""
+    return sum(
+        int(op.get("numRowsDroppedByWatermark", 0))
+        for progress in run.recentProgress
+        for op in progress["stateOperators"]
+    )
