@@ -3,10 +3,10 @@
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_tail(stat: pd.Series, dof: pd.Series) -> pd.Series:
     """Upper tail of the chi-square distribution, one value per audit.
 

@@ -171,7 +171,8 @@ def audit_metrics(
         long = _drift_from_past(long, past, keys)
     judged = M.judge(long)
     if not intervals:
-        return judged
+        none = F.lit(None).cast("double")
+        return judged.withColumn("ci_lower", none).withColumn("ci_upper", none)
     drawn = bootstrap.group_intervals(sided, ids, resamples=resamples).unionByName(
         bootstrap.calibration_intervals(bins, ids, resamples=resamples)
     )

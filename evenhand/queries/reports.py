@@ -77,9 +77,7 @@ def _tables(spark, folder):
                 history=False,
                 secondary={"segment": "sex"},
             )
-            .withColumn("audit_timestamp", _stamp())
-            .withColumn("ci_lower", F.lit(None).cast("double"))
-            .withColumn("ci_upper", F.lit(None).cast("double")),
+            .withColumn("audit_timestamp", _stamp()),
             "quarter-metrics",
         )
         header = (
