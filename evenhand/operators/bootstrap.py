@@ -51,7 +51,10 @@ def replicate_counts(df: DataFrame, key_columns, count_columns, resamples, seed)
                     out[c] = draws[:, :, i].reshape(-1)
                 yield out
 
-    return df.withColumn("_seed", key).mapInPandas(draw, schema)
+    # cells are few bytes but many draws each: spread them by hand, since adaptive
+    # execution would pack them into one task by size
+    spread = df.sparkSession.sparkContext.defaultParallelism
+    return df.withColumn("_seed", key).repartition(spread, *key_columns).mapInPandas(draw, schema)
 
 
 def _interval(column, confidence):

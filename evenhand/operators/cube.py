@@ -45,15 +45,18 @@ def present_attributes(df: DataFrame, attributes) -> list:
     return [a for a in attributes if a in df.columns]
 
 
-def joint_cube(df: DataFrame, keys, attributes, bins: bool = True) -> DataFrame:
-    """Row counts per key, group combination, score bin, prediction and truth."""
+def joint_cube(df: DataFrame, keys, attributes, bins: bool = True, at: str | None = None) -> DataFrame:
+    """Row counts per key, group combination, score bin, prediction and truth.
+
+    With a time column ``at`` the earliest and latest time come along."""
     dims = [group_text(a).alias(a) for a in attributes]
     if bins:
         dims.append(score_bin("y_score").alias("score_bin"))
+    times = [F.min(at).alias("first_at"), F.max(at).alias("last_at")] if at else []
     return (
-        df.select(*keys, *dims, "y_pred", "y_true")
+        df.select(*keys, *dims, "y_pred", "y_true", *([at] if at else []))
         .groupBy(*keys, *attributes, *(["score_bin"] if bins else []), "y_pred", "y_true")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count(F.lit(1)).alias("n"), *times)
     )
 
 

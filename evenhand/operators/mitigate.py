@@ -65,6 +65,18 @@ def quantile_edges(rows: DataFrame, keys, attribute: str, feature: str, levels:
     )
 
 
+def _count_before(edges: str, test, levels: int) -> F.Column:
+    """How many of the sorted edges pass ``test``, by halving steps."""
+    steps = F.array(*[F.lit(2**i) for i in reversed(range(levels.bit_length()))])
+
+    def move(at, step):
+        reached = at + step
+        passed = (reached <= F.size(edges)) & F.coalesce(test(F.get(edges, reached - 1)), F.lit(False))
+        return F.when(passed, reached).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), move)
+
+
 def disparate_impact_repair(
     rows: DataFrame, keys, attribute: str, feature: str, amount: float = 1.0, levels: int = 100
 ) -> DataFrame:
@@ -89,8 +101,8 @@ def disparate_impact_repair(
     )
     match = [F.col(k) == F.col(f"_q_{k}") for k in keys] + [group_text(attribute) == F.col("_q_group")]
     x = F.col(feature).cast("double")
-    below = F.size(F.filter("edges", lambda e: e < x))
-    not_above = F.size(F.filter("edges", lambda e: e <= x))
+    below = _count_before("edges", lambda e: e < x, levels)
+    not_above = _count_before("edges", lambda e: e <= x, levels)
     level = F.least(F.floor((below + not_above) / 2).cast("int"), F.lit(levels - 1))
     repaired = (1 - amount) * x + amount * F.get("targets", level)
     return (

@@ -24,15 +24,18 @@ def overlapping_windows(rows, row_no) -> tuple:
     return first.cast("long"), F.least(F.floor(row_no / step), newest).cast("long")
 
 
-def window_spans(df: DataFrame, keys, attributes, order, cells: int = TIME_CELLS) -> DataFrame:
+def window_spans(
+    df: DataFrame, keys, attributes, order, cells: int = TIME_CELLS, bounds=None
+) -> DataFrame:
     """Row counts per (first window, last window, groups, prediction).
 
     The time range is cut into cells and counted in one pass. Running totals of
     the cells tell which rows lie in which windows, except in the few cells with
     a window edge inside; only the rows of those are put in exact order.
-    ``order`` is the time column and what settles equal times."""
+    ``order`` is the time column and what settles equal times; ``bounds`` spares
+    the search for the earliest and latest microsecond."""
     micros = F.unix_micros(order[0])
-    low, high = df.agg(F.min(micros), F.max(micros)).first()
+    low, high = bounds or df.agg(F.min(micros), F.max(micros)).first()
     width = 1 if low is None else (high - low) // cells + 1
     rows = df.select(
         *keys,
@@ -65,7 +68,9 @@ def window_spans(df: DataFrame, keys, attributes, order, cells: int = TIME_CELLS
     split = sized_broadcast(
         placed.where(edge).select(*keys, "cell", "cell_start", F.col("key_rows").alias("all_rows")), "edge-cells"
     )
-    indexed = row_index(rows.join(split, [*keys, "cell"]), [*keys, "cell"], order)
+    # written first: range partitioning reads its input twice
+    edge_rows = materialize(rows.join(split, [*keys, "cell"]), "edge-rows")
+    indexed = row_index(edge_rows, [*keys, "cell"], order)
     first, last = overlapping_windows(F.col("all_rows"), F.col("cell_start") + F.col("row_no"))
     edges = indexed.select(
         *keys, first.alias("first_window"), last.alias("last_window"), *dims, F.lit(1).cast("long").alias("n")
@@ -79,10 +84,10 @@ def window_spans(df: DataFrame, keys, attributes, order, cells: int = TIME_CELLS
 
 
 def window_gaps(
-    df: DataFrame, frame: DataFrame, keys, attributes, order, cells: int = TIME_CELLS
+    df: DataFrame, frame: DataFrame, keys, attributes, order, cells: int = TIME_CELLS, bounds=None
 ) -> DataFrame:
     """|selection rate gap| per window where both sides are present."""
-    spans = window_spans(df, keys, attributes, order, cells)
+    spans = window_spans(df, keys, attributes, order, cells, bounds)
     moved = unpivot_attributes(spans, attributes).withColumn(
         "window_no", F.explode(F.sequence("first_window", "last_window"))
     )

@@ -115,7 +115,8 @@ def audit_metrics(
     ids = [*keys, "attribute", "attribute_ord"]
     axes = {**second_axes(attributes, compat), **(secondary or {})}
     extra = [a for a in dict.fromkeys(axes.values()) if a not in (*attributes, "y_true")]
-    joint = materialize(cube.joint_cube(rows, keys, [*attributes, *extra]), "joint-cube")
+    timed = cube.joint_cube(rows, keys, [*attributes, *extra], at=order[0] if history else None)
+    joint = materialize(timed, "joint-cube")
     groups = cube.group_cube(joint, keys, attributes)
     frame = cube.audit_frame(groups, keys, privileged).where(F.col("sample_size") >= minimum)
     # one row per group: everything below is small and starts from here
@@ -151,7 +152,8 @@ def audit_metrics(
         empty[name] = 1.0
     if history:
         name = "temporal_drift_index"
-        gaps = window_gaps(rows, frame, keys, attributes, list(order))
+        bounds = joint.agg(F.unix_micros(F.min("first_at")), F.unix_micros(F.max("last_at"))).first()
+        gaps = window_gaps(rows, frame, keys, attributes, list(order), bounds=tuple(bounds))
         found = found.unionByName(part(temporal_drift(gaps, keys), name))
         empty[name] = 0.0
     carried = ["privileged_group", "compared_group", "privileged_size", "unprivileged_size", "p_value"]

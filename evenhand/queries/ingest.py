@@ -8,6 +8,7 @@ from evenhand.operators.validate import dead_letters, flatten_valid, validate
 from evenhand.plans.audit import label_columns, scan_window, sensitive_columns
 from evenhand.queries import query
 from evenhand.queries.views import P, predictions
+from evenhand.session import materialize
 from evenhand.sources.events import split_bodies
 from evenhand.sources.tables import load
 
@@ -68,9 +69,7 @@ def _valid(spark, folder):
 
 @query(f"WITH {_JUDGED} SELECT n, message = '' AS valid, message FROM judged")
 def validate_split(spark, folder):
-    return validate(messages(spark, folder)).select(
-        "n", "valid", F.concat_ws("; ", "errors").alias("message")
-    )
+    return validate(messages(spark, folder)).select("n", "valid", "message")
 
 
 @query(
@@ -179,7 +178,8 @@ FROM v LEFT JOIN d ON v.event_id = d.event_id
 WHERE v.ground_truth IS NOT NULL AND v.t >= '2024-01-05T00:00:00Z' AND v.t < '2024-01-20T00:00:00Z'"""
 )
 def audit_scan_join(spark, folder):
-    rows = _valid(spark, folder)
+    # the ingested table, as the audit finds it
+    rows = materialize(_valid(spark, folder), "valid-rows")
     window = scan_window(rows, enrich(rows), start="2024-01-05", end="2024-01-20")
     return label_columns(sensitive_columns(window)).select(
         "event_id", "model_id", "ground_truth", "age_bin", "sex", "age", "y_true", "y_pred", "y_score"
