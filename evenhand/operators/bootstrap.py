@@ -57,41 +57,38 @@ def replicate_counts(df: DataFrame, key_columns, count_columns, resamples, seed)
     return df.withColumn("_seed", key).repartition(spread, *key_columns).mapInPandas(draw, schema)
 
 
-def _interval(column, confidence):
-    tail = (1.0 - confidence) / 2.0
-    return F.percentile(F.col(column), F.array(F.lit(tail), F.lit(1.0 - tail)))
-
-
 def _intervals(replicates: DataFrame, point: DataFrame, keys, names, confidence) -> DataFrame:
     """Percentile interval per metric; a wide one if hardly any resample is valid."""
-    finite = {
-        n: F.when(~F.isnan(n) & (F.abs(F.col(n)) < float("inf")), F.col(n)) for n in names
-    }
-    bounds = replicates.select(*keys, *[c.alias(n) for n, c in finite.items()]).groupBy(*keys).agg(
-        *[_interval(n, confidence).alias(f"_ci_{n}") for n in names],
-        *[F.count(n).alias(f"_valid_{n}") for n in names],
-    )
-    rows = F.array(
+    tail = (1.0 - confidence) / 2.0
+    finite = [F.expr(f"if(isnan({n}) OR abs({n}) = double('inf'), NULL, {n}) AS {n}") for n in names]
+    bounds = replicates.select(*keys, *finite).groupBy(*keys).agg(
         *[
-            F.struct(
-                F.lit(n).alias("name"),
-                F.when(F.col(f"_valid_{n}") >= FEWEST_VALID, F.col(f"_ci_{n}")[0])
-                .otherwise(F.greatest(F.lit(0.0), F.col(n) - 0.1))
-                .alias("ci_lower"),
-                F.when(F.col(f"_valid_{n}") >= FEWEST_VALID, F.col(f"_ci_{n}")[1])
-                .otherwise(F.col(n) + 0.1)
-                .alias("ci_upper"),
-            )
+            F.expr(f"struct(count({n}) AS valid, percentile({n}, array({tail!r}D, {1.0 - tail!r}D)) AS at) AS _ci_{n}")
             for n in names
-        ]
+        ],
+    )
+    rows = ", ".join(
+        f"named_struct('name', '{n}',"
+        f" 'ci_lower', if(_ci_{n}.valid >= {FEWEST_VALID}, _ci_{n}.at[0], greatest(0D, {n} - 0.1D)),"
+        f" 'ci_upper', if(_ci_{n}.valid >= {FEWEST_VALID}, _ci_{n}.at[1], {n} + 0.1D))"
+        for n in names
     )
-    return point.select(*keys, *names).join(bounds, list(keys), "left").select(*keys, F.inline(rows))
+    joined = point.select(*keys, *names).join(bounds, list(keys), "left")
+    return joined.select(*keys, F.expr(f"inline(array({rows}))"))
 
 
 def group_intervals(
-    sided: DataFrame, keys, names=None, resamples=RESAMPLES, confidence=CONFIDENCE, seed=SEED
+    sided: DataFrame,
+    keys,
+    names=None,
+    resamples=RESAMPLES,
+    confidence=CONFIDENCE,
+    seed=SEED,
+    point: DataFrame | None = None,
 ) -> DataFrame:
-    """Intervals of the registered group metrics: keys, name, ci_lower, ci_upper."""
+    """Intervals of the registered group metrics: keys, name, ci_lower, ci_upper.
+
+    ``point`` may hand in the values themselves, as ``group_metrics`` gives them."""
     names = [m.name for m in M.registered() if not names or m.name in names]
     cells = ["tp", "fp", "tn", "fn"]
     draws = replicate_counts(
@@ -101,14 +98,12 @@ def group_intervals(
         resamples,
         seed,
     )
-    counts = (
-        draws.withColumn("n", sum((F.col(c) for c in cells[1:]), F.col(cells[0])))
-        .where("n > 0")  # a group may vanish from a resample
-        .withColumn("pred_pos", F.col("tp") + F.col("fp"))
-        .withColumn("true_pos", F.col("tp") + F.col("fn"))
-    )
+    # a group may vanish from a resample
+    counts = draws.selectExpr(
+        "*", "tp + fp + tn + fn AS n", "tp + fp AS pred_pos", "tp + fn AS true_pos"
+    ).where("n > 0")
     replicates = M.group_metrics(counts, [*keys, "replicate"], names, replicate=True)
-    point = M.group_metrics(sided, keys, names)
+    point = M.group_metrics(sided, keys, names) if point is None else point
     return _intervals(replicates, point, keys, names, confidence)
 
 

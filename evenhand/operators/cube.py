@@ -32,12 +32,11 @@ def group_text(column) -> F.Column:
     return F.coalesce(F.col(column).cast("string"), F.lit("None"))
 
 
-def score_bin(score) -> F.Column:
+def score_bin(score: str) -> F.Column:
     """Index of the half-open bin holding ``score``; null outside [0, 1)."""
-    score = F.col(score) if isinstance(score, str) else score
-    # last edge not above the score, found by counting edges
-    position = sum((score >= F.lit(e)).cast("int") for e in SCORE_EDGES)
-    return F.when((score >= 0) & (score < 1), position - 1)
+    # last edge not above the score
+    edges = " ".join(f"WHEN {score} >= {e!r}D THEN {i}" for i, e in reversed([*enumerate(SCORE_EDGES[:-1])]))
+    return F.expr(f"CASE WHEN {score} >= 1 THEN NULL {edges} END")
 
 
 def present_attributes(df: DataFrame, attributes) -> list:
@@ -62,35 +61,30 @@ def joint_cube(df: DataFrame, keys, attributes, bins: bool = True, at: str | Non
 
 def unpivot_attributes(df: DataFrame, attributes) -> DataFrame:
     """One row per attribute: ``attribute``, its position and the group value."""
-    entries = F.array(
-        *[
-            F.struct(
-                F.lit(a).alias("attribute"),
-                F.lit(i).alias("attribute_ord"),
-                group_text(a).alias("group_value"),
-            )
-            for i, a in enumerate(attributes)
-        ]
+    entries = ", ".join(
+        f"named_struct('attribute', '{a}', 'attribute_ord', {i}, "
+        f"'group_value', coalesce(CAST(`{a}` AS string), 'None'))"
+        for i, a in enumerate(attributes)
     )
     kept = [c for c in df.columns if c not in attributes]
-    return df.select(*kept, F.inline(entries))
+    return df.select(*kept, F.expr(f"inline(array({entries}))"))
 
 
-def _sum_where(condition, name):
-    return F.sum(F.when(condition, F.col("n")).otherwise(F.lit(0))).alias(name)
+def _sum_where(condition: str, name: str) -> F.Column:
+    return F.expr(f"sum(if({condition}, n, 0))").alias(name)
 
 
 def confusion_counts() -> list:
     """Aggregates turning joint-cube cells into confusion counts."""
-    pred, true = F.col("y_pred") == 1, F.col("y_true") == 1
+    pred, true = "y_pred <=> 1", "y_true <=> 1"
     return [
         F.sum("n").alias("n"),
         _sum_where(pred, "pred_pos"),
         _sum_where(true, "true_pos"),
-        _sum_where(pred & true, "tp"),
-        _sum_where(pred & ~true, "fp"),
-        _sum_where(~pred & ~true, "tn"),
-        _sum_where(~pred & true, "fn"),
+        _sum_where(f"{pred} AND {true}", "tp"),
+        _sum_where(f"{pred} AND NOT {true}", "fp"),
+        _sum_where(f"NOT {pred} AND NOT {true}", "tn"),
+        _sum_where(f"NOT {pred} AND {true}", "fn"),
     ]
 
 
@@ -184,18 +178,17 @@ def score_bin_cube(joint: DataFrame, frame: DataFrame, keys, attributes) -> Data
         .groupBy(*keys, "attribute", "attribute_ord", "group_value", "score_bin")
         .agg(
             F.sum("n").alias("n"),
-            _sum_where(F.col("y_true") == 1, "true_pos"),
+            _sum_where("y_true <=> 1", "true_pos"),
         )
     )
-    priv = F.col("is_priv")
     return (
         with_sides(cells, frame, keys)
         .groupBy(*keys, "attribute", "attribute_ord", "score_bin")
         .agg(
-            F.sum(F.when(priv, F.col("n")).otherwise(0)).alias("n_priv"),
-            F.sum(F.when(priv, F.col("true_pos")).otherwise(0)).alias("true_priv"),
-            F.sum(F.when(~priv, F.col("n")).otherwise(0)).alias("n_unpriv"),
-            F.sum(F.when(~priv, F.col("true_pos")).otherwise(0)).alias("true_unpriv"),
+            F.expr("sum(if(is_priv, n, 0))").alias("n_priv"),
+            F.expr("sum(if(is_priv, true_pos, 0))").alias("true_priv"),
+            F.expr("sum(if(is_priv, 0, n))").alias("n_unpriv"),
+            F.expr("sum(if(is_priv, 0, true_pos))").alias("true_unpriv"),
         )
     )
 

@@ -1,13 +1,13 @@
 """Fairness metrics as named aggregate expressions over sided groups.
 
-A metric is an aggregate Column over the rows of ``with_sides``: one row per
-group with its confusion counts, the audit totals and ``is_priv``. The same
-expression serves the point value and every bootstrap replicate, so a metric
-added with ``register`` gets its interval, breach flag and severity for free.
+A metric is an SQL aggregate over the rows of ``with_sides``: one row per group
+with its confusion counts (n, pred_pos, true_pos, tp, fp, tn, fn), the audit
+totals and ``is_priv``. The same expression serves the point value and every
+bootstrap replicate, so a metric added with ``register`` gets its interval,
+breach flag and severity for free.
 """
 
 from dataclasses import dataclass
-from typing import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -19,87 +19,60 @@ TINY = 1e-10
 @dataclass(frozen=True)
 class GroupMetric:
     name: str
-    expression: Callable[[], Column]
+    expression: str
     threshold: float
     breached_below: bool = False
     # replicates with a side smaller than this count as zero
     side_minimum: int = 0
 
 
-def ratio(num, den) -> Column:
+def ratio(num: str, den: str) -> str:
     """num/den, or 0 where there is nothing to divide by."""
-    return F.when(den > 0, num / den).otherwise(F.lit(0.0))
+    return f"coalesce(({num}) / nullif({den}, 0), 0D)"
 
 
-def side(count: str, privileged: bool) -> Column:
-    flag = F.col("is_priv") if privileged else ~F.col("is_priv")
-    return F.sum(F.when(flag, F.col(count)).otherwise(F.lit(0)))
+def side(count: str, privileged: bool) -> str:
+    """Sum of a count over the privileged group, or over all others together."""
+    return f"sum(if({'' if privileged else 'NOT '}is_priv, {count}, 0))"
 
 
-def side_ratio(num: str, den: str, privileged: bool) -> Column:
+def side_ratio(num: str, den: str, privileged: bool) -> str:
     return ratio(side(num, privileged), side(den, privileged))
 
 
-def group_rate(num: str, *den: str) -> Column:
-    total = F.col(den[0])
-    for d in den[1:]:
-        total = total + F.col(d)
-    return ratio(F.col(num), total)
+def spread(rate: str) -> str:
+    return f"max({rate}) - min({rate})"
 
 
-def spread(rate: Column) -> Column:
-    return F.max(rate) - F.min(rate)
+def side_gap(num: str, den: str) -> str:
+    return f"abs({side_ratio(num, den, True)} - {side_ratio(num, den, False)})"
 
 
-def side_gap(num: str, den: str) -> Column:
-    return F.abs(side_ratio(num, den, True) - side_ratio(num, den, False))
+_SELECTION, _TPR, _FPR = ratio("pred_pos", "n"), ratio("tp", "true_pos"), ratio("fp", "fp + tn")
 
 
-def _negatives(privileged):
-    return side("fp", privileged) + side("tn", privileged)
+def _odds_gap(num: str, den: str) -> str:
+    return f"{side_ratio(num, den, False)} - {side_ratio(num, den, True)}"
 
 
-def _fpr(privileged):
-    return ratio(side("fp", privileged), _negatives(privileged))
-
-
-def demographic_parity_difference():
-    return spread(group_rate("pred_pos", "n"))
-
-
-def equalized_odds_difference():
-    return F.greatest(spread(group_rate("tp", "true_pos")), spread(group_rate("fp", "fp", "tn")))
-
-
-def equal_opportunity_difference():
-    return side_gap("tp", "true_pos")
-
-
-def disparate_impact_ratio():
-    privileged = F.when(
-        side("n", True) > 0, side("pred_pos", True) / F.nullif(side("n", True), F.lit(0))
-    ).otherwise(F.lit(TINY))
-    return side_ratio("pred_pos", "n", False) / F.greatest(privileged, F.lit(TINY))
-
-
-def average_odds_difference():
-    fpr_gap = _fpr(False) - _fpr(True)
-    tpr_gap = side_ratio("tp", "true_pos", False) - side_ratio("tp", "true_pos", True)
-    return F.abs((fpr_gap + tpr_gap) * 0.5)
-
-
-def statistical_parity_subgroup_lift():
-    rate = group_rate("pred_pos", "n")
-    return F.max(rate) / F.greatest(F.min(rate), F.lit(TINY))
-
-
-def predictive_parity_difference():
-    return side_gap("tp", "pred_pos")
-
-
-def counterfactual_fairness():
-    return side_gap("pred_pos", "n")
-
+GROUP_METRICS = {
+    "demographic_parity_difference": spread(_SELECTION),
+    "equalized_odds_difference": f"greatest({spread(_TPR)}, {spread(_FPR)})",
+    "equal_opportunity_difference": side_gap("tp", "true_pos"),
+    # a missing privileged group counts as a vanishing rate
+    "disparate_impact_ratio": f"{side_ratio('pred_pos', 'n', False)} / greatest("
+    f"if({side('n', True)} > 0, {side_ratio('pred_pos', 'n', True)}, {TINY}D), {TINY}D)",
+    "average_odds_difference": f"abs(({_odds_gap('fp', 'fp + tn')} + {_odds_gap('tp', 'true_pos')}) * 0.5D)",
+    "statistical_parity_subgroup_lift": f"max({_SELECTION}) / greatest(min({_SELECTION}), {TINY}D)",
+    "predictive_parity_difference": side_gap("tp", "pred_pos"),
+    "counterfactual_fairness": side_gap("pred_pos", "n"),
+}
+SIDE_MINIMUMS = {
+    "equal_opportunity_difference": 1,
+    "average_odds_difference": 2,
+    "predictive_parity_difference": 1,
+    "counterfactual_fairness": 1,
+}
 
 _REGISTRY: dict = {}
 
@@ -113,24 +86,14 @@ def registered() -> list:
     return list(_REGISTRY.values())
 
 
-for _expression, _minimum in (
-    (demographic_parity_difference, 0),
-    (equalized_odds_difference, 0),
-    (equal_opportunity_difference, 1),
-    (disparate_impact_ratio, 0),
-    (average_odds_difference, 2),
-    (statistical_parity_subgroup_lift, 0),
-    (predictive_parity_difference, 1),
-    (counterfactual_fairness, 1),
-):
-    _name = _expression.__name__
+for _name, _expression in GROUP_METRICS.items():
     register(
         GroupMetric(
             _name,
             _expression,
             METRIC_THRESHOLDS[_name],
             _name in BREACHED_BELOW,
-            _minimum,
+            SIDE_MINIMUMS.get(_name, 0),
         )
     )
 
@@ -155,11 +118,11 @@ def group_metric_columns(names=None, replicate: bool = False) -> list:
     for m in registered():
         if names and m.name not in names:
             continue
-        value = m.expression()
+        value = m.expression
         if replicate and m.side_minimum:
-            smaller = F.least(side("n", True), side("n", False))
-            value = F.when(smaller < m.side_minimum, F.lit(0.0)).otherwise(value)
-        columns.append(value.alias(m.name))
+            smaller = f"least({side('n', True)}, {side('n', False)})"
+            value = f"if({smaller} < {m.side_minimum}, 0D, {value})"
+        columns.append(F.expr(value).alias(m.name))
     return columns
 
 
@@ -170,15 +133,9 @@ def group_metrics(sided: DataFrame, keys, names=None, replicate: bool = False) -
 
 def calibration_gap(bins: DataFrame, keys) -> DataFrame:
     """Mean gap of observed positives over bins filled on both sides."""
-    both = (F.col("n_priv") > 0) & (F.col("n_unpriv") > 0)
-    gap = F.when(
-        both,
-        F.abs(
-            F.col("true_priv") / F.nullif("n_priv", F.lit(0))
-            - F.col("true_unpriv") / F.nullif("n_unpriv", F.lit(0))
-        ),
-    )
-    return bins.groupBy(*keys).agg(F.coalesce(F.avg(gap), F.lit(0.0)).alias("calibration_gap"))
+    # an empty side makes its rate, and so the gap, null
+    gap = "abs(true_priv / nullif(n_priv, 0) - true_unpriv / nullif(n_unpriv, 0))"
+    return bins.groupBy(*keys).agg(F.expr(f"coalesce(avg({gap}), 0D)").alias("calibration_gap"))
 
 
 def intersectional_bias(joint: DataFrame, keys, attributes, secondary) -> DataFrame:
@@ -205,67 +162,46 @@ def intersectional_bias(joint: DataFrame, keys, attributes, secondary) -> DataFr
         .agg((F.sum(F.when(F.col("y_pred") == 1, F.col("n")).otherwise(0)) / F.sum("n")).alias("rate"))
     )
     return rates.groupBy(*keys, "attribute", "attribute_ord").agg(
-        spread(F.col("rate")).alias("intersectional_bias_score")
-    )
-
-
-def breach(value="value") -> Column:
-    """Strict comparison of the unrounded value with its threshold."""
-    below = F.col("breached_below")
-    return F.when(below, F.col(value) < F.col("threshold")).otherwise(
-        F.col(value) > F.col("threshold")
+        F.expr(spread("rate")).alias("intersectional_bias_score")
     )
 
 
-def excess(value: Column, threshold: Column, below: Column) -> Column:
-    """How many times over its threshold a metric is."""
-    return F.when(below, threshold / F.greatest(value, F.lit(TINY))).otherwise(
-        value / F.greatest(threshold, F.lit(TINY))
-    )
-
-
-def metric_severity() -> Column:
-    """Severity of one metric row with value, threshold, breached and p_value."""
-    times = excess(F.col("value"), F.col("threshold"), F.col("breached_below"))
-    return (
-        F.when(~F.col("breached"), "PASS")
-        .when(F.col("p_value") > SIGNIFICANCE, "LOW")
-        .when(times > 3, "CRITICAL")
-        .when(times > 2, "HIGH")
-        .otherwise("MEDIUM")
-    )
+# Strict comparison of the unrounded value with its threshold.
+BREACH = "if(breached_below, value < threshold, value > threshold)"
+# How many times over its threshold a metric is.
+EXCESS = (
+    f"if(breached_below, threshold / greatest(value, {TINY}D), value / greatest(threshold, {TINY}D))"
+)
+METRIC_SEVERITY = f"""CASE WHEN NOT breached THEN 'PASS' WHEN p_value > {SIGNIFICANCE}D THEN 'LOW'
+  WHEN {EXCESS} > 3 THEN 'CRITICAL' WHEN {EXCESS} > 2 THEN 'HIGH' ELSE 'MEDIUM' END"""
 
 
 def judge(long: DataFrame) -> DataFrame:
     """Add order, threshold, breach and severity to rows of name, value and p_value."""
     limits, order = thresholds(), metric_order()
-    known = F.create_map(
-        *[
-            x
-            for n in order
-            for x in (
-                F.lit(n),
-                F.struct(
-                    F.lit(order.index(n) + 1).alias("metric_ord"),
-                    F.lit(float(limits[n][0])).alias("threshold"),
-                    F.lit(limits[n][1]).alias("breached_below"),
-                ),
-            )
-        ]
+    known = ", ".join(
+        f"'{n}', named_struct('metric_ord', {i + 1}, 'threshold', {limits[n][0]!r}D,"
+        f" 'breached_below', {str(limits[n][1]).lower()})"
+        for i, n in enumerate(order)
     )
     return (
-        long.withColumn("_known", known[F.col("name")])
+        long.withColumn("_known", F.expr(f"map({known})[name]"))
         .select("*", "_known.*")
         .drop("_known")
-        .withColumn("breached", breach())
-        .withColumn("severity", metric_severity())
+        .withColumn("breached", F.expr(BREACH))
+        .withColumn("severity", F.expr(METRIC_SEVERITY))
     )
 
 
 def long_metrics(wide: DataFrame, id_columns, names=None) -> DataFrame:
     """Unpivot wide metrics into one judged row each; ``wide`` must carry p_value."""
     names = [n for n in metric_order() if n in wide.columns and (not names or n in names)]
-    rows = F.array(
-        *[F.struct(F.lit(n).alias("name"), F.col(n).cast("double").alias("value")) for n in names]
+    return judge(wide.select(*id_columns, "p_value", named_values({n: n for n in names})))
+
+
+def named_values(values: dict) -> Column:
+    """One row of name and value per entry; values are SQL expressions."""
+    rows = ", ".join(
+        f"named_struct('name', '{n}', 'value', CAST({v} AS double))" for n, v in values.items()
     )
-    return judge(wide.select(*id_columns, "p_value", F.inline(rows)))
+    return F.expr(f"inline(array({rows}))")

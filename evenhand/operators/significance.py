@@ -35,20 +35,14 @@ def chi_square_columns() -> list:
 
     With one degree of freedom each deviation is pulled in by at most a half
     (Yates). Fewer than two groups or one kind of prediction leaves it null."""
-    rate = F.col("sample_pos") / F.col("sample_size")
-    deviation = F.abs(F.col("pred_pos") - F.col("n") * rate)
-    corrected = F.when(
-        F.col("group_count") == 2, F.greatest(deviation - 0.5, F.lit(0.0))
-    ).otherwise(deviation)
-    testable = (
-        (F.col("group_count") > 1)
-        & (F.col("sample_pos") > 0)
-        & (F.col("sample_pos") < F.col("sample_size"))
-    )
-    term = F.when(testable, corrected * corrected / (F.col("n") * rate * (1 - rate)))
+    rate = "(sample_pos / sample_size)"
+    deviation = f"abs(pred_pos - n * {rate})"
+    corrected = f"if(group_count = 2, greatest({deviation} - 0.5D, 0D), {deviation})"
+    testable = "group_count > 1 AND sample_pos > 0 AND sample_pos < sample_size"
+    term = f"{corrected} * {corrected} / (n * {rate} * (1 - {rate}))"
     return [
-        F.sum(term).alias("chi2"),
-        F.max(F.when(testable, F.col("group_count") - 1)).alias("dof"),
+        F.expr(f"sum(CASE WHEN {testable} THEN {term} END)").alias("chi2"),
+        F.expr(f"max(CASE WHEN {testable} THEN group_count - 1 END)").alias("dof"),
     ]
 
 

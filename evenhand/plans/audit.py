@@ -129,11 +129,11 @@ def audit_metrics(
     names = [m.name for m in M.registered()]
     core = sided.groupBy(*ids).agg(
         F.max("privileged_group").alias("privileged_group"),
-        F.coalesce(
-            F.min(F.when(~F.col("is_priv"), F.col("group_value"))), F.lit("unprivileged")
-        ).alias("compared_group"),
-        M.side("n", True).alias("privileged_size"),
-        M.side("n", False).alias("unprivileged_size"),
+        F.expr("coalesce(min(CASE WHEN NOT is_priv THEN group_value END), 'unprivileged')").alias(
+            "compared_group"
+        ),
+        F.expr(M.side("n", True)).alias("privileged_size"),
+        F.expr(M.side("n", False)).alias("unprivileged_size"),
         *chi_square_columns(),
         *M.group_metric_columns(names),
     ).withColumn("p_value", p_value())
@@ -157,14 +157,9 @@ def audit_metrics(
         found = found.unionByName(part(temporal_drift(gaps, keys), name))
         empty[name] = 0.0
     carried = ["privileged_group", "compared_group", "privileged_size", "unprivileged_size", "p_value"]
-    rowed = F.array(
-        *[
-            F.struct(F.lit(n).alias("name"), v.cast("double").alias("value"))
-            for n, v in [*[(n, F.col(n)) for n in names], *[(n, F.lit(v)) for n, v in empty.items()]]
-        ]
-    )
+    rowed = M.named_values({**{n: n for n in names}, **{n: f"{v}D" for n, v in empty.items()}})
     long = (
-        core.select(*ids, *carried, F.inline(rowed))
+        core.select(*ids, *carried, rowed)
         .join(found, [*ids, "name"], "left")
         .withColumn("value", F.coalesce("found", "value"))
         .drop("found")
@@ -175,7 +170,7 @@ def audit_metrics(
     if not intervals:
         none = F.lit(None).cast("double")
         return judged.withColumn("ci_lower", none).withColumn("ci_upper", none)
-    drawn = bootstrap.group_intervals(sided, ids, resamples=resamples).unionByName(
+    drawn = bootstrap.group_intervals(sided, ids, resamples=resamples, point=core).unionByName(
         bootstrap.calibration_intervals(bins, ids, resamples=resamples)
     )
     return constant_intervals(judged.join(drawn, [*ids, "name"], "left"))

@@ -128,7 +128,7 @@ def test_swapping_sides_inverts_the_impact_ratio(spark):
 
 
 def test_user_metric_is_audited(spark):
-    M.register(M.GroupMetric("smallest_rate", lambda: F.min(M.group_rate("pred_pos", "n")), 0.3, True))
+    M.register(M.GroupMetric("smallest_rate", "min(pred_pos / n)", 0.3, True))
     try:
         df = frame_of(spark, two_groups((350, 125)))
         rows = audit_metrics(df, ["model_id"], ["sex"], pairs=False, history=False, resamples=200)
