@@ -1,6 +1,7 @@
 import datetime as dt
 import json
 import random
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -130,7 +131,7 @@ def test_past_values_drive_the_drift_index(spark):
 
 
 def test_persist_follows_the_action(spark):
-    base = f"{scratch_dir(spark)}/persist"
+    base = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
     paths = {t: f"{base}/{t}" for t in ("bias_audits", "fairness_timeseries", "ledger")}
     audits, metrics = run(spark)
     A.persist(audits, metrics.withColumn("attribute_ord", F.lit(0)), paths)
@@ -148,7 +149,7 @@ def test_persist_follows_the_action(spark):
 
 
 def test_ledger_refuses_the_whole_batch(spark):
-    base = f"{scratch_dir(spark)}/refused"
+    base = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
     good = ("AUDIT_COMPLETED", "m", "t", "{}")
     columns = "event_type string, model_id string, tenant_id string, payload string"
     bad = spark.createDataFrame([good, ("NONSENSE", "m", "t", "{}")], columns)
