@@ -95,8 +95,7 @@ def slice_measures(spark, folder):
 
 
 @query(
-    f"""WITH {GROUPS}, m AS (
-  SELECT *, CASE WHEN attribute = 'sex' THEN group_value END AS a FROM g)
+    f"""WITH {GROUPS}
 SELECT model_id, attribute, group_value, y_pred, CAST(cell_n AS BIGINT) AS cell_n FROM (
   SELECT model_id, attribute, group_value, 0 AS y_pred, n - pred_pos AS cell_n FROM g
   UNION ALL SELECT model_id, attribute, group_value, 1, pred_pos FROM g)"""
