@@ -39,3 +39,15 @@ def op1_quality_rules(spark, sf_dir):
         "kept",
         "array_join(broken, ',') AS broken",
     )
+
+
+@query()
+def op4_bpe(spark, sf_dir):
+    """Ids of every text, and the text decoded from them, as digests."""
+    import public_tokenizers
+
+    from evenhand.llm import bpe
+
+    docs = table(spark, sf_dir, "documents")
+    coded = bpe.encoded(docs, public_tokenizers.path("byte_bpe_50k.json"), ["doc_id"], digests=True)
+    return coded.select("_row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
