@@ -51,3 +51,18 @@ def op4_bpe(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     coded = bpe.encoded(docs, public_tokenizers.path("byte_bpe_50k.json"), ["doc_id"], digests=True)
     return coded.select("_row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@query()
+def op7_simhash(spark, sf_dir):
+    """Fingerprint and near-duplicate component of every document."""
+    from pyspark.sql import functions as F
+
+    from evenhand.llm import simhash
+
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, most=3)
+    return found.select(
+        "doc_id",
+        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        "component_id",
+    )
