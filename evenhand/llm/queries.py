@@ -66,3 +66,23 @@ def op7_simhash(spark, sf_dir):
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
     )
+
+
+@query()
+def op3_pii(spark, sf_dir):
+    """Base and added spans of personal data in every text."""
+    from pyspark.sql import functions as F
+
+    from evenhand.llm import pii
+
+    docs = table(spark, sf_dir, "documents")
+    found = pii.find(docs, pii.fit(docs), ["doc_id"])
+    return found.select(
+        "_row.doc_id",
+        "n_email",
+        "n_ip",
+        "n_card",
+        "n_phone",
+        F.sha2("base", 256).alias("base_sha256"),
+        "spans",
+    )
