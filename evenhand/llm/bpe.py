@@ -209,11 +209,11 @@ def _slices(column: pa.ChunkedArray | pa.Array, limit: int = 1 << 20) -> Iterato
 
 
 def encoded(docs: DataFrame, path: str, carry: list[str], digests: bool = False) -> DataFrame:
-    """The carried columns with ``n_tokens`` and ``ids``, or with the digests of the ids and
-    of the text decoded from them."""
+    """The carried columns with ``n_tokens``, and ``ids`` with ``exact`` (whether they decode
+    to the text), or the digests of the ids and of the text decoded from them."""
     kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("_row"), "text")
     kept = kept.withColumn("text", F.col("text").cast("string"))
-    tail = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<long>"
+    tail = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, exact boolean"
     row = kept.schema["_row"].dataType.simpleString()
     schema = f"_row {row}, n_tokens long, {tail}"
 
@@ -229,13 +229,12 @@ def encoded(docs: DataFrame, path: str, carry: list[str], digests: bool = False)
                     out.append(pa.array([sha(x) for x in ids], pa.string()))
                     out.append(pa.array([sha(c.decode(x).encode()) for x in ids], pa.string()))
                 else:
-                    values = np.frombuffer(b"".join(ids), "<u4").astype(np.int64)
+                    values = np.frombuffer(b"".join(ids), "<i4")
                     ends = np.cumsum([0, *[len(x) // 4 for x in ids]]).astype(np.int32)
                     out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(values)))
-                names = ["_row", "n_tokens", "ids_sha256", "decoded_sha256"][: len(out)]
-                if not digests:
-                    names[2] = "ids"
-                yield pa.RecordBatch.from_arrays(out, names)
+                    out.append(pa.array([c.decode(x) == t for x, t in zip(ids, part)], pa.bool_()))
+                names = ["ids_sha256", "decoded_sha256"] if digests else ["ids", "exact"]
+                yield pa.RecordBatch.from_arrays(out, ["_row", "n_tokens", *names])
 
     return kept.mapInArrow(run, schema)
 

@@ -86,3 +86,11 @@ def op3_pii(spark, sf_dir):
         F.sha2("base", 256).alias("base_sha256"),
         "spans",
     )
+
+
+@query()
+def op6_mixing(spark, sf_dir):
+    """Words the mix takes of every document."""
+    from evenhand.llm import mixing
+
+    return mixing.report(table(spark, sf_dir, "documents"))
