@@ -94,3 +94,12 @@ def op6_mixing(spark, sf_dir):
     from evenhand.llm import mixing
 
     return mixing.report(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op5_licenses(spark, sf_dir):
+    """Base places and labels of every text, and the labels of the signature rules."""
+    from evenhand.llm import licenses
+
+    found = licenses.scan(table(spark, sf_dir, "documents"), ["doc_id"])
+    return found.select("_row.doc_id", *[c for c in found.columns if c != "_row"])
