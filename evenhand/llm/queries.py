@@ -103,3 +103,19 @@ def op5_licenses(spark, sf_dir):
 
     found = licenses.scan(table(spark, sf_dir, "documents"), ["doc_id"])
     return found.select("_row.doc_id", *[c for c in found.columns if c != "_row"])
+
+
+@query()
+def op10_url_filters(spark, sf_dir):
+    """Rule and verdict of every page's url; a page is labelled as its document is."""
+    from pyspark.sql import functions as F
+
+    from evenhand.llm import urls
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    marks = table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("_doc"),
+        ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int").alias("bad"),
+    )
+    numbered = pages.select("page_id", urls.number(F.col("url")).alias("_doc"))
+    return urls.judge(pages, numbered.join(marks, "_doc").select("page_id", "bad"))
