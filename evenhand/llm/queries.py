@@ -119,3 +119,22 @@ def op10_url_filters(spark, sf_dir):
     )
     numbered = pages.select("page_id", urls.number(F.col("url")).alias("_doc"))
     return urls.judge(pages, numbered.join(marks, "_doc").select("page_id", "bad"))
+
+
+@query()
+def op8_sharding(spark, sf_dir):
+    """Shard and slot of every document, at near equal bytes."""
+    from pyspark.sql import functions as F
+
+    from evenhand.llm import sharding
+
+    placed = sharding.shard(table(spark, sf_dir, "documents"), shards=40)
+    return placed.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
