@@ -138,3 +138,11 @@ def op8_sharding(spark, sf_dir):
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query()
+def op2_winnowing(spark, sf_dir):
+    """Fingerprints of every text and its edited text, and how alike they are."""
+    from evenhand.llm import winnow
+
+    return winnow.compare(table(spark, sf_dir, "documents"))

@@ -27,7 +27,7 @@ from evenhand.session import materialize
 OVERHEAD = 16
 #: Ranges for each shard, least and most rows (on average) of a range, and sampled keys for
 #: each range.
-RANGES, LEAST_ROWS, RANGE_ROWS, SAMPLE = 64, 8, 50_000, 32
+RANGES, LEAST_ROWS, RANGE_ROWS, SAMPLE = 64, 2, 50_000, 32
 #: A range over this many times the mean is subdivided, at most so many times over.
 OVERFULL, ROUNDS = 2.0, 4
 
