@@ -146,3 +146,11 @@ def op2_winnowing(spark, sf_dir):
     from evenhand.llm import winnow
 
     return winnow.compare(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op9_lm_scores(spark, sf_dir):
+    """Base and model log probability of every text."""
+    from evenhand.llm import lm
+
+    return lm.scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
