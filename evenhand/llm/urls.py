@@ -4,9 +4,9 @@ Paths are split into segments; digits, hashes and very long segments become wild
 their shape. Urls are counted per (host, typed path) in a partial aggregate, so the tree
 is built over branches, not over urls. Level by level from the root of each host, a
 branch is merged with its siblings into one wildcard if what lies below it is
-distributed as below their parent (total variation) and its labels agree with the
-parent's (a binomial bound); others stay literal. Each branch is compared with its
-parent's sum, never with each sibling. A leaf of the tree is a template. Its share of
+distributed as below all siblings of its depth together (total variation) and its labels
+agree with theirs (a binomial bound); others stay literal. Each branch is compared with
+that sum, never with each sibling. A leaf of the tree is a template. Its share of
 bad labels, smoothed to the host's, which is smoothed to that of all hosts, rejects it.
 
 All steps are built-in functions. Nulls: a null url, or one without ``://``, has empty
@@ -58,7 +58,7 @@ def typed(path: Column, depth: int = DEPTH) -> Column:
     def shape(s: Column) -> Column:
         digits = s.rlike("[0-9]")
         return (
-            F.when(digits & s.rlike("^[0-9a-fA-F]{8}(-?[0-9a-fA-F]{4,})*$") & s.rlike("[a-fA-F-]"), "{hex}")
+            F.when(digits & s.rlike("^[0-9a-fA-F]{8,}(-[0-9a-fA-F]+)*$") & s.rlike("[a-fA-F]"), "{hex}")
             .when(F.length(s) > 64, "{long}")
             .otherwise(F.regexp_replace(s, "[0-9]+", "{n}"))
         )
@@ -87,23 +87,29 @@ def templates(
             F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")
         )
         below = materialize(below, "url-below")
-        shares = below.groupBy("host", "prefix", "rest").agg(F.sum("n").alias("rest_n"))
-        node = below.groupBy("host", "prefix").agg(
+        keys = ["host", "prefix"]
+        # siblings are compared with the sum of those that mostly go as deep as they do
+        steps = F.size(F.filter(F.split("rest", "/"), lambda x: x != ""))
+        deep = F.max_by(steps, F.struct("n", "rest"))
+        one = below.groupBy(*keys, "child").agg(
+            F.sum("n").alias("child_n"),
+            F.sum("labelled").alias("child_labelled"),
+            F.sum("bad").alias("child_bad"),
+            deep.alias("deep"),
+        )
+        one = materialize(one, "url-children")
+        keys = [*keys, "deep"]
+        below = below.join(one.select("host", "prefix", "child", "child_n", "deep"), ["host", "prefix", "child"])
+        shares = below.groupBy(*keys, "rest").agg(F.sum("n").alias("rest_n"))
+        node = below.groupBy(*keys).agg(
             F.sum("n").alias("node_n"),
             F.sum("labelled").alias("node_labelled"),
             F.sum("bad").alias("node_bad"),
             F.count_distinct("rest").alias("rests"),
         )
-        one = below.groupBy("host", "prefix", "child").agg(
-            F.sum("n").alias("child_n"),
-            F.sum("labelled").alias("child_labelled"),
-            F.sum("bad").alias("child_bad"),
-        )
-        keys = ["host", "prefix"]
         distance = (
             below.join(shares, [*keys, "rest"])
             .join(node.select(*keys, "node_n"), keys)
-            .join(one.select(*keys, "child", "child_n"), [*keys, "child"])
             .groupBy(*keys, "child")
             .agg(
                 F.sum(
@@ -123,11 +129,12 @@ def templates(
         judged = materialize(judged.select(*keys, "child", "alike"), "url-judged")
         merging = judged.groupBy(*keys).agg(F.sum(F.col("alike").cast("int")).alias("merging"))
         tokens = judged.join(merging, keys).select(
-            *keys,
+            "host",
+            "prefix",
             "child",
             F.when(F.col("alike") & (F.col("merging") > 1), "*").otherwise(F.col("child")).alias("token"),
         )
-        state = here.join(sized(tokens, "url-tokens"), [*keys, "child"], "left").select(
+        state = here.join(sized(tokens, "url-tokens"), ["host", "prefix", "child"], "left").select(
             "host",
             "typed",
             "n",
