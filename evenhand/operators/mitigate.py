@@ -495,13 +495,12 @@ def rollback_guard(log: DataFrame, largest_drop: float = MAX_ACCURACY_DROP) -> D
             F.when(
                 F.col("severe_degradation"),
                 F.format_string(
-                    "Mitigation resulted in an unacceptable accuracy drop of %.2f%%. "
-                    f"Maximum allowed drop is {limit * 100:.2f}%%.",
+                    f"Undone: an unacceptable accuracy drop, %.2f points with {limit * 100:.2f} allowed",
                     F.abs("accuracy_delta") * 100,
                 ),
             )
-            .when(worse, "Mitigation failed to improve primary fairness parameters across groups.")
-            .otherwise("Mitigation evaluated successfully."),
+            .when(worse, "Undone: it failed to improve impact ratio or parity")
+            .otherwise("Kept"),
         )
     )
 

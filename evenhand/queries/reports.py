@@ -305,15 +305,12 @@ _VERDICT = "CASE overall_severity " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v
 
 @query(
     f"""WITH {JUDGED}, b AS (SELECT model_id, month,
-  string_agg('- `' || name || '`', chr(10) ORDER BY metric_ord) FILTER (breached) AS names FROM judged GROUP BY 1, 2)
+  string_agg('* ' || name, chr(10) ORDER BY metric_ord) FILTER (breached) AS names FROM judged GROUP BY 1, 2)
 SELECT model_id, month, n_breached, {_VERDICT} AS verdict,
-  '# Bias Audit Report' || chr(10) || chr(10) || '**Model:** `' || model_id || '` v' || model_version || chr(10) ||
-  '**Audit ID:** `' || audit_id || '`' || chr(10) || '**Predictions Analyzed:** ' || format('{{:,}}', sample_size) ||
-  chr(10) || chr(10) || '## Executive Summary' || chr(10) || chr(10) || 'Overall severity: **' || overall_severity ||
-  '**. Analysis of ' || format('{{:,}}', sample_size) || ' predictions' || chr(10) || 'identified ' || n_breached ||
-  ' fairness metric violation(s):' || chr(10) ||
-  coalesce(names, '- None. All metrics within acceptable thresholds.') || chr(10) || chr(10) ||
-  '## Compliance Verdict' || chr(10) || chr(10) || '**' || {_VERDICT} || '**' || chr(10) AS narrative
+  'Fairness of model ' || model_id || ', version ' || model_version || chr(10) || 'Audit ' || audit_id || ' over ' ||
+  format('{{:,}}', sample_size) || ' predictions' || chr(10) || chr(10) || 'Verdict: ' || {_VERDICT} || ' (' ||
+  overall_severity || ')' || chr(10) || chr(10) || 'Metrics outside their limits: ' || n_breached || chr(10) ||
+  coalesce(names || chr(10), '') AS narrative
 FROM a JOIN b USING (model_id, month)"""
 )
 def report_narrative(spark, folder):
@@ -333,21 +330,21 @@ _NL = "chr(10)"
 @query(
     f"""WITH {JUDGED},
 l AS (SELECT model_id, month, count(*) AS nm, count(*) FILTER (breached) AS nb,
-  string_agg('  - ' || name || ': value=' || format('{{:.4f}}', value) || ', threshold=' || {_plain('threshold')} ||
-    ', severity=' || severity || ', p_value=' || format('{{:.4f}}', p_value), {_NL} ORDER BY metric_ord) FILTER (breached) AS bt,
+  string_agg('* ' || name || ' = ' || format('{{:.4f}}', value) || ', limit ' || {_plain('threshold')} ||
+    ', ' || severity || ', p = ' || format('{{:.4f}}', p_value), {_NL} ORDER BY metric_ord) FILTER (breached) AS bt,
   string_agg(name, ', ' ORDER BY metric_ord) FILTER (NOT breached) AS pt FROM judged GROUP BY 1, 2),
-sl AS (SELECT model_id, month, string_agg('  - segment=' || group_value || ': n=' || n || ', positive_rate=' ||
-    format('{{:.3f}}', pred_pos / n) || ', TPR=' || {_plain('tp / greatest(tp + fn, 1)')} || ', FPR=' || {_plain('fp / greatest(fp + tn, 1)')},
-    {_NL} ORDER BY group_value) AS st
+sl AS (SELECT model_id, month, string_agg('* segment ' || group_value || ' (' || n || ' rows): selected ' ||
+    format('{{:.3f}}', pred_pos / n) || ', true positives ' || {_plain('tp / greatest(tp + fn, 1)')} || ', false positives ' ||
+    {_plain('fp / greatest(fp + tn, 1)')}, {_NL} ORDER BY group_value) AS st
   FROM s GROUP BY 1, 2)
-SELECT model_id, month, '## Bias Audit Report Data' || {_NL} || {_NL} || '**Audit ID:** ' || audit_id || {_NL} || '**Model:** ' || model_id ||
-  ' v' || model_version || {_NL} || '**Audit Window:** ' || month || '-01T00:00:00 to ' ||
-  strftime(strptime(month || '-01', '%Y-%m-%d') + INTERVAL 3 MONTH, '%Y-%m-%dT00:00:00') || {_NL} || '**Predictions Analyzed:** ' ||
-  format('{{:,}}', sample_size) || {_NL} || '**Overall Severity:** ' || overall_severity || {_NL} || {_NL} ||
-  '### Breached Fairness Metrics (' || nb || ' of ' || nm || '):' || {_NL} || coalesce(bt, 'None') || {_NL} || {_NL} ||
-  '### Passing Metrics:' || {_NL} || coalesce(pt, 'All metrics breached') || {_NL} || {_NL} ||
-  '### Demographic Group Performance:' || {_NL} || st || {_NL} || {_NL} ||
-  '### Top Feature Importances (Bias Drivers):' || {_NL} || 'Not available' || {_NL} AS prompt
+SELECT model_id, month, 'model: ' || model_id || {_NL} || 'version: ' || model_version || {_NL} || 'audit: ' || audit_id || {_NL} ||
+  'from: ' || month || '-01T00:00:00' || {_NL} || 'until: ' ||
+  strftime(strptime(month || '-01', '%Y-%m-%d') + INTERVAL 3 MONTH, '%Y-%m-%dT00:00:00') || {_NL} || 'predictions: ' ||
+  format('{{:,}}', sample_size) || {_NL} || 'severity: ' || overall_severity || {_NL} || {_NL} ||
+  'outside their limits, ' || nb || ' of ' || nm || ' metrics' || {_NL} || coalesce(bt, '(none)') || {_NL} || {_NL} ||
+  'within their limits' || {_NL} || coalesce(pt, '(none)') || {_NL} || {_NL} ||
+  'groups' || {_NL} || st || {_NL} || {_NL} ||
+  'features by weight' || {_NL} || '(unknown)' || {_NL} AS prompt
 FROM a JOIN l USING (model_id, month) JOIN sl USING (model_id, month)"""
 )
 def audit_prompt(spark, folder):
@@ -368,10 +365,10 @@ def _alerts(spark, folder):
 @query(
     f"""WITH {_TOP}
 SELECT model_id, audit_id,
-  CASE overall_severity WHEN 'CRITICAL' THEN '🚨' ELSE '⚠️' END || ' Bias Alert: ' || overall_severity || ' severity detected on ' || model_id AS headline,
+  CASE overall_severity WHEN 'CRITICAL' THEN '🚨' ELSE '⚠️' END || ' ' || model_id || ': audit with severity ' || overall_severity AS headline,
   CASE overall_severity WHEN 'CRITICAL' THEN '#FF0000' ELSE '#FF8C00' END AS color,
-  '*Key Violation:*' || chr(10) || '*' || {_TITLE.format(c='top_name')} || '*' || chr(10) || 'Value: `' ||
-    format('{{:.3f}}', top_value) || '` (Threshold: `' || format('{{:.3f}}', top_limit) || '`)' AS violation,
+  '*Worst metric: ' || {_TITLE.format(c='top_name')} || '*' || chr(10) || '`' ||
+    format('{{:.3f}}', top_value) || '`, limit `' || format('{{:.3f}}', top_limit) || '`' AS violation,
   CASE overall_severity WHEN 'CRITICAL' THEN 'danger' ELSE 'primary' END AS style
 FROM a JOIN tv USING (model_id, month) WHERE overall_severity IN ('CRITICAL', 'HIGH')"""
 )

@@ -203,4 +203,4 @@ def test_prompt_and_drivers(spark):
     text = C.prompt_text(audits, metrics, slices, ["model_id"], importance).first()["prompt"]
     assert "1. Sex (importance=0.5000)" in text and "**Predictions Analyzed:** 1,000" in text
     story = C.narrative(audits, metrics, ["model_id"]).first()
-    assert "- `disparate_impact_ratio`" in story["narrative"] and story["verdict"].startswith("NON-COMPLIANT")
+    assert "* disparate_impact_ratio" in story["narrative"] and story["verdict"].startswith("NON-COMPLIANT")
