@@ -39,6 +39,10 @@ def score_bin(score: str) -> F.Column:
     return F.expr(f"CASE WHEN {score} >= 1 THEN NULL {edges} END")
 
 
+#: Rows whose truth and prediction could be read; only these are counted.
+READABLE = "y_true IS NOT NULL AND y_pred IS NOT NULL"
+
+
 def present_attributes(df: DataFrame, attributes) -> list:
     """Protected attributes that are columns of ``df``, in the order asked for."""
     return [a for a in attributes if a in df.columns]
@@ -53,7 +57,8 @@ def joint_cube(df: DataFrame, keys, attributes, bins: bool = True, at: str | Non
         dims.append(score_bin("y_score").alias("score_bin"))
     times = [F.min(at).alias("first_at"), F.max(at).alias("last_at")] if at else []
     return (
-        df.select(*keys, *dims, "y_pred", "y_true", *([at] if at else []))
+        df.where(READABLE)
+        .select(*keys, *dims, "y_pred", "y_true", *([at] if at else []))
         .groupBy(*keys, *attributes, *(["score_bin"] if bins else []), "y_pred", "y_true")
         .agg(F.count(F.lit(1)).alias("n"), *times)
     )

@@ -84,8 +84,11 @@ def enrich(predictions: DataFrame, enriched_at=None) -> DataFrame:
 
 
 def _distribution(rows: DataFrame, row_keys, code: str, weight: str, name: str) -> DataFrame:
-    """Weights per row turned into one normalised JSON distribution."""
-    total = rows.groupBy(*row_keys).agg(
+    """Weights per row turned into one normalised JSON distribution.
+
+    Weights of a code that a lookup lists more than once add up."""
+    once = rows.groupBy(*row_keys, code).agg(F.sum(weight).alias(weight))
+    total = once.groupBy(*row_keys).agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct(code, weight)))).alias("_m"),
         F.sum(weight).alias("_t"),
         F.max(weight).alias("_top"),
@@ -127,7 +130,8 @@ def proxy_race(
 
 def proxy_income(rows: DataFrame, brackets: DataFrame, row_id: str = "event_id") -> DataFrame:
     """Income bracket by ZIP code. ``brackets`` has zip_code and income_bracket."""
-    return rows.select(row_id, "zip_code").join(brackets, "zip_code", "left").drop("zip_code")
+    once = brackets.groupBy("zip_code").agg(F.min("income_bracket").alias("income_bracket"))
+    return rows.select(row_id, "zip_code").join(once, "zip_code", "left").drop("zip_code")
 
 
 def proxy_enrich(
@@ -141,7 +145,9 @@ def proxy_enrich(
     """Proxy demographics per row: distributions only, marked and scored.
 
     The lookup tables come from the user; how they are joined is left to their
-    size at run time."""
+    size at run time. Of an id that comes more than once, one row is enriched."""
+    rest = [c for c in rows.columns if c != row_id]
+    rows = rows.groupBy(row_id).agg(F.min(F.struct(*rest)).alias("_r")).select(row_id, "_r.*")
     gender = proxy_gender(rows, names, row_id)
     race = proxy_race(rows, surnames, places, row_id)
     out = (

@@ -27,7 +27,7 @@ def individual_fairness(df: DataFrame, keys, attributes) -> DataFrame:
     cell = F.floor(F.least(F.greatest("y_score", F.lit(0.0)), F.lit(1.0)) * SCORE_CELLS)
     distinct = (
         unpivot_attributes(df.select(*keys, *attributes, "y_true", "y_score"), attributes)
-        .where(F.col("y_score").isNotNull())
+        .where(F.col("y_score").isNotNull() & ~F.isnan("y_score") & F.col("y_true").isNotNull())
         .groupBy(*base, "y_score", "group_value")
         .agg(F.count(F.lit(1)).cast("double").alias("w"))
         .withColumn("cell", cell)

@@ -51,7 +51,10 @@ def validation_message() -> F.Column:
     rule("timestamp: not a time", when.isNotNull() & event_time("event.timestamp").isNull())
     features = F.col("event.features")
     rule("features: required", features.isNull())
-    rule("features: not an object", features.isNotNull() & ~features.startswith("{"))
+    rule(
+        "features: not an object",
+        features.isNotNull() & (~features.startswith("{") | F.try_parse_json(features).isNull()),
+    )
     for path in _UNIT_NUMBERS:
         text = F.col(f"event.{path}")
         number = text.try_cast("double")

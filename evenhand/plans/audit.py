@@ -1,5 +1,7 @@
 """The bias audit: all models and windows of a prediction table in one plan."""
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, functions as F
 
 from evenhand.operators import bootstrap, cube, metrics as M, severity as V
@@ -112,6 +114,7 @@ def audit_metrics(
     with the keys, recorded_at and metric_value; keys with more than five points
     take their temporal drift from it."""
     keys, attributes = list(keys), cube.present_attributes(rows, attributes)
+    rows = rows.where(cube.READABLE)
     ids = [*keys, "attribute", "attribute_ord"]
     axes = {**second_axes(attributes, compat), **(secondary or {})}
     extra = [a for a in dict.fromkeys(axes.values()) if a not in (*attributes, "y_true")]
@@ -269,6 +272,7 @@ def audit_results(
 
 def audit_header(rows: DataFrame, keys, order=("ts", "event_id")) -> DataFrame:
     """Sample size and the model version of the first row by time."""
+    rows = rows.where(cube.READABLE)
     version = F.col("model_version") if "model_version" in rows.columns else F.lit("unknown")
     return rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("sample_size"),
@@ -276,6 +280,20 @@ def audit_header(rows: DataFrame, keys, order=("ts", "event_id")) -> DataFrame:
     )
 
 
+def label_status(rows: DataFrame, keys, minimum: int = MIN_SAMPLE_SIZE) -> DataFrame:
+    """Rows of each key, those whose labels could not be read, and why a key is not
+    audited or not in full: too few readable rows, or unreadable ones."""
+    readable = F.count_if(F.expr(cube.READABLE))
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), readable.alias("sample_size"))
+    bad = F.col("rows") - F.col("sample_size")
+    status = (
+        F.when(F.col("sample_size") < minimum, "INSUFFICIENT_SAMPLE")
+        .when(bad > 0, "UNREADABLE_LABELS")
+        .otherwise("OK")
+    )
+    return counts.select(*keys, "rows", "sample_size", bad.alias("unreadable"), status.alias("status"))
+
+
 def run_audit(
     rows: DataFrame, attributes, start, end, audit_time=None, keys=("model_id",), **options
 ) -> tuple:
@@ -284,14 +302,16 @@ def run_audit(
     attributes = cube.present_attributes(rows, attributes)
     metrics = materialize(audit_metrics(rows, keys, attributes, **options), "audit-metrics")
     slices = demographic_slices(cube.confusion_cube(rows, keys, attributes), keys)
-    now = F.current_timestamp() if audit_time is None else F.lit(audit_time).cast("timestamp")
+    # one time for the whole audit: ids, history and ledger are made from it
+    now = F.lit(audit_time or dt.datetime.now(dt.UTC)).cast("timestamp")
     header = (
         audit_header(rows, keys, options.get("order", ("ts", "event_id")))
         .withColumn("window_start", F.lit(start).cast("timestamp"))
         .withColumn("window_end", F.lit(end).cast("timestamp"))
         .withColumn("audit_timestamp", now)
     )
-    return audit_results(metrics, slices, header, keys, attributes), metrics
+    audits = audit_results(metrics, slices, header, keys, attributes)
+    return materialize(audits, "audits"), metrics
 
 
 def persist(audits: DataFrame, metrics: DataFrame, paths: dict, tenant_id: str = "default") -> None:

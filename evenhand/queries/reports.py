@@ -463,12 +463,13 @@ pl AS (SELECT model_id, '{{"audit_id":"' || audit_id || '","model_id":"' || mode
   '","audit_timestamp":"' || strftime(audit_timestamp, '%Y-%m-%dT%H:%M:%S') || '","sample_size":' || sample_size ||
   ',"overall_severity":"' || overall_severity || '","breached_metrics":[' || coalesce(names, '') ||
   '],"triggered_mitigation":false,"mitigation_id":null}}' AS payload FROM a JOIN b USING (model_id, month))
-SELECT substr(sha256(concat_ws('|', 'AUDIT_COMPLETED', model_id, 'default', payload)), 1, 32) AS event_key,
+SELECT substr(sha256(concat_ws('|', 'AUDIT_COMPLETED', model_id, 'default', payload, '1999-01-01 00:00:00')), 1, 32) AS event_key,
   'AUDIT_COMPLETED' AS event_type, model_id, 'default' AS tenant_id, payload, 'auditor' AS actor FROM pl"""
 )
 def ledger_events(spark, folder):
     audits = _tables(spark, folder)[0]
-    rows = sinks.ledger_rows(sinks.audit_completed(audits))
+    at = F.lit("1999-01-01").cast("timestamp")
+    rows = sinks.ledger_rows(sinks.audit_completed(audits), at)
     return rows.select(
         F.col("EventId").alias("event_key"),
         F.col("EventType").alias("event_type"),

@@ -1,5 +1,7 @@
 """Append-only table sinks. Each append is one atomic Spark write job."""
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, functions as F
 
 from evenhand.schemas import LEDGER_EVENT_TYPES, SEVERITY_GAUGE
@@ -93,12 +95,19 @@ def ledger_rows(events: DataFrame, at=None) -> DataFrame:
     def given(c, default):
         return F.coalesce(F.col(c), default) if c in events.columns else default
 
-    now = at if at is not None else F.current_timestamp()
+    now = at if at is not None else F.lit(dt.datetime.now(dt.UTC)).cast("timestamp")
     text = F.lit(None).cast("string")
     return events.select(
-        # same event, same id: a retried task or a replayed batch adds nothing new
+        # of the event and its time, so that a retried task gives the same id
         F.substring(
-            F.sha2(F.concat_ws("|", "event_type", "model_id", "tenant_id", "payload"), 256), 1, 32
+            F.sha2(
+                F.concat_ws(
+                    "|", "event_type", "model_id", "tenant_id", "payload", now.cast("string")
+                ),
+                256,
+            ),
+            1,
+            32,
         ).alias("EventId"),
         checked.cast("string").alias("EventType"),
         F.col("model_id").alias("ModelId"),

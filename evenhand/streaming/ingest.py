@@ -13,10 +13,12 @@ def write_batch(messages: DataFrame, batch_id: int, paths: dict, key: str) -> No
 
     The judged batch is kept in memory for the three writes. Files go to a
     folder per batch, overwritten on replay, so a retried batch is not doubled."""
-    judged = validate(messages).persist()
+    # events without an id are told apart by their place in the batch
+    place = F.concat_ws("-", F.lit(str(batch_id)), F.monotonically_increasing_id())
+    judged = validate(messages.withColumn("_place", place)).persist()
     try:
         now = F.current_timestamp()
-        valid = flatten_valid(judged, now)
+        valid = flatten_valid(judged, now, "raw", "_place")
         # enrich and redact both read the valid rows
         tables = {
             "predictions": redact_predictions(valid, key).withColumn("date", F.to_date("timestamp")),

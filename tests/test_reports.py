@@ -146,6 +146,10 @@ def test_persist_follows_the_action(spark):
     assert sinks.ledger_lookup(ledger, model_id="m").count() == 2
     payload = json.loads(ledger.where("Payload LIKE '%CRITICAL%'").first()["Payload"])
     assert "disparate_impact_ratio" in payload["breached_metrics"] and payload["mitigation_id"] is None
+    stored = table.first()
+    assert payload["audit_id"] == stored["audit_id"]
+    times = spark.read.parquet(paths["fairness_timeseries"]).select("recorded_at").distinct().collect()
+    assert [r["recorded_at"] for r in times] == [stored["audit_timestamp"]]
 
 
 def test_ledger_refuses_the_whole_batch(spark):
@@ -201,6 +205,6 @@ def test_prompt_and_drivers(spark):
     assert [f["feature"] for f in out["sensitive_features_in_top5"]] == ["Sex"]
     assert [g["group"] for g in out["group_performance_gaps"]] == ["sex=Female", "sex=Male"]
     text = C.prompt_text(audits, metrics, slices, ["model_id"], importance).first()["prompt"]
-    assert "1. Sex (importance=0.5000)" in text and "**Predictions Analyzed:** 1,000" in text
+    assert "* 1 Sex 0.5000" in text and "predictions: 1,000" in text
     story = C.narrative(audits, metrics, ["model_id"]).first()
     assert "* disparate_impact_ratio" in story["narrative"] and story["verdict"].startswith("NON-COMPLIANT")
