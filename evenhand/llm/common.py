@@ -19,11 +19,6 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def pack(df: DataFrame, name: str = "_row") -> DataFrame:
-    """All columns as one struct, so that no computed column can clash with them."""
-    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name))
-
-
 def sized(df: DataFrame, label: str, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Write a table and mark it for broadcast only if its measured size allows.
 
@@ -33,7 +28,18 @@ def sized(df: DataFrame, label: str, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(table) if bytes_ <= limit else table
 
 
-def splits(df: DataFrame, column: str, least: int = 8, rows: int = 1 << 16) -> tuple[int, int]:
-    """Row count of ``df`` and how many parts hold about ``rows`` of them each."""
-    n = df.select(column).count()
-    return n, max(least, -(-n // rows))
+def row_key() -> Column:
+    """96 bits of a document row's id, text and source, to find the row again by."""
+    own = ["doc_id", F.col("text").cast("string"), "source"]
+    return F.struct(F.xxhash64(*own).alias("a"), F.hash(*own).alias("b"))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """One row for each distinct key: ``_key`` and the whole row as ``_row``.
+
+    A later join on ``_key`` uses the same shuffle."""
+    packed = docs.select(
+        row_key().alias("_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    )
+    first = F.expr("row_number() OVER (PARTITION BY _key ORDER BY _key)")
+    return packed.withColumn("_copy", first).where("_copy = 1").drop("_copy")

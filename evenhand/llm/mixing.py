@@ -24,7 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from evenhand.llm.common import GAP, WORD, sized
+from evenhand.llm.common import GAP, WORD, keyed, row_key, sized
 from evenhand.session import materialize
 
 WEIGHTS = (3, 1, 2)
@@ -224,31 +224,28 @@ def mix(
     block: int = BLOCK_WORDS,
     shard_blocks: int = SHARD_BLOCKS,
     seed: int = 20,
-    with_row: bool = False,
 ):
-    """(rows, documents, pieces): every row with ``uid``, ``size``, ``total``, ``target``, ``start``;
-    and what the mix takes of each. ``with_row`` keeps the rows themselves as ``_row``."""
+    """(documents, pieces): every row with ``uid``, ``row`` (its key), ``size``, ``total``,
+    ``target`` and ``start``; and what the mix takes of each."""
     text = F.col("text").cast("string")
     cols = [
         F.col("doc_id"),
         F.col("source").cast("string").alias("source"),
         n_words(text).alias("size"),
         F.xxhash64(F.col("doc_id"), text).alias("key"),
+        row_key().alias("row"),
     ]
-    if with_row:
-        cols.append(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    rows = docs.select(*cols).withColumn("uid", F.monotonically_increasing_id())
-    rows = materialize(rows, "mix-sizes")
-    light = rows.select("uid", "doc_id", "source", "size", "key")
+    light = docs.select(*cols).withColumn("uid", F.monotonically_increasing_id())
+    light = materialize(light, "mix-sizes")
     sources = sized(targets(light.select("source", "size")), "mix-targets")
     known = materialize(placed(light, sources), "mix-placed")
     taken = pieces(known, slots(sources, block, shard_blocks, seed), block)
-    return rows, known, taken
+    return known, taken
 
 
 def report(docs: DataFrame, **params) -> DataFrame:
     """``doc_id``, ``size``, ``source_size``, ``target`` and ``taken`` of every row."""
-    _, known, taken = mix(docs, **params)
+    known, taken = mix(docs, **params)
     sums = taken.groupBy(F.col("uid").alias("_uid")).agg(
         F.sum(F.expr("(to_word - from_word) * times")).alias("taken")
     )
@@ -271,15 +268,19 @@ def cut(text: str, spans: list[tuple[int, int]], size: int) -> str:
 
 def mixed(docs: DataFrame, **params) -> DataFrame:
     """The mix as documents: one row for each document and use of it, with the text its
-    drawn blocks hold (the whole text where all are drawn) and ``n_chars`` set anew."""
-    rows, _, taken = mix(docs, with_row=True, **params)
+    drawn blocks hold (the whole text where all are drawn) and ``n_chars`` set anew.
+
+    The uses are worked out on sizes alone; the texts are then read again and shuffled
+    once, whatever the size."""
+    _, taken = mix(docs, **params)
     uses = (
         taken.withColumn("use", F.explode(F.expr("sequence(1, times)")))
-        .groupBy(F.col("uid").alias("_uid"), "use")
+        .groupBy(F.col("uid"), F.col("row").alias("_key"), "use", "size")
         .agg(F.array_sort(F.collect_list(F.struct("from_word", "to_word"))).alias("spans"))
     )
-    joined = rows.join(uses, rows.uid == F.col("_uid")).select("_row", "spans", "size")
-    row = rows.schema["_row"].dataType
+    uses = materialize(uses.select("_key", "spans", "size"), "mix-uses").hint("merge")
+    joined = keyed(docs).join(uses, "_key").select("_row", "spans", "size")
+    row = joined.schema["_row"].dataType
     names = [f.name for f in row.fields]
 
     def run(batches):

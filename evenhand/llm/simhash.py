@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from evenhand.llm.common import keyed, row_key
 from evenhand.session import materialize
 
 SEED = 42
@@ -304,14 +305,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, most: int = 3) -> DataFra
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, most: int = 3) -> DataFrame:
-    """Of each component the row with the smallest ``doc_id`` (of repeated rows, one), with
-    its own columns. Rows without an id give way to rows with one."""
-    marked = fingerprints(docs, docs.columns, shingle).withColumn(
-        "uid", F.monotonically_increasing_id()
-    )
-    marked = materialize(marked, "simhash-marked")
-    light = marked.select(F.col("_row.doc_id").alias("doc_id"), "fp", "uid")
-    best = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("uid")))
+    """Of each component the row with the smallest ``doc_id`` (of rows that agree in id,
+    text and source, any one), with its own columns. Rows without an id give way to rows
+    with one.
+
+    Only ids and keys are kept while components are looked for; the texts are then read
+    again and shuffled once, whatever the size."""
+    plain = docs.select("doc_id", "text", row_key().alias("key"))
+    marked = fingerprints(plain, ["doc_id", "key"], shingle)
+    light = materialize(marked.select("_row.doc_id", "_row.key", "fp"), "simhash-marked")
+    best = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("key")))
     distinct = materialize(
         light.groupBy("fp").agg(F.min("doc_id").alias("first_id"), best.alias("best")),
         "simhash-distinct",
@@ -321,6 +324,7 @@ def keep_one(docs: DataFrame, shingle: int = 3, most: int = 3) -> DataFrame:
         distinct.join(root, distinct.fp == root.node, "left")
         .groupBy(F.coalesce("root", "fp").alias("root"))
         .agg(F.min("best").alias("best"))
-        .select(F.col("best.uid").alias("uid"))
+        .select(F.col("best.key").alias("_key"))
     )
-    return marked.join(materialize(chosen, "simhash-chosen"), "uid", "left_semi").select("_row.*")
+    chosen = materialize(chosen, "simhash-chosen").hint("merge")
+    return keyed(docs).join(chosen, "_key", "left_semi").select("_row.*")

@@ -68,7 +68,7 @@ def test_query(spark, rows, docs, none, as_table):
 
 
 def test_no_block_is_used_three_times(spark, docs):
-    _, known, taken = mixing.mix(docs, block=16, shard_blocks=32)
+    known, taken = mixing.mix(docs, block=16, shard_blocks=32)
     assert taken.agg({"times": "max"}).first()[0] <= 2
     shards = mixing.slots(mixing.targets(known.select("source", "size")), 16, 32, 20)
     per = [r["count"] for r in shards.groupBy("shard").count().collect()]
