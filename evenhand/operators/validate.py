@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from evenhand.schemas import USE_CASES
+from evenhand.schemas import MAX_BATCH_EVENTS, USE_CASES
 from evenhand.sources.events import event_key, parse_events
 
 _REQUIRED_TEXT = (
@@ -71,6 +71,9 @@ def validation_message() -> F.Column:
 def validate(messages: DataFrame, raw: str = "raw") -> DataFrame:
     """Parse and judge messages: adds the event's fields, ``message`` and ``valid``."""
     message = F.when(F.col("corrupt"), "json: cannot be parsed").otherwise(validation_message())
+    if "oversized" in messages.columns:
+        limit = f"list: more than {MAX_BATCH_EVENTS} events"
+        message = F.when(F.col("oversized"), limit).otherwise(message)
     judged = F.struct(
         message.alias("message"),
         _text("event_id").alias("event_id"),
@@ -115,11 +118,17 @@ def flatten_valid(judged: DataFrame, ingested_at=None, raw: str = "raw", *positi
     )
 
 
+def _oversized(judged: DataFrame):
+    return F.col("oversized") if "oversized" in judged.columns else F.lit(False)
+
+
 def dead_letters(judged: DataFrame, failed_at=None, raw: str = "raw") -> DataFrame:
     """Refused messages, whole, with what was wrong."""
     return judged.where("NOT valid").select(
         F.col(raw).alias("original_message"),
-        F.when(F.col("corrupt"), "JSONDecodeError").otherwise("ValidationError").alias("error_type"),
+        F.when(F.col("corrupt") & ~_oversized(judged), "JSONDecodeError")
+        .otherwise("ValidationError")
+        .alias("error_type"),
         F.col("message").alias("error_message"),
         (failed_at if failed_at is not None else F.current_timestamp()).alias("failed_at"),
     )

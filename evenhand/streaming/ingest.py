@@ -1,23 +1,28 @@
 """Streaming ingest: parse, validate, enrich, redact and write."""
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, functions as F
 
 from evenhand.operators.enrich import enrich
 from evenhand.operators.privacy import redact_predictions
 from evenhand.operators.validate import dead_letters, flatten_valid, validate
-from evenhand.sources import sinks
+from evenhand.sources.events import split_bodies
 
 
 def write_batch(messages: DataFrame, batch_id: int, paths: dict, key: str) -> None:
     """Write one micro-batch to the three tables.
 
-    The judged batch is kept in memory for the three writes. Files go to a
-    folder per batch, overwritten on replay, so a retried batch is not doubled."""
+    A message holds one event or a list of events; a list over the limit is refused
+    whole. The judged batch is kept in memory for the three writes. Tables are laid out
+    by date (or error) first, so that a time range lists few folders, and by batch below;
+    a replay overwrites just its own folders. Files are balanced by size."""
     # events without an id are told apart by their place in the batch
     place = F.concat_ws("-", F.lit(str(batch_id)), F.monotonically_increasing_id())
-    judged = validate(messages.withColumn("_place", place)).persist()
+    events = split_bodies(messages.select("raw"), refuse=True).withColumn("_place", place)
+    judged = validate(events).persist()
     try:
-        now = F.current_timestamp()
+        now = F.lit(dt.datetime.now(dt.UTC)).cast("timestamp")
         valid = flatten_valid(judged, now, "raw", "_place")
         # enrich and redact both read the valid rows
         tables = {
@@ -27,8 +32,13 @@ def write_batch(messages: DataFrame, batch_id: int, paths: dict, key: str) -> No
         }
         partition = {"predictions": "date", "demographics": "date", "dead_letters": "error_type"}
         for name, df in tables.items():
-            df.write.mode("overwrite").partitionBy(partition[name]).parquet(
-                f"{paths[name]}/batch={batch_id}"
+            (
+                df.withColumn("batch", F.lit(batch_id).cast("long"))
+                .hint("rebalance", partition[name])
+                .write.mode("overwrite")
+                .option("partitionOverwriteMode", "dynamic")
+                .partitionBy(partition[name], "batch")
+                .parquet(paths[name])
             )
     finally:
         judged.unpersist()

@@ -70,3 +70,21 @@ def test_proxies_of_repeated_rows(spark):
     assert len(out) == 2 and out["e"]["income_bracket"] == "low"
     assert json.loads(out["e"]["gender_distribution"]) == {"F": 0.75, "M": 0.25}
     assert json.loads(out["e"]["race_distribution"]) == {"a": 0.6, "b": 0.4}
+
+
+def test_lists_are_split_and_large_ones_refused(spark, tmp_path):
+    two = f"[{message()}, {message(model_id='a b')}]"
+    large = "[" + ", ".join([message()] * 501) + "]"
+    df = spark.createDataFrame([(two,), (large,), (message(),)], "raw string")
+    paths = {n: str(tmp_path / n) for n in ("predictions", "demographics", "dead_letters")}
+    for _ in range(2):  # a replay changes nothing
+        write_batch(df, 3, paths, "k" * 32)
+    rows = spark.read.parquet(paths["predictions"])
+    assert rows.count() == 2 and [str(r["date"]) for r in rows.select("date").distinct().collect()] == ["2024-01-01"]
+    letters = spark.read.parquet(paths["dead_letters"]).collect()
+    assert sorted(r["error_message"] for r in letters) == [
+        "list: more than 500 events",
+        "model_id: contains a space",
+    ]
+    assert {r["error_type"] for r in letters} == {"ValidationError"}
+    assert max(len(r["original_message"]) for r in letters) == len(large)
