@@ -209,9 +209,11 @@ def pieces(known: DataFrame, filled: DataFrame, block: int) -> DataFrame:
         "block",
         F.explode(F.expr(f"sequence(start DIV {block}, (start + size - 1) DIV {block})")),
     )
+    # both sides grow with the corpus, though the draws' files look small
     return (
         spread.join(
-            times, (F.col("place") == F.col("_place")) & (F.col("block") == F.col("_block"))
+            times.hint("merge"),
+            (F.col("place") == F.col("_place")) & (F.col("block") == F.col("_block")),
         )
         .withColumn("from_word", F.expr(f"greatest(block * {block} - start, 0)"))
         .withColumn("to_word", F.expr(f"least((block + 1) * {block} - start, size)"))
@@ -249,7 +251,7 @@ def report(docs: DataFrame, **params) -> DataFrame:
     sums = taken.groupBy(F.col("uid").alias("_uid")).agg(
         F.sum(F.expr("(to_word - from_word) * times")).alias("taken")
     )
-    return known.join(sums, known.uid == F.col("_uid"), "left").select(
+    return known.join(sums.hint("merge"), known.uid == F.col("_uid"), "left").select(
         "doc_id",
         "size",
         F.col("total").alias("source_size"),
