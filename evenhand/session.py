@@ -1,5 +1,7 @@
 """Session helpers: the shared scratch folder and lineage cuts."""
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -31,6 +33,21 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each application, so that they
+    need neither the driver's folder nor its PYTHONPATH."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(sc.applicationId)
+    package = os.path.dirname(os.path.abspath(__file__))
+    base = os.path.join(tempfile.mkdtemp(), "evenhand")  # the driver's own; Spark serves it
+    sc.addPyFile(shutil.make_archive(base, "zip", os.path.dirname(package), os.path.basename(package)))
+
+
 def utc(spark: SparkSession) -> SparkSession:
     """All event times are UTC."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
