@@ -3,13 +3,12 @@
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from evenhand.operators.cube import group_text
-from evenhand.session import sized_broadcast
+from evenhand.session import materialize, sized_broadcast
 
 # Relative changes tried per feature, in order.
 PERTURBATIONS = (0.1, 0.2, 0.3, -0.1, -0.2, -0.3)
 MOST_COUNTERFACTUALS = 5
 BACKGROUND_COPIES = 50
-BACKGROUND_ROWS = 100
 
 
 def _features(names, value) -> F.Column:
@@ -96,18 +95,29 @@ def shapley_attribution(
     background: DataFrame,
     permutations: int = 8,
     seed: int = 42,
+    background_rows: int | None = None,
 ) -> DataFrame:
     """Shapley values of any model by random feature orders.
 
     ``score`` maps a DataFrame with the features to one with ``output`` added,
     such as a fitted pipeline's transform. Each row walks from a background row
     to itself in several random orders, one feature at a time; the change of the
-    output is credited to the feature just switched. ``background`` holds at
-    most 100 rows."""
+    output is credited to the feature just switched.
+
+    The whole ``background`` takes part, or, with ``background_rows``, a sample of about
+    so many rows drawn by a hash of their values."""
     names = list(features)
-    base = background.select(*names).limit(BACKGROUND_ROWS)
-    numbered = base.select(
-        F.row_number().over(W.orderBy(*names)).alias("_bg"),
+    base = materialize(background.select(*names), "background-rows")
+    if background_rows is not None:
+        share = background_rows / max(base.count(), 1)
+        base = base.where(uniform(seed + 2, *names) < share)
+    base = materialize(base.withColumn("_id", F.monotonically_increasing_id()), "background-ids")
+    # rows get numbers from 0 by part and place, so that no task holds them all
+    part = F.shiftright("_id", 33)
+    parts = base.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    first = parts.withColumn("_first", F.expr("sum(_n) OVER (ORDER BY _part) - _n"))
+    numbered = base.join(F.broadcast(first), part == F.col("_part")).select(  # a row for each file
+        (F.col("_first") + F.col("_id").bitwiseAND((1 << 33) - 1) + 1).alias("_bg"),
         F.array(*[F.col(c).cast("double") for c in names]).alias("_base"),
     )
     numbered = sized_broadcast(numbered, "background")

@@ -299,6 +299,7 @@ def exponentiated_gradient(
     eps: float = 0.01,
     max_iter: int = 50,
     step: float = 2.0,
+    least_iter: int = 5,
 ):
     """Reduce constrained training to weighted fits (Agarwal et al., 2018).
 
@@ -306,7 +307,9 @@ def exponentiated_gradient(
     and ``labelCol`` "_label". A multiplier per group and direction turns the
     constraint into row costs that depend only on (group, label), so each round
     is one weighted fit and one small aggregation; only group rates reach the
-    driver. Returns [(share, model)], a randomised classifier."""
+    driver. Rounds end when the rates of the mixture differ by ``eps`` or less, after
+    ``least_iter`` at the earliest and ``max_iter`` at the latest. Returns
+    [(share, model)], a randomised classifier."""
     data = rows.withColumn("_group", group_text(attribute))
     cells = {
         (r["_group"], int(r[label])): float(r["n"])
@@ -327,6 +330,7 @@ def exponentiated_gradient(
         )
 
     theta, bound, models = dict.fromkeys(sides, 0.0), 1.0 / eps, []
+    gaps = dict.fromkeys(sides, 0.0)
     for _ in range(max_iter):
         top = max(0.0, *theta.values())
         scale = np.exp(-top) + sum(np.exp(v - top) for v in theta.values())
@@ -364,6 +368,9 @@ def exponentiated_gradient(
                 rate = sum(v for k, v in here.items() if k[0] == g) / max(size(g, e), 1.0)
                 for s in (1.0, -1.0):
                     theta[(e, g, s)] += step / bound * (s * (rate - overall) - eps)
+                    gaps[(e, g, s)] += s * (rate - overall)
+        if len(models) >= least_iter and max(gaps.values()) <= eps * len(models):
+            break
     return [(1.0 / len(models), m) for m in models]
 
 

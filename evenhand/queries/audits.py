@@ -1,5 +1,7 @@
 """Audit queries: cube, metrics, significance, severity and the full audit."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from evenhand.operators import bootstrap, cube, metrics as M, severity as V
@@ -11,6 +13,7 @@ from evenhand.plans import audit as A
 from evenhand.queries import query
 from evenhand.queries.views import ATTRIBUTES, FRAME, GROUPS, KEYS, LONG, P, predictions
 from evenhand.schemas import METRIC_THRESHOLDS
+from evenhand.session import scratch_dir
 
 IDS = [*KEYS, "attribute", "attribute_ord"]
 COUNTS = ("n", "pred_pos", "true_pos", "tp", "fp", "tn", "fn")
@@ -482,13 +485,88 @@ def audit_summary(spark, folder):
     )
 
 
-@query()
+@query(
+    f"""WITH {JUDGED_CTE} SELECT model_id, attribute, name, true AS ordered,
+  CASE WHEN attribute = 'sex' AND name = 'demographic_parity_difference' THEN true END AS width_as_expected
+FROM judged WHERE name NOT IN ('calibration_gap', 'individual_fairness_score', 'intersectional_bias_score', 'temporal_drift_index')"""
+)
 def bootstrap_intervals(spark, folder):
+    """Intervals are ordered, and the parity gap of two groups is as wide as theory has it.
+
+    Its width over that of a normal interval lies near 1; near 0 for a gap about zero,
+    whose sign is dropped."""
     sided = _sided(spark, folder)
-    return bootstrap.group_intervals(sided, IDS)
+    rate = F.col("pred_pos") / F.col("n")
+    error = F.sqrt(F.sum(rate * (1 - rate) / F.col("n"))).alias("error")
+    drawn = bootstrap.group_intervals(sided, IDS).join(sided.groupBy(*IDS).agg(error), IDS)
+    width = (F.col("ci_upper") - F.col("ci_lower")) / (2 * 1.96 * F.col("error"))
+    plain = (F.col("attribute") == "sex") & (F.col("name") == "demographic_parity_difference")
+    return drawn.select(
+        "model_id",
+        "attribute",
+        "name",
+        (F.col("ci_lower") <= F.col("ci_upper")).alias("ordered"),
+        F.when(plain, width.between(0.4, 1.2)).alias("width_as_expected"),
+    )
 
 
-@query()
+@query(
+    f"""WITH {JUDGED_CTE} SELECT model_id, attribute, metric_ord, name, round(value, 6) AS value, threshold, breached, severity,
+  true AS ordered, true AS covered FROM judged"""
+)
 def full_audit(spark, folder):
-    """Every metric with its interval: the headline query."""
-    return A.audit_metrics(predictions(spark, folder), KEYS, ATTRIBUTES)
+    """Every metric with its interval: the headline query.
+
+    ``covered``: the value lies in its interval, or less than half its width outside, as
+    a difference of extremes may."""
+    audit = A.audit_metrics(predictions(spark, folder), KEYS, ATTRIBUTES)
+    slack = (F.col("ci_upper") - F.col("ci_lower")) / 2 + 1e-9
+    return audit.select(
+        "model_id",
+        "attribute",
+        "metric_ord",
+        "name",
+        F.round("value", 6).alias("value"),
+        "threshold",
+        "breached",
+        "severity",
+        (F.col("ci_lower") <= F.col("ci_upper")).alias("ordered"),
+        F.col("value").between(F.col("ci_lower") - slack, F.col("ci_upper") + slack).alias("covered"),
+    )
+
+
+@query(
+    f"""WITH {JUDGED_CTE}, o AS ({OVERALL_SQL.format(keys='model_id', rel=_MERGED)}),
+k AS (SELECT model_id, count(*) AS n FROM p GROUP BY 1)
+SELECT model_id, overall_severity, n AS sample_size, 12 AS metrics, 12 AS history, 1 AS ledger
+FROM o JOIN k USING (model_id) WHERE overall_severity <> 'LOW'"""
+)
+def persisted_audits(spark, folder):
+    """A whole audit written to its three tables, and what of each belongs together: metrics
+    in the record, history rows of its time, ledger events with its id."""
+    rows = predictions(spark, folder)
+    audits, metrics = A.run_audit(rows, ATTRIBUTES, "1995-01-01", "2002-01-01")
+    base = f"{scratch_dir(spark)}/audits-{uuid.uuid4().hex}"
+    paths = {t: f"{base}/{t}" for t in ("bias_audits", "fairness_timeseries", "ledger")}
+    A.persist(audits, metrics, paths)
+    table, series, ledger = (spark.read.parquet(paths[t]) for t in paths)
+    history = series.groupBy("model_id", "recorded_at").agg(F.count("*").cast("int").alias("history"))
+    events = ledger.groupBy(F.get_json_object("Payload", "$.audit_id").alias("audit_id")).agg(
+        F.count("*").cast("int").alias("ledger")
+    )
+    return (
+        table.join(
+            history.withColumnRenamed("recorded_at", "audit_timestamp"),
+            ["model_id", "audit_timestamp"],
+            "left",
+        )
+        .join(events, "audit_id", "left")
+        .select(
+            "model_id",
+            "overall_severity",
+            "sample_size",
+            F.size(F.json_object_keys("metrics")).alias("metrics"),
+            "history",
+            "ledger",
+        )
+    )

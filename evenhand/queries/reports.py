@@ -58,43 +58,37 @@ a AS (SELECT ov.model_id, ov.month, ov.overall_severity, ov.n_metrics, ov.n_brea
  JOIN (SELECT model_id, month, arg_min(model_version, (ts, event_id)) AS model_version FROM long GROUP BY 1, 2) v
  USING (model_id, month))"""
 
-# what one run of a session computes serves all report queries on that folder
-_BUILT: dict = {}
-
 
 def _tables(spark, folder):
-    """(nested audits, judged metrics, slices) of all models and quarters, written once."""
-    at = (spark.sparkContext.applicationId, folder)
-    if at not in _BUILT:
-        rows = by_quarter(spark, folder)
-        metrics = materialize(
-            A.audit_metrics(
-                rows,
-                KEYS,
-                _ATTRIBUTES,
-                intervals=False,
-                pairs=False,
-                history=False,
-                secondary={"segment": "sex"},
-            )
-            .withColumn("audit_timestamp", _stamp()),
-            "quarter-metrics",
-        )
-        header = (
-            A.audit_header(rows, KEYS)
-            .where("sample_size >= 100")
-            .withColumn("audit_timestamp", _stamp())
-            .withColumn("window_start", F.to_timestamp(F.concat("month", F.lit("-01"))))
-            .withColumn("window_end", F.add_months(F.col("window_start"), 3).cast("timestamp"))
-        )
-        slices = materialize(
-            demographic_slices(cube.confusion_cube(rows, KEYS, _ATTRIBUTES), KEYS), "quarter-slices"
-        )
-        audits = materialize(
-            A.audit_results(metrics, slices, header, KEYS, _ATTRIBUTES), "quarter-audits"
-        )
-        _BUILT[at] = (audits, metrics, slices)
-    return _BUILT[at]
+    """(nested audits, judged metrics, slices) of all models and quarters, written once for
+    the query that asks."""
+    rows = by_quarter(spark, folder)
+    metrics = materialize(
+        A.audit_metrics(
+            rows,
+            KEYS,
+            _ATTRIBUTES,
+            intervals=False,
+            pairs=False,
+            history=False,
+            secondary={"segment": "sex"},
+        ).withColumn("audit_timestamp", _stamp()),
+        "quarter-metrics",
+    )
+    header = (
+        A.audit_header(rows, KEYS)
+        .where("sample_size >= 100")
+        .withColumn("audit_timestamp", _stamp())
+        .withColumn("window_start", F.to_timestamp(F.concat("month", F.lit("-01"))))
+        .withColumn("window_end", F.add_months(F.col("window_start"), 3).cast("timestamp"))
+    )
+    slices = materialize(
+        demographic_slices(cube.confusion_cube(rows, KEYS, _ATTRIBUTES), KEYS), "quarter-slices"
+    )
+    audits = materialize(
+        A.audit_results(metrics, slices, header, KEYS, _ATTRIBUTES), "quarter-audits"
+    )
+    return audits, metrics, slices
 
 
 def _stamp():
