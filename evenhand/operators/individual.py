@@ -3,10 +3,7 @@
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from evenhand.operators.cube import unpivot_attributes
-
-# Scores are cut into this many cells; prefix sums run inside a cell and then
-# over cells.
-SCORE_CELLS = 8192
+from evenhand.session import materialize
 
 
 def _before(keys, order):
@@ -21,18 +18,19 @@ def individual_fairness(df: DataFrame, keys, attributes) -> DataFrame:
     a sorted list, the distances to all earlier rows sum to
     ``score * rows_before - scores_before``; doing that for all rows and
     subtracting the same sum inside the own group leaves the cross-group pairs.
-    Cells of the score range keep any one sort small, and cell totals give the
-    part of each prefix that lies in lower cells."""
+    Cells are ranges of the whole sort key with about as many distinct scores each, so
+    they keep any one sort small wherever the scores lie; cell totals give the part of
+    each prefix that lies in lower cells."""
     base = [*keys, "attribute", "attribute_ord", "y_true"]
-    cell = F.floor(F.least(F.greatest("y_score", F.lit(0.0)), F.lit(1.0)) * SCORE_CELLS)
     distinct = (
         unpivot_attributes(df.select(*keys, *attributes, "y_true", "y_score"), attributes)
         .where(F.col("y_score").isNotNull() & ~F.isnan("y_score") & F.col("y_true").isNotNull())
         .groupBy(*base, "y_score", "group_value")
         .agg(F.count(F.lit(1)).cast("double").alias("w"))
-        .withColumn("cell", cell)
         .withColumn("wx", F.col("w") * F.col("y_score"))
     )
+    ranged = distinct.repartitionByRange(*base, "y_score", "group_value")
+    distinct = materialize(ranged.withColumn("cell", F.spark_partition_id()), "pair-cells")
     in_cell = _before([*base, "cell"], "y_score")
     in_group = _before([*base, "cell", "group_value"], "y_score")
     others_n = F.coalesce(F.sum("w").over(in_cell), F.lit(0.0)) - F.coalesce(

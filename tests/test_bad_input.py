@@ -2,6 +2,8 @@
 
 import json
 
+from pyspark.sql import functions as F
+
 from evenhand.operators import cube
 from evenhand.operators.enrich import proxy_enrich
 from evenhand.operators.individual import individual_fairness
@@ -88,3 +90,23 @@ def test_lists_are_split_and_large_ones_refused(spark, tmp_path):
     ]
     assert {r["error_type"] for r in letters} == {"ValidationError"}
     assert max(len(r["original_message"]) for r in letters) == len(large)
+
+
+def test_pair_score_of_rare_events(spark):
+    """All scores close to zero: cells follow the scores, and the score stays exact."""
+    rows = spark.range(3000).select(
+        F.lit("m").alias("model_id"),
+        F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("sex"),
+        (F.col("id") % 2).cast("int").alias("y_true"),
+        ((F.col("id") * 7919 % 3000) / 3e7).alias("y_score"),
+    )
+    got = individual_fairness(rows, ["model_id"], ["sex"]).first()
+    listed = rows.collect()
+    gaps = [
+        abs(x["y_score"] - y["y_score"])
+        for i, x in enumerate(listed)
+        for y in listed[:i]
+        if x["y_true"] == y["y_true"] and x["sex"] != y["sex"]
+    ]
+    assert got["pairs"] == len(gaps)
+    assert abs((1 - got["individual_fairness_score"]) - sum(gaps) / len(gaps)) < 1e-12
