@@ -502,7 +502,7 @@ def rollback_guard(log: DataFrame, largest_drop: float = MAX_ACCURACY_DROP) -> D
             F.when(
                 F.col("severe_degradation"),
                 F.format_string(
-                    f"Undone: an unacceptable accuracy drop, %.2f points with {limit * 100:.2f} allowed",
+                    f"Undone: an unacceptable accuracy drop, %.2f%% with {limit * 100:.2f}%% allowed",
                     F.abs("accuracy_delta") * 100,
                 ),
             )

@@ -256,7 +256,7 @@ SELECT mitigation_id, round(accuracy_delta, 6) AS accuracy_delta, accuracy_delta
   (abs(1 - di_a) < abs(1 - di_b) OR dp_a < dp_b) AS fairness_improved,
   accuracy_delta < -0.15 OR NOT (abs(1 - di_a) < abs(1 - di_b) OR dp_a < dp_b) AS roll_back,
   CASE WHEN accuracy_delta < -0.15 THEN
-      'Undone: an unacceptable accuracy drop, ' || format('{{:.2f}}', abs(accuracy_delta) * 100) || ' points with 15.00 allowed'
+      'Undone: an unacceptable accuracy drop, ' || format('{{:.2f}}', abs(accuracy_delta) * 100) || '% with 15.00% allowed'
     WHEN NOT (abs(1 - di_a) < abs(1 - di_b) OR dp_a < dp_b) THEN 'Undone: it failed to improve impact ratio or parity'
     ELSE 'Kept' END AS reason
 FROM log"""
