@@ -2,8 +2,9 @@
 
 A text is brought to words once: runs of ASCII letters, digits and other letters, lower
 case, with single spaces. A rule is a regular expression over such words with a keyword
-that every match contains, a priority and a weight. Rules are tried only where their
-keyword occurs, and only in texts that hold any keyword at all. All places of the tried
+(whole words) that every match contains, a priority and a weight. Rules are tried only
+where their keyword occurs, and those that speak of a license only in texts with that
+word. All places of the tried
 rules become word intervals; an interval that lies inside one of the same or a better
 priority is suppressed (of equal intervals the better priority stays, then the earlier
 rule). The labels of the remaining ones, and the base labels, are the result.
@@ -14,6 +15,8 @@ Repeated rows give repeated rows; extra columns are carried in a struct.
 """
 
 import json
+import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -45,7 +48,7 @@ FAMILIES = [
     ("agpl-3.0", "affero", f"gnu affero general public {_L}(?: (?:version |v)3(?: 0)?)?", "agpl", "agpl v?3(?: 0)?"),
     ("gfdl-1.3", "gnu", f"gnu free documentation {_L}", "gfdl", "gfdl(?: 1 [0-3])?"),
     ("mit", "mit", f"mit {_L}", "expat", f"expat {_L}"),
-    ("mit-0", "mit", f"mit no attribution(?: {_L})?", "mit", "mit 0"),
+    ("mit-0", "mit no attribution", f"mit no attribution(?: {_L})?", "mit 0", "mit 0"),
     ("bsd-2-clause", "bsd", f"(?:simplified|freebsd|2 clause|two clause) bsd {_L}", "bsd", "bsd 2 clause"),
     ("bsd-3-clause", "bsd", f"(?:new|revised|modified|3 clause|three clause) bsd {_L}", "bsd", "bsd 3 clause"),
     ("bsd-4-clause", "bsd", f"(?:original|old|4 clause|four clause) bsd {_L}", "bsd", "bsd 4 clause"),
@@ -62,19 +65,19 @@ FAMILIES = [
     ("zlib", "zlib", f"zlib(?: libpng)? {_L}", "zlib", "zlib acknowledgement"),
     ("libpng", "libpng", f"libpng {_L}", "libpng", "libpng 2 0"),
     ("unlicense", "unlicense", "the unlicense", "unlicense", "unlicense org"),
-    ("cc0-1.0", "zero", "(?:cc0|creative commons zero)(?: 1 0)?(?: universal)?", "cc0", "cc0(?: 1 0)?"),
-    ("cc-by-3.0", "attribution", f"creative commons attribution 3 0(?: {_L})?", "cc", "cc by 3 0"),
-    ("cc-by-4.0", "attribution", f"creative commons attribution 4 0(?: international)?(?: {_L})?", "cc", "cc by 4 0"),
-    ("cc-by", "attribution", f"creative commons attribution(?: {_L})?", "cc", "cc by"),
-    ("cc-by-sa-3.0", "attribution", "creative commons attribution share ?alike 3 0", "cc", "cc by sa 3 0"),
-    ("cc-by-sa-4.0", "attribution", "creative commons attribution share ?alike 4 0", "cc", "cc by sa 4 0"),
-    ("cc-by-sa", "attribution", "creative commons attribution share ?alike", "cc", "cc by sa"),
-    ("cc-by-nc-4.0", "attribution", "creative commons attribution non ?commercial 4 0", "cc", "cc by nc 4 0"),
-    ("cc-by-nc", "attribution", "creative commons attribution non ?commercial", "cc", "cc by nc"),
-    ("cc-by-nd-4.0", "attribution", "creative commons attribution no ?derivatives 4 0", "cc", "cc by nd 4 0"),
-    ("cc-by-nd", "attribution", "creative commons attribution no ?derivatives", "cc", "cc by nd"),
-    ("cc-by-nc-sa-4.0", "attribution", "creative commons attribution non ?commercial share ?alike(?: 4 0)?", "cc", "cc by nc sa(?: 4 0)?"),
-    ("cc-by-nc-nd-4.0", "attribution", "creative commons attribution non ?commercial no ?derivatives(?: 4 0)?", "cc", "cc by nc nd(?: 4 0)?"),
+    ("cc0-1.0", "zero", "creative commons zero(?: 1 0)?(?: universal)?", "cc0", "cc0(?: 1 0)?"),
+    ("cc-by-3.0", "attribution", f"creative commons attribution 3 0(?: {_L})?", "cc by", "cc by 3 0"),
+    ("cc-by-4.0", "attribution", f"creative commons attribution 4 0(?: international)?(?: {_L})?", "cc by", "cc by 4 0"),
+    ("cc-by", "attribution", f"creative commons attribution(?: {_L})?", "cc by", "cc by"),
+    ("cc-by-sa-3.0", "attribution", "creative commons attribution share ?alike 3 0", "cc by", "cc by sa 3 0"),
+    ("cc-by-sa-4.0", "attribution", "creative commons attribution share ?alike 4 0", "cc by", "cc by sa 4 0"),
+    ("cc-by-sa", "attribution", "creative commons attribution share ?alike", "cc by", "cc by sa"),
+    ("cc-by-nc-4.0", "attribution", "creative commons attribution non ?commercial 4 0", "cc by", "cc by nc 4 0"),
+    ("cc-by-nc", "attribution", "creative commons attribution non ?commercial", "cc by", "cc by nc"),
+    ("cc-by-nd-4.0", "attribution", "creative commons attribution no ?derivatives 4 0", "cc by", "cc by nd 4 0"),
+    ("cc-by-nd", "attribution", "creative commons attribution no ?derivatives", "cc by", "cc by nd"),
+    ("cc-by-nc-sa-4.0", "attribution", "creative commons attribution non ?commercial share ?alike(?: 4 0)?", "cc by", "cc by nc sa(?: 4 0)?"),
+    ("cc-by-nc-nd-4.0", "attribution", "creative commons attribution non ?commercial no ?derivatives(?: 4 0)?", "cc by", "cc by nc nd(?: 4 0)?"),
     ("artistic-1.0", "artistic", f"artistic {_L} (?:version )?1(?: 0)?", "artistic", "artistic 1 0"),
     ("artistic-2.0", "artistic", f"artistic {_L}(?: (?:version )?2(?: 0)?)?", "artistic", "artistic 2 0"),
     ("bsl-1.0", "boost", f"boost software {_L}", "bsl", "bsl 1 0"),
@@ -85,8 +88,8 @@ FAMILIES = [
     ("php-3.01", "php", f"php {_L}", "php", "php 3 01"),
     ("ruby", "ruby", f"ruby {_L}", "ruby", f"same {_L} as ruby"),
     ("eupl-1.2", "european", f"european union public {_L}", "eupl", "eupl(?: v?1 [0-2])?"),
-    ("ms-pl", "microsoft", f"microsoft public {_L}", "ms", "ms pl"),
-    ("ms-rl", "microsoft", f"microsoft reciprocal {_L}", "ms", "ms rl"),
+    ("ms-pl", "microsoft", f"microsoft public {_L}", "ms pl", "ms pl"),
+    ("ms-rl", "microsoft", f"microsoft reciprocal {_L}", "ms rl", "ms rl"),
     ("osl-3.0", "open", f"open software {_L}(?: 3 0)?", "osl", "osl 3 0"),
     ("afl-3.0", "academic", f"academic free {_L}", "afl", "afl 3 0"),
     ("ecl-2.0", "educational", f"educational community {_L}", "ecl", "ecl 2 0"),
@@ -127,26 +130,39 @@ TEMPLATES = [
 BASE_WEIGHT = 0.6
 
 
+def needs_license(pattern: str) -> bool:
+    """Whether every match has a word that begins like license: it stands in the pattern
+    outside all optional groups and alternatives."""
+    held = None
+    while held != pattern:
+        held = pattern
+        pattern = re.sub(r"\(\?:[^()|]*\)(?!\?)", lambda m: m[0][3:-1], pattern)
+        pattern = re.sub(r"\(\?:[^()]*\)\??", "", pattern)
+    return re.search(r"(^| )licen\[cs\]", pattern) is not None
+
+
 def rules(families=None, templates=None) -> list[dict]:
     """All rules in order: every template for every family."""
     out = []
     for priority, weight, template, form in templates or TEMPLATES:
         for label, name_key, name, short_key, short in families or FAMILIES:
             key, body = (name_key, name) if form == "name" else (short_key, short)
+            whole = template.format(f"(?:{body})")
             out.append(
                 {
                     "priority": priority,
                     "place": len(out),
                     "label": label,
                     "weight": weight,
-                    "keyword": key,
-                    "pattern": f"(?<= )(?:{template.format(f'(?:{body})')})(?= )",
+                    "keyword": f" {key} ",
+                    "license": needs_license(whole),
+                    "pattern": f"(?<= )(?:{whole})(?= )",
                 }
             )
     return out
 
 
-_RULE = "array<struct<priority:int,place:int,label:string,weight:double,keyword:string,pattern:string>>"
+_RULE = "array<struct<priority:int,place:int,label:string,weight:double,keyword:string,license:boolean,pattern:string>>"
 _FOUND = "array<struct<start:int,back:int,priority:int,place:int,label:string,weight:double>>"
 _OPEN, _CLOSE = "\x01", "\x02"
 
@@ -214,10 +230,11 @@ def scan(docs: DataFrame, carry: list[str], chosen: list[dict] | None = None) ->
     table = F.from_json(F.lit(json.dumps(chosen)), _RULE)
     base = " (?=(?:" + "|".join(PHRASES) + ") )"
     norm = F.col("norm")
-    keys = sorted({r["keyword"] for r in chosen})
-    gate = F.lit(False)
-    for k in keys:
-        gate = gate | norm.contains(k)
+    any_of = lambda keys: reduce(lambda a, k: a | norm.contains(k), sorted(keys), F.lit(False))
+    licensed = norm.contains(" licen")
+    gate = (licensed & any_of({r["keyword"] for r in chosen if r["license"]})) | any_of(
+        {r["keyword"] for r in chosen if not r["license"]}
+    )
     has_base = F.lit(False)
     for p in PHRASES:
         has_base = has_base | norm.contains(f" {p} ")
@@ -230,7 +247,7 @@ def scan(docs: DataFrame, carry: list[str], chosen: list[dict] | None = None) ->
         F.concat(F.lit(" "), F.col("trimmed"), F.lit(" ")).alias("norm"),
     )
     empty = F.struct(F.array().cast("array<string>").alias("labels"), F.lit(0.0).alias("score"))
-    hits = F.filter(table, lambda r: norm.contains(r["keyword"]))
+    hits = F.filter(table, lambda r: norm.contains(r["keyword"]) & (~r["license"] | licensed))
     found = F.flatten(F.transform(hits, lambda r: places(norm, r)))
     marked = prepared.select(
         "_row",

@@ -55,6 +55,9 @@ TEXTS = [
     "permit license apachelicense cc bye été MİT License mit licensé",
     "x " * 5000 + "cc by " * 300 + "mit license",
     "dedicated to the public domain under CC0 1.0 Universal; unlicense.org",
+    "CC0 1.0 Universal",
+    "Creative Commons Zero 1.0 Universal, MIT No Attribution, MIT-0",
+    "released under the MS-PL and Creative Commons Attribution ShareAlike 3.0",
 ]
 
 
@@ -82,7 +85,10 @@ def test_containment(spark):
 
 def test_every_keyword_is_in_its_rule():
     for r in licenses.rules():
-        assert r["keyword"] in r["pattern"], r
+        assert r["keyword"].strip() in r["pattern"], r
+    by = {(r["label"], r["priority"]): r for r in licenses.rules()}
+    assert by["mit", 2]["license"] and not by["gpl-3.0", 3]["license"]
+    assert not by["cc-by-4.0", 2]["license"] and by["apache-2.0", 0]["license"]
 
 
 def test_query(spark, rows, docs, crowded, none, as_table):
