@@ -2,11 +2,12 @@
 
 Paths are split into segments; digits, hashes and very long segments become wildcards of
 their shape. Urls are counted per (host, typed path) in a partial aggregate, so the tree
-is built over branches, not over urls. Level by level from the root of each host, a
-branch is merged with its siblings into one wildcard if what lies below it is
+is built over branches, not over urls. Fork by fork from the root of each host, down to
+the deepest, a branch is merged with its siblings into one wildcard if what lies below it is
 distributed as below all siblings of its depth together (total variation) and its labels
 agree with theirs (a binomial bound); others stay literal. Each branch is compared with
-that sum, never with each sibling. A leaf of the tree is a template. Its share of
+that sum, never with each sibling. Where paths do not fork they stay literal, however long
+they are, and are passed in one step. A leaf of the tree is a template. Its share of
 bad labels, smoothed to the host's, which is smoothed to that of all hosts, rejects it.
 
 All steps are built-in functions. Nulls: a null url, or one without ``://``, has empty
@@ -14,6 +15,8 @@ host and path, and no labels by default. Repeated rows count and are judged one
 Extra columns are ignored. An empty table gives no rows.
 """
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from evenhand.llm.common import sized
@@ -28,7 +31,8 @@ RULES = (
     ("block", "net", "/fr/"),
 )
 
-#: Segments a path keeps; what is deeper becomes one open end.
+#: Segments :func:`typed` keeps if not told otherwise; what is deeper becomes one open end.
+#: Urls are judged by their whole paths.
 DEPTH = 6
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -51,8 +55,9 @@ def ruled(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
-def typed(path: Column, depth: int = DEPTH) -> Column:
-    """The segments of a path with variable ones as wildcards of their shape."""
+def typed(path: Column, depth: int | None = DEPTH) -> Column:
+    """The segments of a path with variable ones as wildcards of their shape; all of them if
+    ``depth`` is None."""
     segments = F.split(F.regexp_replace(path, "^/", ""), "/", -1)
 
     def shape(s: Column) -> Column:
@@ -63,24 +68,58 @@ def typed(path: Column, depth: int = DEPTH) -> Column:
             .otherwise(F.regexp_replace(s, "[0-9]+", "{n}"))
         )
 
+    if depth is None:
+        return F.transform(segments, shape)
     kept = F.transform(F.slice(segments, 1, depth), shape)
     return F.when(F.size(segments) > depth, F.concat(kept, F.array(F.lit("{more}")))).otherwise(kept)
 
 
+def forked(state: DataFrame) -> DataFrame:
+    """Every branch with its ``prefix`` grown to the next fork of its node, and whether it goes
+    on from there (``open``). A path that ends before the fork, or meets none, is whole.
+
+    All paths of a node are held against its greatest, which none continues: the fork is
+    where the first of them leaves it."""
+    keys = ["host", "prefix"]
+    own = state.withColumn("rest", F.slice("typed", F.size("prefix") + 1, F.size("typed")))
+    top = own.groupBy(*keys).agg(F.max("rest").alias("top"))
+    same = (
+        "coalesce(nullif(array_position(transform(rest, (x, i) -> x <=> get(top, i)), false), 0) - 1,"
+        " size(rest))"
+    )
+    own = own.join(sized(top, "url-top"), keys).withColumn("same", F.expr(same).cast("int")).drop("top")
+    own = materialize(own, "url-same")
+    fork = own.where("same < size(rest)").groupBy(*keys).agg(F.min("same").alias("fork"))
+    return own.join(sized(fork, "url-forks"), keys, "left").select(
+        "host",
+        "typed",
+        "n",
+        "labelled",
+        "bad",
+        F.expr("concat(prefix, slice(rest, 1, least(coalesce(fork, size(rest)), size(rest))))").alias("prefix"),
+        F.expr("fork IS NOT NULL AND size(rest) > fork").alias("open"),
+    )
+
+
 def templates(
     branches: DataFrame,
-    depth: int = DEPTH,
     tolerance: float = 0.2,
     sigmas: float = 3.0,
 ) -> DataFrame:
     """``host``, ``typed`` and the ``template`` its tree gives it.
 
     ``branches`` has ``host``, ``typed``, ``n``, ``labelled`` and ``bad``, one row each."""
-    deepest = branches.agg(F.max(F.size("typed"))).first()[0] or 0
     state = branches.withColumn("prefix", F.array().cast("array<string>"))
-    for level in range(min(deepest, depth + 1)):
-        here = state.withColumn("child", F.get("typed", F.lit(level))).withColumn(
-            "rest", F.array_join(F.slice("typed", level + 2, depth + 1), "/")
+    whole = []
+    while True:
+        state = materialize(forked(state), "url-forked")
+        whole.append(state.where(~F.col("open")).drop("open"))
+        state = state.where("open").drop("open")
+        if state.isEmpty():
+            break
+        level = F.size("prefix")
+        here = state.withColumn("child", F.get("typed", level)).withColumn(
+            "rest", F.array_join(F.slice("typed", level + 2, F.size("typed")), "/")
         )
         here = materialize(here, "url-level")
         below = here.groupBy("host", "prefix", "child", "rest").agg(
@@ -140,11 +179,9 @@ def templates(
             "n",
             "labelled",
             "bad",
-            F.when(F.col("child").isNull(), F.col("prefix"))
-            .otherwise(F.concat("prefix", F.array("token")))
-            .alias("prefix"),
+            F.concat("prefix", F.array("token")).alias("prefix"),
         )
-    return state.withColumn("template", F.concat(F.lit("/"), F.array_join("prefix", "/"))).drop("prefix")
+    return reduce(DataFrame.union, whole).withColumn("template", F.concat(F.lit("/"), F.array_join("prefix", "/"))).drop("prefix")
 
 
 def rejected(leaves: DataFrame, prior: float = 5.0, most_bad: float = 0.5) -> DataFrame:
@@ -172,7 +209,7 @@ def judge(pages: DataFrame, labels: DataFrame | None = None, rules=RULES, **para
     each page, bad if any is."""
     host, path = parts(F.col("url"))
     split = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn(
-        "typed", typed(F.col("path"))
+        "typed", typed(F.col("path"), None)
     )
     if labels is None:
         labelled = split.withColumn("bad", F.lit(None).cast("int"))

@@ -107,3 +107,20 @@ def test_empty_and_native(spark):
     assert out.count() == 0
     plan = tree(spark, [(1, "http://a.org/x/1")])._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|CartesianProduct", plan)
+
+
+def test_deep_branches_are_kept_apart(spark):
+    rows, labels = [], []
+    for i in range(200):
+        kind = ("ham", "spam")[i % 2]
+        rows.append((i, f"http://a.org/site/blog/2024/05/12/news/{kind}/{i}"))
+        rows.append((1000 + i, "http://b.org/" + "d/" * 40 + f"{kind}/x"))
+        rows.append((2000 + i, "http://c.org" + "/e" * (1 + i % 50)))
+        labels += [(i, i % 2), (1000 + i, i % 2), (2000 + i, 0)]
+    got = Counter((r.host, r.template, r.verdict) for r in tree(spark, rows, labels).collect() if r.host != "c.org")  # c.org: no fork
+    assert got == {
+        ("a.org", "/site/blog/{n}/{n}/{n}/news/ham/{n}", "allow"): 100,
+        ("a.org", "/site/blog/{n}/{n}/{n}/news/spam/{n}", "block"): 100,
+        ("b.org", "/" + "d/" * 40 + "ham/x", "allow"): 100,
+        ("b.org", "/" + "d/" * 40 + "spam/x", "block"): 100,
+    }
