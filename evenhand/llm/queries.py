@@ -213,3 +213,95 @@ def op9_lm_scores(spark, sf_dir):
     from evenhand.llm import lm
 
     return lm.scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def _op11_sql(k: int = 40, rounds: int = 5) -> str:
+    """Every round spelled out: distances to all centroids, then exact floors of the means."""
+    steps = [
+        f"""v AS (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id,
+    list_transform(embedding, lambda e: CAST(floor(256 * CAST(e AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64)""",
+        f"""c0 AS (SELECT row_number() OVER (ORDER BY h, x) - 1 AS c, x FROM
+    (SELECT sha256('2:' || vec_id) AS h, x FROM v ORDER BY h NULLS LAST, x LIMIT {k}))""",
+    ]
+    for n in range(rounds + 1):
+        steps.append(f"""a{n} AS (SELECT r, min({{'d': d, 'c': c}}) AS best FROM (SELECT v.r, c,
+    CAST(list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - w.x[i]) * (v.x[i] - w.x[i]))) AS BIGINT) AS d
+  FROM v, c{n} AS w) GROUP BY r)""")
+        if n < rounds:
+            steps.append(f"""s{n} AS (SELECT best.c AS c, i, CAST(sum(x[i]) AS BIGINT) AS s, count(*) AS n
+  FROM a{n} JOIN v USING (r), range(1, 65) AS g(i) GROUP BY ALL),
+m{n} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x FROM s{n} GROUP BY c),
+c{n + 1} AS (SELECT c{n}.c, coalesce(m{n}.x, c{n}.x) AS x FROM c{n} LEFT JOIN m{n} USING (c))""")
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, CAST(best.c AS INTEGER) AS cluster, best.d AS distance,
+  CAST(sum(best.d) OVER (PARTITION BY best.c) AS BIGINT) AS cluster_inertia, CAST(sum(best.d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(z.x, ',')) AS centroid_sha256
+FROM a{rounds} JOIN v USING (r) JOIN c{rounds} AS z ON z.c = best.c"""
+
+
+@query(_op11_sql())
+def op11_ptolemaic_clusters(spark, sf_dir):
+    """Cluster of every vector after five rounds, with inertia and centroid."""
+    from evenhand.llm import pivots
+
+    return pivots.report(table(spark, sf_dir, "embeddings"), k=40, rounds=5)
+
+
+_OP12_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) END) AS g FROM w),
+n AS (SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles FROM s),
+e AS (SELECT doc_id, unnest(g) AS g FROM s),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM e AS a JOIN e AS b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+k AS (SELECT a, b FROM o JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b
+  WHERE 100 * o >= 85 * (x.n_shingles + y.n_shingles - o)),
+pairs AS (SELECT a, b FROM k UNION SELECT b, a FROM k),
+reach AS (SELECT doc_id, doc_id AS root FROM n UNION SELECT b, root FROM reach JOIN pairs ON a = doc_id)
+SELECT doc_id, any_value(n_shingles) AS n_shingles, min(root) AS component_id FROM n JOIN reach USING (doc_id) GROUP BY doc_id"""
+
+
+@query(_OP12_SQL)
+def op12_ngram_jaccard_join(spark, sf_dir):
+    """Number of distinct 4-word shingles of every document, and its component of links."""
+    from evenhand.llm import ngramjoin
+
+    return ngramjoin.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
+_OP13_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT doc_id, part, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+    min(doc_id) OVER (PARTITION BY t) AS first FROM d),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, {'A': len(ws) < 100,
+    'B': 100 * len(list_distinct(ws)) < 80 * len(ws), 'C': 100 * len(regexp_extract_all(t, '[A-Z]')) > 10 * length(t),
+    'D': regexp_matches(t, '[#$%&*|]'), 'E': coalesce(doc_id > first, false)} AS fails FROM m LEFT JOIN l USING (doc_id)),
+p AS (SELECT part, good, toxic, list_filter(['A', 'B', 'C', 'D', 'E'], lambda x: CASE x WHEN 'A' THEN fails.A WHEN 'B' THEN fails.B
+    WHEN 'C' THEN fails.C WHEN 'D' THEN fails.D ELSE fails.E END) AS bad, count(*) AS n FROM f GROUP BY ALL),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT filter_order, step, filter_order[step] AS x FROM orders, range(1, 6) AS r(step)),
+-- the step at which each cell's documents go in each order
+gone AS (SELECT p.*, filter_order, coalesce(list_min(list_transform(bad, lambda b: instr(filter_order, b))), 6) AS hit FROM p, orders),
+each_ AS (SELECT part, filter_order, step, x, sum(CASE WHEN hit > step THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN hit = step THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN hit < step AND list_contains(bad, x) THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN bad = [x] THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN hit = step AND good THEN n ELSE 0 END) AS good_lost, sum(CASE WHEN hit = step AND toxic THEN n ELSE 0 END) AS toxic_lost
+  FROM gone JOIN steps USING (filter_order) GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+  CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+  CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley FROM each_"""
+
+
+@query(_OP13_SQL)
+def op13_filter_interaction(spark, sf_dir):
+    """What every order of the five filters removes, step by step, in each language."""
+    from evenhand.llm import interplay
+
+    return interplay.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "lang")
