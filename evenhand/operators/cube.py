@@ -1,7 +1,7 @@
 """The confusion cube: one distributed pass from which most of the audit follows.
 
-``joint_cube`` is the only step that touches rows. It counts rows per model (and
-window), combination of group values, score bin, prediction and truth. Every
+``joint_cube`` counts rows per model (and window), combination of group values, score
+bin, prediction and truth; an audit takes it from its stored lattice. Every
 per-attribute table below is a re-aggregation of those counts.
 """
 
@@ -48,19 +48,16 @@ def present_attributes(df: DataFrame, attributes) -> list:
     return [a for a in attributes if a in df.columns]
 
 
-def joint_cube(df: DataFrame, keys, attributes, bins: bool = True, at: str | None = None) -> DataFrame:
-    """Row counts per key, group combination, score bin, prediction and truth.
-
-    With a time column ``at`` the earliest and latest time come along."""
+def joint_cube(df: DataFrame, keys, attributes, bins: bool = True) -> DataFrame:
+    """Row counts per key, group combination, score bin, prediction and truth."""
     dims = [group_text(a).alias(a) for a in attributes]
     if bins:
         dims.append(score_bin("y_score").alias("score_bin"))
-    times = [F.min(at).alias("first_at"), F.max(at).alias("last_at")] if at else []
     return (
         df.where(READABLE)
-        .select(*keys, *dims, "y_pred", "y_true", *([at] if at else []))
+        .select(*keys, *dims, "y_pred", "y_true")
         .groupBy(*keys, *attributes, *(["score_bin"] if bins else []), "y_pred", "y_true")
-        .agg(F.count(F.lit(1)).alias("n"), *times)
+        .agg(F.count(F.lit(1)).alias("n"))
     )
 
 

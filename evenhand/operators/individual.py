@@ -12,9 +12,15 @@ def _before(keys, order):
 
 def individual_fairness(df: DataFrame, keys, attributes) -> DataFrame:
     """1 - mean |score difference| over all pairs that share the truth and differ
-    in group, clipped to [0, 1]; 1 where there is no such pair.
+    in group, clipped to [0, 1]; 1 where there is no such pair."""
+    return pair_score(df.withColumn("n", F.lit(1)), keys, attributes)
 
-    Exact and without forming pairs. Rows collapse to distinct scores first. For
+
+def pair_score(counted: DataFrame, keys, attributes) -> DataFrame:
+    """The score of ``individual_fairness`` from rows that stand for ``n`` equal ones.
+
+    Exact and without forming pairs. Rows collapse to distinct scores of the group
+    combinations first, and only then to one list for each attribute. For
     a sorted list, the distances to all earlier rows sum to
     ``score * rows_before - scores_before``; doing that for all rows and
     subtracting the same sum inside the own group leaves the cross-group pairs.
@@ -22,11 +28,12 @@ def individual_fairness(df: DataFrame, keys, attributes) -> DataFrame:
     they keep any one sort small wherever the scores lie; cell totals give the part of
     each prefix that lies in lower cells."""
     base = [*keys, "attribute", "attribute_ord", "y_true"]
+    known = F.col("y_score").isNotNull() & ~F.isnan("y_score") & F.col("y_true").isNotNull()
+    combined = counted.where(known).groupBy(*keys, *attributes, "y_true", "y_score").agg(F.sum("n").alias("n"))
     distinct = (
-        unpivot_attributes(df.select(*keys, *attributes, "y_true", "y_score"), attributes)
-        .where(F.col("y_score").isNotNull() & ~F.isnan("y_score") & F.col("y_true").isNotNull())
+        unpivot_attributes(combined, attributes)
         .groupBy(*base, "y_score", "group_value")
-        .agg(F.count(F.lit(1)).cast("double").alias("w"))
+        .agg(F.sum("n").cast("double").alias("w"))
         .withColumn("wx", F.col("w") * F.col("y_score"))
     )
     ranged = distinct.repartitionByRange(*base, "y_score", "group_value")

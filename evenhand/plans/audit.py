@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from evenhand.operators import bootstrap, cube, metrics as M, severity as V
 from evenhand.operators.drift import cusum
-from evenhand.operators.individual import individual_fairness
+from evenhand.operators.lattice import Lattice
 from evenhand.operators.significance import chi_square_columns, p_value
 from evenhand.operators.slices import demographic_slices, nested_slices
 from evenhand.operators.temporal import temporal_drift, window_gaps
@@ -89,6 +89,15 @@ def second_axes(attributes, compat: bool) -> dict:
     return {a: attributes[(i + 1) % len(attributes)] for i, a in enumerate(attributes)}
 
 
+def audit_lattice(
+    rows: DataFrame, keys, attributes, order=("ts", "event_id"), compat=False, secondary=None, history=True
+) -> Lattice:
+    """The lattice that an audit of these attributes and second axes needs."""
+    axes = {**second_axes(attributes, compat), **(secondary or {})}
+    extra = [a for a in dict.fromkeys(axes.values()) if a not in (*attributes, "y_true")]
+    return Lattice(rows, keys, attributes, extra, order, history)
+
+
 def audit_metrics(
     rows: DataFrame,
     keys,
@@ -103,24 +112,21 @@ def audit_metrics(
     privileged: dict | None = None,
     secondary: dict | None = None,
     past: DataFrame | None = None,
+    lattice: Lattice | None = None,
 ) -> DataFrame:
     """All metrics of every key and protected attribute, one judged row each.
 
     ``rows`` carries the keys, the attributes, y_true, y_pred, y_score and the
-    ``order`` columns. Only the cube, the pair score and the time windows touch
-    rows; the cube is written once and the rest derives from it. Keys below the
-    minimum sample are left out (see ``cube.sample_gate``). ``secondary`` overrides
+    ``order`` columns. Only the leaf of the lattice and the few edge ticks of its time
+    windows touch rows; the rest are roll-ups. Keys below the minimum sample are left out (see ``cube.sample_gate``). ``secondary`` overrides
     the second axis of the intersectional score per attribute. ``past`` is a history
     with the keys, recorded_at and metric_value; keys with more than five points
     take their temporal drift from it."""
     keys, attributes = list(keys), cube.present_attributes(rows, attributes)
-    rows = rows.where(cube.READABLE)
     ids = [*keys, "attribute", "attribute_ord"]
     axes = {**second_axes(attributes, compat), **(secondary or {})}
-    extra = [a for a in dict.fromkeys(axes.values()) if a not in (*attributes, "y_true")]
-    timed = cube.joint_cube(rows, keys, [*attributes, *extra], at=order[0] if history else None)
-    joint = materialize(timed, "joint-cube")
-    groups = cube.group_cube(joint, keys, attributes)
+    lattice = lattice or audit_lattice(rows, keys, attributes, order, compat, secondary, history)
+    joint, groups = lattice.joint, lattice.groups
     frame = cube.audit_frame(groups, keys, privileged).where(F.col("sample_size") >= minimum)
     # one row per group: everything below is small and starts from here
     sided = materialize(cube.with_sides(groups, frame, keys), "sided-groups")
@@ -151,12 +157,11 @@ def audit_metrics(
     empty = {"calibration_gap": 0.0, "intersectional_bias_score": 0.0}
     if pairs:
         name = "individual_fairness_score"
-        found = found.unionByName(part(individual_fairness(rows, keys, attributes), name))
+        found = found.unionByName(part(lattice.individual_fairness(), name))
         empty[name] = 1.0
     if history:
         name = "temporal_drift_index"
-        bounds = joint.agg(F.unix_micros(F.min("first_at")), F.unix_micros(F.max("last_at"))).first()
-        gaps = window_gaps(rows, frame, keys, attributes, list(order), bounds=tuple(bounds))
+        gaps = window_gaps(rows, frame, keys, attributes, order, lattice.cells)
         found = found.unionByName(part(temporal_drift(gaps, keys), name))
         empty[name] = 0.0
     carried = ["privileged_group", "compared_group", "privileged_size", "unprivileged_size", "p_value"]
@@ -300,12 +305,16 @@ def run_audit(
     """Audit one time window: returns (nested audit records, long metric rows)."""
     keys = list(keys)
     attributes = cube.present_attributes(rows, attributes)
-    metrics = materialize(audit_metrics(rows, keys, attributes, **options), "audit-metrics")
-    slices = demographic_slices(cube.confusion_cube(rows, keys, attributes), keys)
+    order = options.get("order", ("ts", "event_id"))
+    lattice = audit_lattice(
+        rows, keys, attributes, order, options.get("compat", False), options.get("secondary")
+    )
+    metrics = materialize(audit_metrics(rows, keys, attributes, lattice=lattice, **options), "audit-metrics")
+    slices = demographic_slices(lattice.groups, keys)
     # one time for the whole audit: ids, history and ledger are made from it
     now = F.lit(audit_time or dt.datetime.now(dt.UTC)).cast("timestamp")
     header = (
-        audit_header(rows, keys, options.get("order", ("ts", "event_id")))
+        lattice.header()
         .withColumn("window_start", F.lit(start).cast("timestamp"))
         .withColumn("window_end", F.lit(end).cast("timestamp"))
         .withColumn("audit_timestamp", now)

@@ -469,13 +469,10 @@ SELECT model_id, attribute, round(max(pred_pos / n) - min(pred_pos / n), 6) AS p
 FROM s GROUP BY model_id, attribute"""
 )
 def audit_summary(spark, folder):
-    wide = M.group_metrics(
-        _sided(spark, folder),
-        IDS,
-        ["demographic_parity_difference", "disparate_impact_ratio"],
-    )
-    sizes = _sided(spark, folder).groupBy(*IDS).agg(F.sum("n").alias("sample_size"))
-    return wide.join(sizes, IDS).select(
+    names = ["demographic_parity_difference", "disparate_impact_ratio"]
+    sided = _sided(spark, folder)
+    wide = sided.groupBy(*IDS).agg(F.sum("n").alias("sample_size"), *M.group_metric_columns(names))
+    return wide.select(
         "model_id",
         "attribute",
         F.round("demographic_parity_difference", 6).alias("parity_gap"),
