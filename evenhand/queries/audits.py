@@ -313,8 +313,7 @@ def temporal_drift_index(spark, folder):
     )
 
 
-# statistic with Yates' correction on one degree of freedom; the tail in closed
-# form for four (segment), the critical value for one (sex)
+# statistic with Yates' correction on one degree of freedom
 CHI_CTE = """
 x AS (SELECT model_id, attribute, group_count, n, n * sample_pos / sample_size AS e1,
              n - n * sample_pos / sample_size AS e0, pred_pos AS o1 FROM s),
@@ -323,30 +322,12 @@ chi AS (SELECT model_id, attribute, sum(dev * dev / e1 + dev * dev / e0) AS chi2
                CAST(max(group_count) - 1 AS BIGINT) AS dof FROM d GROUP BY ALL)"""
 
 
-@query(
-    f"""WITH {FRAME}, {CHI_CTE}
-SELECT model_id, attribute, dof, round(chi2, 6) AS chi2,
-       CASE WHEN dof = 4 THEN chi2 > 9.487729036781154 ELSE chi2 > 3.841458820694124 END AS significant,
-       CASE WHEN dof = 4 THEN round(exp(-chi2 / 2) * (1 + chi2 / 2), 6) END AS even_p_value
-FROM chi"""
-)
-def chi_square(spark, folder):
-    return chi_square_test(_sided(spark, folder), KEYS).select(
-        "model_id",
-        "attribute",
-        "dof",
-        F.round("chi2", 6).alias("chi2"),
-        (F.col("p_value") < 0.05).alias("significant"),
-        F.when(F.col("dof") == 4, F.round("p_value", 6)).alias("even_p_value"),
-    )
-
-
 _ALL_METRICS = {
     **{n: f"m.{n}" for n in METRIC_SQL},
     "calibration_gap": "m8.calibration_gap",
     "individual_fairness_score": "m9.individual_fairness_score",
     "intersectional_bias_score": "m11.intersectional_bias_score",
-    "temporal_drift_index": "m12.temporal_drift_index",
+    "temporal_drift_index": "coalesce(m12.temporal_drift_index, 0)",
 }
 _BELOW = ("disparate_impact_ratio", "individual_fairness_score")
 _STRUCTS = ", ".join(
@@ -354,18 +335,20 @@ _STRUCTS = ", ".join(
     f"'threshold': CAST({t!r} AS DOUBLE), 'below': {str(n in _BELOW).lower()}}}"
     for i, (n, t) in enumerate(METRIC_THRESHOLDS.items())
 )
-# p-values: exact for four degrees of freedom, for one only the side of 0.05
-# matters to any severity
+# tail of chi-square: in closed form for four degrees of freedom, and for one by the series
+# of the error function whose terms are all positive
+ONE_DOF = """CASE WHEN chi2 <= 0 THEN 1.0 WHEN chi2 > 60 THEN 0.0 ELSE 1 - sqrt(2 * chi2 / pi()) * exp(-chi2 / 2) *
+  list_sum(list_transform(range(0, 200), lambda k: exp(k * ln(chi2) + k * ln(2) + lgamma(k + 1) - lgamma(2 * k + 2)))) END"""
+P_VALUE = f"CASE WHEN dof = 4 THEN exp(-chi2 / 2) * (1 + chi2 / 2) ELSE {ONE_DOF} END"
 JUDGED_CTE = f"""{FRAME}, {CHI_CTE}, {CALIBRATION_CTE}, {INTERSECTION_CTE}, {PAIRS_CTE}, {WINDOWS_CTE},
 m AS (SELECT model_id, attribute, attribute_ord, {", ".join(f"{e} AS {n}" for n, e in METRIC_SQL.items())}
       FROM s GROUP BY ALL),
 un AS (SELECT model_id, attribute, attribute_ord,
-         CASE WHEN dof = 4 THEN exp(-chi2 / 2) * (1 + chi2 / 2)
-              WHEN chi2 > 3.841458820694124 THEN 0.0 ELSE 1.0 END AS p_value,
+         {P_VALUE} AS p_value,
          unnest([{_STRUCTS}]) AS e
        FROM m JOIN chi USING (model_id, attribute) JOIN m8 USING (model_id, attribute)
        JOIN m9 USING (model_id, attribute) JOIN m11 USING (model_id, attribute)
-       JOIN m12 USING (model_id, attribute)),
+       LEFT JOIN m12 USING (model_id, attribute)),
 jb AS (SELECT model_id, attribute, attribute_ord, p_value, e.metric_ord AS metric_ord, e.name AS name,
          e.value AS value, e.threshold AS threshold, e.below AS below,
          CASE WHEN e.below THEN e.value < e.threshold ELSE e.value > e.threshold END AS breached,
@@ -389,6 +372,21 @@ FROM (SELECT *, CASE WHEN below THEN threshold / greatest(round(value, 6), 1e-10
                      ELSE round(value, 6) / threshold END AS times6 FROM {rel}) GROUP BY {keys}"""
 
 
+@query(
+    f"""WITH {FRAME}, {CHI_CTE}
+SELECT model_id, attribute, dof, round(chi2, 6) AS chi2, round({P_VALUE}, 6) AS p_value, {P_VALUE} < 0.05 AS significant FROM chi"""
+)
+def chi_square(spark, folder):
+    return chi_square_test(_sided(spark, folder), KEYS).select(
+        "model_id",
+        "attribute",
+        "dof",
+        F.round("chi2", 6).alias("chi2"),
+        F.round("p_value", 6).alias("p_value"),
+        (F.col("p_value") < 0.05).alias("significant"),
+    )
+
+
 def _judged(spark, folder, **options):
     return A.audit_metrics(
         predictions(spark, folder), KEYS, ATTRIBUTES, intervals=False, **options

@@ -133,7 +133,7 @@ def exponentiated_gradient(spark, folder):
   bool_or(breached) FILTER (name = 'demographic_parity_difference') AS dp, bool_or(breached) FILTER (name = 'disparate_impact_ratio') AS di,
   min(value) FILTER (name = 'disparate_impact_ratio') AS impact, bool_or(breached) FILTER (name = 'equalized_odds_difference') AS eo,
   bool_or(breached) FILTER (name = 'calibration_gap') AS cg, bool_or(breached) FILTER (name = 'intersectional_bias_score') AS ib
-  FROM judged GROUP BY 1, 2),
+  FROM merged GROUP BY 1, 2),
 k AS (SELECT model_id, month, CASE WHEN dp AND di THEN 1 WHEN impact < 0.65 THEN 2 WHEN eo THEN 3 WHEN cg THEN 4 WHEN ib THEN 6 END AS rule FROM b)
 SELECT model_id, month,
   CASE rule WHEN 1 THEN 'Reweighing' WHEN 2 THEN 'DisparateImpactRemover' WHEN 3 THEN 'AdversarialDebiasing'

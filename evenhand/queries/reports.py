@@ -6,91 +6,56 @@ from evenhand.operators import cube, report as C, severity as V
 from evenhand.operators.slices import demographic_slices
 from evenhand.plans import audit as A, views
 from evenhand.queries import query
-from evenhand.queries.audits import BIN_SQL, METRIC_SQL, OVERALL_SQL
-from evenhand.queries.views import QUARTER_FRAME, P, by_quarter, predictions
-from evenhand.schemas import METRIC_THRESHOLDS, VERDICTS
+from evenhand.queries.audits import JUDGED_CTE, OVERALL_SQL
+from evenhand.queries.views import ATTRIBUTES, PREDICTIONS_SQL, QUARTERLY, P, by_quarter, predictions
+from evenhand.schemas import VERDICTS
 from evenhand.session import materialize
 from evenhand.sources import sinks
 from evenhand.sources.tables import load, query as run_sql
 
 KEYS = ["model_id", "month"]
-_ATTRIBUTES = ["segment"]
-
-# Ten metrics per model and quarter; the pair score and the time windows are left
-# to the full audit.
-_NAMES = [n for n in METRIC_THRESHOLDS if n not in ("individual_fairness_score", "temporal_drift_index")]
-_SOURCE = {
-    **{n: f"m.{n}" for n in METRIC_SQL},
-    "calibration_gap": "m8.calibration_gap",
-    "intersectional_bias_score": "m11.intersectional_bias_score",
-}
-_LIST = ", ".join(
-    f"{{'metric_ord': {list(METRIC_THRESHOLDS).index(n) + 1}, 'name': '{n}', 'value': CAST({_SOURCE[n]} AS DOUBLE), "
-    f"'threshold': CAST({METRIC_THRESHOLDS[n]!r} AS DOUBLE), 'below': {str(n == 'disparate_impact_ratio').lower()}}}"
-    for n in _NAMES
-)
-JUDGED = f"""{QUARTER_FRAME},
-m AS (SELECT model_id, month, {", ".join(f"{e} AS {n}" for n, e in METRIC_SQL.items())} FROM s GROUP BY model_id, month),
-bins AS (SELECT l.model_id, l.month, {BIN_SQL} AS bin,
-    avg(CASE WHEN l.group_value = f.privileged_group THEN y_true END) AS tp_,
-    avg(CASE WHEN l.group_value <> f.privileged_group THEN y_true END) AS tu_
-  FROM long l JOIN f USING (model_id, month) WHERE y_score >= 0 AND y_score < 1 GROUP BY 1, 2, 3),
-m8 AS (SELECT model_id, month, coalesce(avg(abs(tp_ - tu_)), 0) AS calibration_gap FROM bins GROUP BY 1, 2),
-m11 AS (SELECT model_id, month, max(r) - min(r) AS intersectional_bias_score FROM (
-  SELECT model_id, month, group_value, other, avg(y_pred) AS r FROM long GROUP BY ALL) GROUP BY 1, 2),
-x AS (SELECT *, abs(pred_pos - n * sample_pos / sample_size) AS raw_dev, n * sample_pos / sample_size AS e1,
-        n - n * sample_pos / sample_size AS e0 FROM s),
-chi AS (SELECT model_id, month, max(group_count) - 1 AS dof, sum(raw_dev * raw_dev / e1 + raw_dev * raw_dev / e0) AS chi2
-        FROM x GROUP BY 1, 2),
-un AS (SELECT model_id, month, exp(-chi2 / 2) * (1 + chi2 / 2) AS p_value, unnest([{_LIST}]) AS e
-  FROM m JOIN m8 USING (model_id, month) JOIN m11 USING (model_id, month) JOIN chi USING (model_id, month)),
-jb AS (SELECT model_id, month, strptime(month || '-28', '%Y-%m-%d') AS audit_timestamp, p_value,
-    e.metric_ord AS metric_ord, e.name AS name, e.value AS value, e.threshold AS threshold, e.below AS below,
-    CASE WHEN e.below THEN e.value < e.threshold ELSE e.value > e.threshold END AS breached,
-    CASE WHEN e.below THEN e.threshold / greatest(e.value, 1e-10) ELSE e.value / e.threshold END AS times FROM un),
-judged AS (SELECT *, CASE WHEN NOT breached THEN 'PASS' WHEN p_value > 0.05 THEN 'LOW'
-   WHEN times > 3 THEN 'CRITICAL' WHEN times > 2 THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM jb),
-ov AS ({OVERALL_SQL.format(keys='model_id, month', rel='judged')}),
-a AS (SELECT ov.model_id, ov.month, ov.overall_severity, ov.n_metrics, ov.n_breached, f.sample_size,
+# Twelve metrics per model, quarter and protected attribute. Quarters under the minimum
+# sample are not audited. ``every`` has them all, ``merged`` what the record keeps by name:
+# those of the last attribute. ``sq`` are the groups of the audited quarters.
+_SPLIT = "string_split(model_id, '~')[1] AS model_id, string_split(model_id, '~')[2] AS month"
+JUDGED = f"""{JUDGED_CTE.replace(PREDICTIONS_SQL, QUARTERLY)},
+every AS (SELECT {_SPLIT}, judged.* EXCLUDE (model_id), strptime(string_split(model_id, '~')[2] || '-28', '%Y-%m-%d') AS audit_timestamp
+  FROM judged JOIN f USING (model_id, attribute, attribute_ord) WHERE sample_size >= 100),
+merged AS (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY model_id, month, name ORDER BY attribute_ord DESC) = 1),
+sq AS (SELECT {_SPLIT}, s.* EXCLUDE (model_id) FROM s WHERE sample_size >= 100),
+ov AS ({OVERALL_SQL.format(keys='model_id, month', rel='merged')}),
+a AS (SELECT ov.model_id, ov.month, ov.overall_severity, ov.n_metrics, ov.n_breached, v.sample_size,
    substr(sha256(concat_ws('|', ov.model_id, ov.month, ov.month || '-28 00:00:00')), 1, 32) AS audit_id,
    strptime(ov.month || '-28', '%Y-%m-%d') AS audit_timestamp, v.model_version
- FROM ov JOIN f USING (model_id, month)
- JOIN (SELECT model_id, month, arg_min(model_version, (ts, event_id)) AS model_version FROM long GROUP BY 1, 2) v
+ FROM ov JOIN (SELECT {_SPLIT}, count(*) AS sample_size, arg_min(model_version, (ts, event_id)) AS model_version FROM p GROUP BY 1, 2) v
  USING (model_id, month))"""
 
 
-def _tables(spark, folder):
+def _audits(spark, folder):
     """(nested audits, judged metrics, slices) of all models and quarters, written once for
-    the query that asks."""
+    the query that asks: twelve metrics over both attributes."""
     rows = by_quarter(spark, folder)
-    metrics = materialize(
-        A.audit_metrics(
-            rows,
-            KEYS,
-            _ATTRIBUTES,
-            intervals=False,
-            pairs=False,
-            history=False,
-            secondary={"segment": "sex"},
-        ).withColumn("audit_timestamp", _stamp()),
-        "quarter-metrics",
-    )
+    lattice = A.audit_lattice(rows, KEYS, ATTRIBUTES)
+    metrics = A.audit_metrics(rows, KEYS, ATTRIBUTES, intervals=False, lattice=lattice)
+    metrics = materialize(metrics.withColumn("audit_timestamp", _stamp()), "quarter-metrics")
     header = (
-        A.audit_header(rows, KEYS)
+        lattice.header()
         .where("sample_size >= 100")
         .withColumn("audit_timestamp", _stamp())
         .withColumn("window_start", F.to_timestamp(F.concat("month", F.lit("-01"))))
         .withColumn("window_end", F.add_months(F.col("window_start"), 3).cast("timestamp"))
     )
-    slices = materialize(
-        demographic_slices(cube.confusion_cube(rows, KEYS, _ATTRIBUTES), KEYS), "quarter-slices"
-    )
-    audits = materialize(
-        A.audit_results(metrics, slices, header, KEYS, _ATTRIBUTES), "quarter-audits"
-    )
+    slices = materialize(demographic_slices(lattice.groups, KEYS), "quarter-slices")
+    audits = materialize(A.audit_results(metrics, slices, header, KEYS, ATTRIBUTES), "quarter-audits")
     return audits, metrics, slices
 
 
+def _tables(spark, folder):
+    """As ``_audits``, with the metrics merged by name as in the record."""
+    audits, metrics, slices = _audits(spark, folder)
+    return audits, V.last_attribute_wins(metrics, KEYS), slices
+
+
 def _stamp():
     return F.to_timestamp(F.concat("month", F.lit("-28")))
 
@@ -112,7 +77,7 @@ def _day(c="audit_timestamp"):
 
 @query(
     f"""WITH {JUDGED}, b AS (SELECT model_id, month, string_agg(name, ',' ORDER BY metric_ord) FILTER (breached) AS names
-  FROM judged GROUP BY 1, 2)
+  FROM merged GROUP BY 1, 2)
 SELECT audit_id, model_id, model_version, {_DAY} AS day, sample_size, overall_severity, n_breached,
   coalesce(names, '') AS breached_metrics FROM a JOIN b USING (model_id, month)"""
 )
@@ -131,7 +96,7 @@ def audit_records(spark, folder):
 
 
 @query(
-    f"""WITH {JUDGED} SELECT audit_id, overall_severity, round(value, 6) AS impact FROM a JOIN judged USING (model_id, month)
+    f"""WITH {JUDGED} SELECT audit_id, overall_severity, round(value, 6) AS impact FROM a JOIN merged USING (model_id, month)
 WHERE name = 'disparate_impact_ratio'"""
 )
 def json_metric_extract(spark, folder):
@@ -140,8 +105,8 @@ def json_metric_extract(spark, folder):
 
 
 @query(
-    f"""WITH {JUDGED} SELECT audit_id, 'segment' AS attribute, group_value, round(pred_pos / n, 6) AS pos_rate
-FROM a JOIN s USING (model_id, month)"""
+    f"""WITH {JUDGED} SELECT audit_id, attribute, group_value, round(pred_pos / n, 6) AS pos_rate
+FROM a JOIN sq USING (model_id, month)"""
 )
 def slice_unnest(spark, folder):
     return views.slice_drill_down(_audit_table(spark, folder))
@@ -171,7 +136,7 @@ def audit_lookup(spark, folder):
 
 
 @query(
-    f"""WITH {JUDGED} SELECT model_id, name AS metric_name, round(value, 6) AS metric_value, severity, {_DAY} AS day FROM judged"""
+    f"""WITH {JUDGED} SELECT model_id, name AS metric_name, round(value, 6) AS metric_value, severity, {_DAY} AS day FROM merged"""
 )
 def metric_timeseries(spark, folder):
     return _series(spark, folder).select(
@@ -180,7 +145,7 @@ def metric_timeseries(spark, folder):
 
 
 @query(
-    f"""WITH {JUDGED} SELECT model_id, name AS metric_name, round(value, 6) AS metric_value, {_DAY} AS day FROM judged
+    f"""WITH {JUDGED} SELECT model_id, name AS metric_name, round(value, 6) AS metric_value, {_DAY} AS day FROM merged
 WHERE model_id = 'model-o' AND name IN ('demographic_parity_difference', 'calibration_gap')
   AND audit_timestamp >= TIMESTAMP '2000-12-31' - INTERVAL 365 DAY"""
 )
@@ -190,7 +155,7 @@ def series_filter(spark, folder):
     return out.select("model_id", "metric_name", "metric_value", _day("recorded_at").alias("day"))
 
 
-_LATEST = f"""{JUDGED}, lt AS (SELECT * FROM judged
+_LATEST = f"""{JUDGED}, lt AS (SELECT * FROM merged
   QUALIFY row_number() OVER (PARTITION BY model_id, name ORDER BY audit_timestamp DESC) = 1)"""
 
 
@@ -234,7 +199,7 @@ def compliance_rollup(spark, folder):
 @query(
     f"""WITH {_VISITED}, r AS (SELECT j.model_id, name, value, breached, j.severity,
   row_number() OVER (PARTITION BY j.model_id, name ORDER BY breached DESC, visit) AS k
-  FROM judged j JOIN vis USING (model_id, month))
+  FROM merged j JOIN vis USING (model_id, month))
 SELECT model_id, name, round(value, 6) AS value, breached, severity FROM r WHERE k = 1"""
 )
 def compliance_metrics(spark, folder):
@@ -243,11 +208,11 @@ def compliance_metrics(spark, folder):
 
 
 @query(
-    f"""WITH {_VISITED}, sl AS (SELECT s.model_id, group_value, n, round(pred_pos / n, 6) AS pos_rate, visit,
-    row_number() OVER (PARTITION BY s.model_id, group_value ORDER BY visit) AS k
-  FROM s JOIN vis USING (model_id, month)),
-o AS (SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY visit, group_value) AS slice_no FROM sl WHERE k = 1)
-SELECT model_id, 'segment' AS attribute, group_value, CAST(slice_no AS INTEGER) AS slice_no, n AS count, pos_rate FROM o WHERE slice_no <= 20"""
+    f"""WITH {_VISITED}, sl AS (SELECT sq.model_id, attribute, attribute_ord, group_value, n, round(pred_pos / n, 6) AS pos_rate, visit,
+    row_number() OVER (PARTITION BY sq.model_id, attribute, group_value ORDER BY visit) AS k
+  FROM sq JOIN vis USING (model_id, month)),
+o AS (SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY visit, attribute_ord, group_value) AS slice_no FROM sl WHERE k = 1)
+SELECT model_id, attribute, group_value, CAST(slice_no AS INTEGER) AS slice_no, n AS count, pos_rate FROM o WHERE slice_no <= 20"""
 )
 def compliance_slices(spark, folder):
     _, _, slices = C.compliance_rollup(_audit_table(spark, folder))
@@ -257,12 +222,13 @@ def compliance_slices(spark, folder):
 @query(
     f"""WITH {JUDGED}, r(rule_no, regulation, rule_metric, relevant_metric) AS (VALUES
   {", ".join(f"({i + 1}, '{r}', '{m}', '{d}')" for i, (r, m, d) in enumerate(C.REGULATIONS))})
-SELECT model_id, month, rule_no, regulation, relevant_metric,
+SELECT model_id, month, attribute, rule_no, regulation, relevant_metric,
   CASE WHEN breached THEN 'NON-COMPLIANT' ELSE 'COMPLIANT' END AS status
-FROM r JOIN judged ON rule_metric = name"""
+FROM r JOIN every ON rule_metric = name"""
 )
 def regulatory_status(spark, folder):
-    return C.regulatory_status(_tables(spark, folder)[1], KEYS)
+    """Per protected attribute, so that none hides another's breach."""
+    return C.regulatory_status(_audits(spark, folder)[1], [*KEYS, "attribute"])
 
 
 _TITLE = (
@@ -271,18 +237,19 @@ _TITLE = (
 
 
 @query(
-    f"""WITH {JUDGED} SELECT model_id, month, {_TITLE.format(c='name')} AS metric, format('{{:.4f}}', value) AS value,
+    f"""WITH {JUDGED} SELECT model_id, month, attribute, {_TITLE.format(c='name')} AS metric, format('{{:.4f}}', value) AS value,
   format('{{:.4f}}', threshold) AS threshold, CASE WHEN breached THEN '✗ YES' ELSE '✓ PASS' END AS breach, severity,
-  format('{{:.4f}}', p_value) AS p_value FROM judged"""
+  format('{{:.4f}}', p_value) AS p_value FROM every"""
 )
 def metric_table(spark, folder):
-    return C.metric_table(_tables(spark, folder)[1], KEYS)
+    """Per protected attribute."""
+    return C.metric_table(_audits(spark, folder)[1], [*KEYS, "attribute"])
 
 
 @query(
-    f"""WITH {JUDGED}, t AS (SELECT s.*, row_number() OVER (PARTITION BY model_id, month ORDER BY group_value) AS row_no
-  FROM s)
-SELECT model_id, month, CAST(row_no AS INTEGER) AS row_no, 'segment=' || group_value AS group_name, CAST(n AS VARCHAR) AS group_count,
+    f"""WITH {JUDGED}, t AS (SELECT *, row_number() OVER (PARTITION BY model_id, month ORDER BY attribute_ord, group_value) AS row_no
+  FROM sq)
+SELECT model_id, month, CAST(row_no AS INTEGER) AS row_no, attribute || '=' || group_value AS group_name, CAST(n AS VARCHAR) AS group_count,
   format('{{:.3f}}', pred_pos / n) AS positive_rate, format('{{:.3f}}', tp / greatest(tp + fn, 1)) AS tpr,
   format('{{:.3f}}', fp / greatest(fp + tn, 1)) AS fpr, format('{{:.3f}}', tp / greatest(tp + fp, 1)) AS precision
 FROM t WHERE row_no <= 15"""
@@ -299,7 +266,7 @@ _VERDICT = "CASE overall_severity " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v
 
 @query(
     f"""WITH {JUDGED}, b AS (SELECT model_id, month,
-  string_agg('* ' || name, chr(10) ORDER BY metric_ord) FILTER (breached) AS names FROM judged GROUP BY 1, 2)
+  string_agg('* ' || name, chr(10) ORDER BY metric_ord) FILTER (breached) AS names FROM merged GROUP BY 1, 2)
 SELECT model_id, month, n_breached, {_VERDICT} AS verdict,
   'Fairness of model ' || model_id || ', version ' || model_version || chr(10) || 'Audit ' || audit_id || ' over ' ||
   format('{{:,}}', sample_size) || ' predictions' || chr(10) || chr(10) || 'Verdict: ' || {_VERDICT} || ' (' ||
@@ -326,11 +293,11 @@ _NL = "chr(10)"
 l AS (SELECT model_id, month, count(*) AS nm, count(*) FILTER (breached) AS nb,
   string_agg('* ' || name || ' = ' || format('{{:.4f}}', value) || ', limit ' || {_plain('threshold')} ||
     ', ' || severity || ', p = ' || format('{{:.4f}}', p_value), {_NL} ORDER BY metric_ord) FILTER (breached) AS bt,
-  string_agg(name, ', ' ORDER BY metric_ord) FILTER (NOT breached) AS pt FROM judged GROUP BY 1, 2),
-sl AS (SELECT model_id, month, string_agg('* segment ' || group_value || ' (' || n || ' rows): selected ' ||
+  string_agg(name, ', ' ORDER BY metric_ord) FILTER (NOT breached) AS pt FROM merged GROUP BY 1, 2),
+sl AS (SELECT model_id, month, string_agg('* ' || attribute || ' ' || group_value || ' (' || n || ' rows): selected ' ||
     format('{{:.3f}}', pred_pos / n) || ', true positives ' || {_plain('tp / greatest(tp + fn, 1)')} || ', false positives ' ||
-    {_plain('fp / greatest(fp + tn, 1)')}, {_NL} ORDER BY group_value) AS st
-  FROM s GROUP BY 1, 2)
+    {_plain('fp / greatest(fp + tn, 1)')}, {_NL} ORDER BY attribute_ord, group_value) AS st
+  FROM sq GROUP BY 1, 2)
 SELECT model_id, month, 'model: ' || model_id || {_NL} || 'version: ' || model_version || {_NL} || 'audit: ' || audit_id || {_NL} ||
   'from: ' || month || '-01T00:00:00' || {_NL} || 'until: ' ||
   strftime(strptime(month || '-01', '%Y-%m-%d') + INTERVAL 3 MONTH, '%Y-%m-%dT00:00:00') || {_NL} || 'predictions: ' ||
@@ -348,7 +315,7 @@ def audit_prompt(spark, folder):
 
 _TOP = f"""{JUDGED}, tv AS (SELECT model_id, month, arg_min(name, metric_ord) FILTER (breached) AS top_name,
     arg_min(value, metric_ord) FILTER (breached) AS top_value, arg_min(threshold, metric_ord) FILTER (breached) AS top_limit
-  FROM judged GROUP BY 1, 2)"""
+  FROM merged GROUP BY 1, 2)"""
 
 
 def _alerts(spark, folder):
@@ -416,7 +383,7 @@ def staged_audits(spark, folder):
 
 @query(
     f"""WITH {JUDGED} SELECT model_id, audit_id, {_DAY} AS day, round(value, 6) AS metric_value, 0.8 AS reference
-FROM a JOIN judged USING (model_id, month, audit_timestamp) WHERE name = 'disparate_impact_ratio'"""
+FROM a JOIN merged USING (model_id, month, audit_timestamp) WHERE name = 'disparate_impact_ratio'"""
 )
 def metric_trend(spark, folder):
     out = views.metric_trend(_audit_table(spark, folder), "disparate_impact_ratio", 0.80)
@@ -425,7 +392,7 @@ def metric_trend(spark, folder):
 
 @query(
     f"""WITH {JUDGED} SELECT model_id, {_DAY} AS day, name, round(avg(round(value, 6)), 6) AS mean_value, round(max(value), 6) AS max_value,
-  count(*) FILTER (breached) AS breaches, count(*) AS audits FROM judged GROUP BY 1, 2, 3"""
+  count(*) FILTER (breached) AS breaches, count(*) AS audits FROM merged GROUP BY 1, 2, 3"""
 )
 def fairness_dashboard(spark, folder):
     return views.fairness_dashboard(_audit_table(spark, folder)).select(
@@ -452,7 +419,7 @@ def compliance_summary(spark, folder):
 
 @query(
     f"""WITH {JUDGED}, b AS (SELECT model_id, month, string_agg('"' || name || '"', ',' ORDER BY metric_ord) FILTER (breached) AS names
-  FROM judged GROUP BY 1, 2),
+  FROM merged GROUP BY 1, 2),
 pl AS (SELECT model_id, '{{"audit_id":"' || audit_id || '","model_id":"' || model_id || '","model_version":"' || model_version ||
   '","audit_timestamp":"' || strftime(audit_timestamp, '%Y-%m-%dT%H:%M:%S') || '","sample_size":' || sample_size ||
   ',"overall_severity":"' || overall_severity || '","breached_metrics":[' || coalesce(names, '') ||
@@ -488,19 +455,21 @@ def ledger_lookup(spark, folder):
 
 
 @query(
-    f"""WITH {JUDGED} SELECT model_id, month, {_TITLE.format(c='name')} AS feature, round(value, 4) AS importance, metric_ord AS rank
-FROM judged WHERE breached"""
+    f"""WITH {JUDGED} SELECT model_id, month, attribute, {_TITLE.format(c='name')} AS feature, round(value, 4) AS importance, metric_ord AS rank
+FROM every WHERE breached"""
 )
 def proxy_importance(spark, folder):
-    return C.proxy_importance(_tables(spark, folder)[1], KEYS)
+    """Per protected attribute."""
+    return C.proxy_importance(_audits(spark, folder)[1], [*KEYS, "attribute"])
 
 
 @query(
-    f"""WITH {JUDGED}, t AS (SELECT model_id, month, {_TITLE.format(c='name')} AS feature, name, metric_ord, breached FROM judged),
+    f"""WITH {JUDGED}, t AS (SELECT model_id, month, {_TITLE.format(c='name')} AS feature, name, metric_ord, breached FROM merged),
 k AS (SELECT *, row_number() OVER (PARTITION BY model_id, month ORDER BY metric_ord) AS r FROM t WHERE breached)
 SELECT a.model_id, a.month, coalesce(string_agg(feature, ',' ORDER BY r) FILTER (r <= 5), '') AS top_features,
-  coalesce(string_agg(name, ',' ORDER BY r), '') AS breached_metrics, CAST(max(f.group_count) AS INTEGER) AS n_groups
-FROM a JOIN f USING (model_id, month) LEFT JOIN k USING (model_id, month) GROUP BY 1, 2"""
+  coalesce(string_agg(name, ',' ORDER BY r), '') AS breached_metrics, CAST(max(g.groups) AS INTEGER) AS n_groups
+FROM a JOIN (SELECT model_id, month, count(*) AS groups FROM sq GROUP BY 1, 2) g USING (model_id, month)
+LEFT JOIN k USING (model_id, month) GROUP BY 1, 2"""
 )
 def bias_drivers(spark, folder):
     audits, metrics, slices = _tables(spark, folder)

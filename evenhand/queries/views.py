@@ -106,31 +106,8 @@ def by_quarter(spark: SparkSession, folder: str) -> DataFrame:
     return predictions(spark, folder).withColumn("month", month)
 
 
-# The same building blocks per model and quarter, for the segment attribute.
-# Quarters under the minimum sample are not audited.
-QUARTER_FRAME = (
-    P
-    + """,
-long AS (SELECT model_id, strftime(date_trunc('quarter', ts), '%Y-%m') AS month,
-                segment AS group_value, sex AS other, ts, event_id,
-                y_score, y_pred, y_true, model_version FROM p),
-g0 AS (
-  SELECT model_id, month, group_value,
-         CAST(count(*) AS BIGINT) AS n,
-         CAST(sum(y_pred) AS BIGINT) AS pred_pos,
-         CAST(sum(y_true) AS BIGINT) AS true_pos,
-         CAST(sum(y_pred * y_true) AS BIGINT) AS tp,
-         CAST(sum(y_pred * (1 - y_true)) AS BIGINT) AS fp,
-         CAST(sum((1 - y_pred) * (1 - y_true)) AS BIGINT) AS tn,
-         CAST(sum((1 - y_pred) * y_true) AS BIGINT) AS fn
-  FROM long GROUP BY ALL),
-f AS (
-  SELECT model_id, month, CAST(sum(n) AS BIGINT) AS sample_size,
-         CAST(sum(pred_pos) AS BIGINT) AS sample_pos, count(*) AS group_count,
-         arg_min(group_value, (-n, group_value)) AS privileged_group
-  FROM g0 GROUP BY model_id, month HAVING sum(n) >= 100),
-s AS (
-  SELECT g0.*, sample_size, sample_pos, group_count, privileged_group,
-         CASE WHEN group_value = privileged_group THEN 1 ELSE 0 END AS pr
-  FROM g0 JOIN f USING (model_id, month))"""
+# The same rows with the quarter inside the key, so that one SQL audits models and quarters.
+QUARTERLY = PREDICTIONS_SQL.replace(
+    "concat('model-', lower(l_linestatus)) AS model_id",
+    "concat('model-', lower(l_linestatus), '~', strftime(date_trunc('quarter', l_shipdate), '%Y-%m')) AS model_id",
 )
