@@ -20,9 +20,21 @@ class Lattice:
     """Roll-ups of one stored aggregate over the readable rows.
 
     ``extra`` are further columns to count by (second axes that are not protected).
-    Without ``history`` times are not counted, and there are no windows."""
+    Without ``history`` times are not counted, and there are no windows. ``leaf`` may hand
+    in a leaf that was counted elsewhere, as by a stream."""
 
-    def __init__(self, rows: DataFrame, keys, attributes, extra=(), order=("ts", "event_id"), history: bool = True):
+    def __init__(
+        self,
+        rows: DataFrame,
+        keys,
+        attributes,
+        extra=(),
+        order=("ts", "event_id"),
+        history: bool = True,
+        leaf: DataFrame | None = None,
+    ):
+        if leaf is not None:
+            self.leaf = leaf
         self.rows = rows.where(cube.READABLE)
         self.keys, self.attributes, self.extra = list(keys), list(attributes), list(extra)
         self.order, self.history = list(order), history

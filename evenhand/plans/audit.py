@@ -300,42 +300,83 @@ def label_status(rows: DataFrame, keys, minimum: int = MIN_SAMPLE_SIZE) -> DataF
 
 
 def run_audit(
-    rows: DataFrame, attributes, start, end, audit_time=None, keys=("model_id",), **options
+    rows: DataFrame,
+    attributes,
+    start=None,
+    end=None,
+    audit_time=None,
+    keys=("model_id",),
+    lattice: Lattice | None = None,
+    **options,
 ) -> tuple:
-    """Audit one time window: returns (nested audit records, long metric rows)."""
+    """Audit one time window, or many: returns (nested audit records, long metric rows).
+
+    With ``window_start`` and ``window_end`` among the keys each window is an audit of its
+    own, audited at its end unless ``audit_time`` says otherwise."""
     keys = list(keys)
     attributes = cube.present_attributes(rows, attributes)
     order = options.get("order", ("ts", "event_id"))
-    lattice = audit_lattice(
+    lattice = lattice or audit_lattice(
         rows, keys, attributes, order, options.get("compat", False), options.get("secondary")
     )
     metrics = materialize(audit_metrics(rows, keys, attributes, lattice=lattice, **options), "audit-metrics")
     slices = demographic_slices(lattice.groups, keys)
+    header = lattice.header()
+    windowed = "window_end" in keys
+    if not windowed:
+        header = header.withColumn("window_start", F.lit(start).cast("timestamp")).withColumn(
+            "window_end", F.lit(end).cast("timestamp")
+        )
     # one time for the whole audit: ids, history and ledger are made from it
     now = F.lit(audit_time or dt.datetime.now(dt.UTC)).cast("timestamp")
-    header = (
-        lattice.header()
-        .withColumn("window_start", F.lit(start).cast("timestamp"))
-        .withColumn("window_end", F.lit(end).cast("timestamp"))
-        .withColumn("audit_timestamp", now)
-    )
+    header = header.withColumn("audit_timestamp", F.col("window_end") if windowed and audit_time is None else now)
     audits = audit_results(metrics, slices, header, keys, attributes)
     return materialize(audits, "audits"), metrics
 
 
-def persist(audits: DataFrame, metrics: DataFrame, paths: dict, tenant_id: str = "default") -> None:
-    """Append audits to the tables their severity calls for.
-
-    ``paths`` names the bias_audits, fairness_timeseries and ledger tables. LOW
-    audits go to the ledger only. No mitigation is started here."""
+def stored_tables(
+    audits: DataFrame, metrics: DataFrame, tenant_id: str = "default", keys=("model_id",), at=None
+) -> dict:
+    """What the severities of audits call for: rows of the bias_audits, fairness_timeseries
+    and ledger tables. LOW audits go to the ledger only. No mitigation is started here."""
+    keys = list(keys)
     judged = V.required_action(audits)
     stored = judged.where("log_to_warehouse")
-    sinks.append_audits(stored, paths["bias_audits"])
-    times = stored.select("model_id", "audit_timestamp")
-    merged = V.last_attribute_wins(metrics, ["model_id"]).join(times, "model_id")
-    sinks.append_timeseries(timeseries(merged, F.col("audit_timestamp")), paths["fairness_timeseries"])
+    times = stored.select(*keys, "audit_timestamp")
+    merged = V.last_attribute_wins(metrics, keys).join(times, keys)
     events = sinks.audit_completed(judged.where("log_to_ledger"), tenant_id)
-    sinks.append_ledger(events, paths["ledger"])
+    return {
+        "bias_audits": sinks.audit_rows(stored, at),
+        "fairness_timeseries": timeseries(merged, F.col("audit_timestamp")),
+        "ledger": sinks.ledger_rows(events, at),
+    }
+
+
+def persist(audits: DataFrame, metrics: DataFrame, paths: dict, tenant_id: str = "default") -> None:
+    """Append audits to the tables their severity calls for.
+
+    ``paths`` names the bias_audits, fairness_timeseries and ledger tables, each appended
+    to by itself; ``commit`` writes all of them or none."""
+    tables = stored_tables(audits, metrics, tenant_id)
+    sinks.append_audits(tables["bias_audits"], paths["bias_audits"])
+    sinks.append_timeseries(tables["fairness_timeseries"], paths["fairness_timeseries"])
+    sinks.append(dated(tables)["ledger"], paths["ledger"], ["date"], ["ModelId", "TenantId"])
+
+
+#: Partition columns of the audit tables in a commit log.
+PARTITIONS = {t: ["date"] for t in ("bias_audits", "fairness_timeseries", "ledger", "audit_metrics")}
+
+
+def dated(tables: dict) -> dict:
+    """The audit tables with the day that they are laid out by."""
+    at = {"bias_audits": "audit_timestamp", "fairness_timeseries": "recorded_at", "ledger": "EventTimestamp", "audit_metrics": "audit_timestamp"}
+    return {t: df.withColumn("date", F.to_date(at[t])) if t in at else df for t, df in tables.items()}
+
+
+def commit(log, name: str, audits: DataFrame, metrics: DataFrame, tenant_id: str = "default", at=None) -> bool:
+    """Write an audit's rows to all its tables or to none (see ``sources.commits``); False
+    if an audit of that name is there already."""
+    return log.commit(name, dated(stored_tables(audits, metrics, tenant_id, at=at)), PARTITIONS)
 
 
 def timeseries(metrics: DataFrame, recorded_at) -> DataFrame:

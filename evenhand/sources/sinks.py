@@ -32,8 +32,9 @@ def append_dead_letters(df: DataFrame, path: str) -> None:
     append(df, path, ["error_type"])
 
 
-def audit_rows(audits: DataFrame) -> DataFrame:
+def audit_rows(audits: DataFrame, created_at=None) -> DataFrame:
     """Nested audit records as rows of the audits table, nested parts as JSON."""
+    now = created_at if created_at is not None else F.lit(dt.datetime.now(dt.UTC)).cast("timestamp")
     return audits.select(
         "audit_id",
         "model_id",
@@ -48,14 +49,13 @@ def audit_rows(audits: DataFrame) -> DataFrame:
         "protected_attributes",
         "triggered_mitigation",
         "mitigation_id",
-        F.current_timestamp().alias("created_at"),
+        now.alias("created_at"),
     )
 
 
-def append_audits(audits: DataFrame, path: str) -> None:
-    append(
-        audit_rows(audits).withColumn("date", F.to_date("audit_timestamp")), path, ["date"], ["model_id"]
-    )
+def append_audits(rows: DataFrame, path: str) -> None:
+    """Append rows of the audits table (see ``audit_rows``)."""
+    append(rows.withColumn("date", F.to_date("audit_timestamp")), path, ["date"], ["model_id"])
 
 
 def append_timeseries(series: DataFrame, path: str) -> None:

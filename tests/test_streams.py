@@ -2,10 +2,13 @@ import datetime as dt
 import json
 import uuid
 
+import pytest
 from pyspark.sql import functions as F
 
 from evenhand.operators import alerts as N
+from evenhand.plans import audit as A
 from evenhand.session import scratch_dir
+from evenhand.sources.commits import CommitLog
 from evenhand.streaming import alert_stream, audit_stream, ingest
 from test_ingest import GOOD, changed
 
@@ -37,6 +40,7 @@ def test_ingest_splits_and_is_not_doubled(spark):
 
 def prediction_rows(spark, n=4000):
     return spark.range(n).select(
+        "id",
         F.timestamp_seconds(F.lit(int(START.timestamp())) + F.col("id") * 60).alias("ts"),
         F.lit("m").alias("model_id"),
         F.when(F.col("id") % 3 == 0, "Female").otherwise("Male").alias("sex"),
@@ -46,26 +50,68 @@ def prediction_rows(spark, n=4000):
     )
 
 
+def windowed(rows):
+    """Rows once for each day-long window that starts every six hours."""
+    back = F.explode(F.array(*[F.lit(k) for k in range(4)]))
+    start = F.floor(F.unix_seconds("ts") / 21600) * 21600 - F.col("back") * 21600
+    dealt = rows.withColumn("back", back).withColumn("window_start", F.timestamp_seconds(start))
+    return dealt.withColumn("window_end", F.timestamp_seconds(start + 86400))
+
+
 def test_closed_windows_equal_the_batch(spark):
     base = folder(spark)
-    rows = prediction_rows(spark)
-    rows.write.parquet(f"{base}/in")
-    stream = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
+    rows = prediction_rows(spark).withColumn("event_id", F.concat(F.lit("e"), "id")).withColumn(
+        "race", F.when(F.col("id") % 7 < 3, "A").otherwise("B")
+    ).withColumn("model_version", F.concat(F.lit("v"), F.col("id") % 3)).drop("id")
+    # several files, so that panes close in several batches
+    for k in range(3):
+        part = rows.where(F.floor((F.unix_seconds("ts") - int(START.timestamp())) / 80000) == k)
+        part.coalesce(1).write.parquet(f"{base}/in{k}")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in*")
+    options = dict(resamples=100, minimum=50)
     run = audit_stream.start_continuous_audit(
-        stream, ["sex"], f"{base}/out", f"{base}/state", "1 day", "6 hours", "1 hour", trigger={"availableNow": True}
-    )
+        stream, ["sex", "race"], f"{base}/out", f"{base}/state", "1 day", "6 hours", "1 hour",
+        trigger={"availableNow": True}, **options,
+    )
     run.awaitTermination()
-    assert audit_stream.late_rows(run) == 0
-    got = spark.read.parquet(f"{base}/out").drop("batch")
-    end = rows.agg(F.max("ts")).first()[0] - dt.timedelta(hours=1)
-    want = audit_stream.judge_windows(
-        audit_stream.sliding_cube(rows, ["sex"], "1 day", "6 hours"), ["sex"]
-    ).where(F.col("window_end") <= F.lit(end))
-    columns = ["model_id", "window_start", "name", "value", "breached", "severity"]
-    a = sorted(map(str, got.select(columns).collect()))
+    assert run.exception() is None and audit_stream.late_rows(run) == 0
+    log = CommitLog(spark, f"{base}/out")
+    assert len(log.folders("panes")) > 1
+    end = log.last_note()
+    keys = ["model_id", "window_start", "window_end"]
+    want_audits, want = A.run_audit(windowed(rows).where(F.col("window_end") <= end), ["sex", "race"], keys=keys, **options)
+    columns = ["window_start", "attribute", "name", "severity", "breached", F.round("value", 9), F.round("ci_lower", 9), F.round("ci_upper", 9)]
+    a = sorted(map(str, log.read("audit_metrics").select(columns).collect()))
     b = sorted(map(str, want.select(columns).collect()))
-    assert a == b and len(a) > 50
-    assert {r["severity"] for r in got.where("name = 'disparate_impact_ratio'").collect()} <= {"MEDIUM", "HIGH"}
+    assert a == b and len(a) >= 24 * 5
+    head = ["audit_id", "model_version", "sample_size", "overall_severity"]
+    stored = log.read("bias_audits").select(head).collect()
+    assert set(stored) <= set(want_audits.select(head).collect())
+    assert log.read("ledger").count() == want_audits.count()
+    # a replayed batch adds nothing
+    names = sorted(log.names())
+    again = log.read("panes").drop("date").limit(5)
+    assert not audit_stream.audit_closed(log, again, 1, ["sex", "race"], "1 day", "6 hours", **options)
+    assert sorted(log.names()) == names
+
+
+def test_a_broken_commit_shows_nothing_and_a_repeated_one_adds_nothing(spark):
+    log = CommitLog(spark, folder(spark))
+    a = spark.range(10).withColumn("date", F.lit("2024-01-01"))
+    b = spark.range(5)
+    assert log.read("a") is None and log.names() == set()
+    broken = b.select(F.when(F.col("id") > 3, F.raise_error(F.lit("no"))).otherwise(F.col("id")).alias("id"))
+    with pytest.raises(Exception, match="no"):
+        log.commit("one", {"a": a, "b": broken}, {"a": ["date"]})
+    assert log.read("a") is None and log.read("b") is None  # a's files are there, but named by nobody
+    assert log.commit("one", {"a": a, "b": b}, {"a": ["date"]}, note="1")
+    assert not log.commit("one", {"a": a, "b": b})
+    assert log.commit("two", {"a": a}, {"a": ["date"]}, note="2")
+    assert (log.read("a").count(), log.read("b").count(), log.last_note()) == (20, 5, "2")
+    assert log.compact("a", "three", ["date"], where=F.col("id") >= 5)
+    assert not log.compact("a", "three")
+    assert log.read("a").count() == 10 and len(log.folders("a")) == 1 and log.read("b").count() == 5
+    assert log.commit("four", {"a": a.limit(1)}, {"a": ["date"]}) and log.read("a").count() == 11
 
 
 def points(spark, minutes):
