@@ -23,6 +23,7 @@ def query(oracle: str | None = None):
 def load_all() -> None:
     from evenhand.queries import (  # noqa: F401
         audits,
+        continuous,
         drift,
         ingest,
         mitigation,

@@ -29,9 +29,10 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey
 """
 
 
-def predictions(spark: SparkSession, folder: str) -> DataFrame:
-    """The line items as scored events of two models."""
-    line, orders, customer = (load(spark, folder, t) for t in ("lineitem", "orders", "customer"))
+def predictions(spark: SparkSession, folder: str, line: DataFrame | None = None) -> DataFrame:
+    """The line items (or a stream of them) as scored events of two models."""
+    orders, customer = (load(spark, folder, t) for t in ("orders", "customer"))
+    line = load(spark, folder, "lineitem") if line is None else line
     rows = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(
         customer, F.col("o_custkey") == F.col("c_custkey")
     )

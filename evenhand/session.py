@@ -1,5 +1,6 @@
 """Session helpers: the shared scratch folder and lineage cuts."""
 
+import contextlib
 import os
 import shutil
 import tempfile
@@ -55,6 +56,18 @@ def utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@contextlib.contextmanager
+def keyed_state(spark: SparkSession):
+    """Streams started inside keep their state in RocksDB, which state with timers needs."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def sized_broadcast(df: DataFrame, label: str, max_rows: int = 200_000) -> DataFrame:
     """Write a per-key table once and mark it for broadcast if its row count allows.
 

@@ -18,23 +18,28 @@ def message_stream(spark: SparkSession, fmt: str, path: str | None = None, **opt
     return df.select(F.col("value").cast("string").alias("raw"))
 
 
-def split_bodies(bodies: DataFrame, raw: str = "raw", refuse: bool = False) -> DataFrame:
+def split_bodies(
+    bodies: DataFrame, raw: str = "raw", refuse: bool = False, position: str | None = None
+) -> DataFrame:
     """One row per event of bodies that hold one event or a list of events.
 
     ``batch_size`` is the number of events of the body and ``oversized`` flags
     lists over the limit, which are to be refused whole. With ``refuse`` such a list stays
-    one row, for validation to refuse, as does a list that does not parse."""
+    one row, for validation to refuse, as does a list that does not parse. ``position`` names
+    a column for the event's place in its body."""
     text = F.col(raw)
     listed = F.when(F.ltrim(text).startswith("["), F.from_json(text, "array<string>"))
     events = F.coalesce(listed, F.array(text))
     held = F.when(F.lit(refuse) & F.col("oversized"), F.array(text)).otherwise(F.col("_events"))
-    return (
+    sized = (
         bodies.withColumn("_events", events)
         .withColumn("batch_size", F.size("_events"))
         .withColumn("oversized", F.col("batch_size") > MAX_BATCH_EVENTS)
-        .withColumn(raw, F.explode(held))
-        .drop("_events")
     )
+    if position is None:
+        return sized.withColumn(raw, F.explode(held)).drop("_events")
+    kept = [c for c in sized.columns if c not in (raw, "_events")]
+    return sized.select(*kept, F.posexplode(held).alias(position, raw))
 
 
 def parse_events(messages: DataFrame, raw: str = "raw") -> DataFrame:

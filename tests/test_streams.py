@@ -9,7 +9,7 @@ from evenhand.operators import alerts as N
 from evenhand.plans import audit as A
 from evenhand.session import scratch_dir
 from evenhand.sources.commits import CommitLog
-from evenhand.streaming import alert_stream, audit_stream, ingest
+from evenhand.streaming import alert_stream, audit_stream, ingest, redelivery
 from test_ingest import GOOD, changed
 
 START = dt.datetime(2024, 1, 1)
@@ -180,3 +180,40 @@ def test_rate_limit_counts_a_sliding_minute(spark):
         at = (r["at_micros"] - base) / 1e6
         assert r["in_window"] == sum(1 for s in seconds if at - 60 < s <= at)
         assert r["limited"] == (r["in_window"] > 3)
+
+
+def test_messages_are_taken_once_and_given_up_after_five(spark):
+    base = folder(spark)
+    good, broken = json.dumps(GOOD), "{broken"
+    times = [START + dt.timedelta(minutes=m) for m in range(8)]
+    rows = [("a", good, times[0]), ("a", good, times[1])]  # delivered twice
+    rows += [("b", broken, t) for t in times[:7]]  # never parses, and comes after it was given up
+    rows += [("c", broken, times[0]), ("c", broken, times[2]), ("c", json.dumps([GOOD, GOOD]), times[4])]
+    sent = spark.createDataFrame(rows, "message_id string, raw string, at timestamp").repartition(2)
+    sent.write.parquet(f"{base}/in")
+    paths = {t: f"{base}/{t}" for t in ("predictions", "demographics", "dead_letters", "retries")}
+    for _ in range(2):
+        stream = spark.readStream.schema(sent.schema).parquet(f"{base}/in")
+        run = ingest.start_ingest(stream, paths, f"{base}/state", "k", {"availableNow": True})
+        run.awaitTermination()
+        assert run.exception() is None
+    assert spark.read.parquet(paths["predictions"]).count() == 3
+    dead = spark.read.parquet(paths["dead_letters"]).collect()
+    assert len(dead) == 1
+    retries = spark.read.parquet(paths["retries"]).orderBy("message_id", "attempt").collect()
+    assert [(r.message_id, r.attempt) for r in retries] == [("b", k) for k in (1, 2, 3, 4)] + [("c", 1), ("c", 2)]
+    assert [r.due_at - times[k] for k, r in enumerate(retries[:4])] == [dt.timedelta(seconds=10 * 2**k) for k in range(4)]
+
+
+def test_settled_messages_are_forgotten(spark):
+    base = folder(spark)
+    schema = "message_id string, raw string, at timestamp, failed boolean"
+    steps = [[("a", "x", START, True)], [("z", "x", START + dt.timedelta(hours=9), False)], [("a", "x", START + dt.timedelta(hours=9), True)]]
+    for k, rows in enumerate(steps):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{base}/in/part{k}")
+        stream = spark.readStream.schema(schema).parquet(f"{base}/in/*")
+        out = redelivery.settle_deliveries(stream).writeStream.format("parquet").option("path", f"{base}/out")
+        out.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(f"{base}/out").where("message_id = 'a'").collect()
+    assert [r.attempt for r in rows] == [1, 1]
+    assert [redelivery.delay(k) for k in (1, 2, 7, 40)] == [10, 20, 600, 600]
