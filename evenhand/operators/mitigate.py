@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from evenhand.operators.cube import group_text
 from evenhand.operators.explain import uniform
+from evenhand.operators.scan import latest_before, prefix_totals
 from evenhand.schemas import METRIC_THRESHOLDS
-from evenhand.session import sized_broadcast
+from evenhand.session import materialize, sized_broadcast
 
 MAX_ACCURACY_DROP = 0.15
 ACCURACY_GATE = 0.02
@@ -55,60 +56,66 @@ def training_extract(
     return out
 
 
-def quantile_edges(rows: DataFrame, keys, attribute: str, feature: str, levels: int = 100) -> DataFrame:
-    """Per group, the feature's quantiles at the middle of ``levels`` equal parts.
-
-    Quantiles are of bounded size with relative rank error 1/10000."""
-    at = F.array(*[F.lit((i + 0.5) / levels) for i in range(levels)])
-    return rows.groupBy(*keys, group_text(attribute).alias("group_value")).agg(
-        F.percentile_approx(F.col(feature).cast("double"), at, 10000).alias("edges")
+def value_runs(rows: DataFrame, keys, attribute: str, feature: str) -> DataFrame:
+    """Distinct values of every group in order: ``value``, its rows ``n`` and the rows
+    ``start`` below it, with the group's ``group_n``."""
+    ids = [*keys, "group_value"]
+    values = (
+        rows.select(*keys, group_text(attribute).alias("group_value"), F.col(feature).cast("double").alias("value"))
+        .where("value IS NOT NULL AND NOT isnan(value)")
+        .groupBy(*ids, "value")
+        .agg(F.count(F.lit(1)).alias("n"))
     )
+    dealt = values.repartitionByRange(*ids, "value").withColumn("cell", F.spark_partition_id())
+    runs = prefix_totals(materialize(dealt, "value-cells"), ids, ["value"], {"start": "n"}, "cell")
+    sizes = sized_broadcast(values.groupBy(*ids).agg(F.sum("n").alias("group_n")), "group-sizes")
+    return runs.withColumn("start", F.col("start").cast("long")).drop("cell").join(sizes, ids)
 
 
-def _count_before(edges: str, test, levels: int) -> F.Column:
-    """How many of the sorted edges pass ``test``, by halving steps."""
-    steps = F.array(*[F.lit(2**i) for i in reversed(range(levels.bit_length()))])
-
-    def move(at, step):
-        reached = at + step
-        passed = (reached <= F.size(edges)) & F.coalesce(test(F.get(edges, reached - 1)), F.lit(False))
-        return F.when(passed, reached).otherwise(at)
+def repaired_values(runs: DataFrame, keys) -> DataFrame:
+    """``target`` of every value: the median over groups of the value at the same rank.
 
-    return F.aggregate(steps, F.lit(0), move)
+    A value's rank is the middle of its run; its counterpart in a group of another size is
+    interpolated between the two rows around the same relative rank."""
+    keys = list(keys)
+    runs = materialize(runs, "value-runs")
+    sizes = runs.groupBy(*keys, F.col("group_value").alias("other")).agg(F.max("group_n").alias("other_n"))
+    rank = (F.col("start") + F.col("n") / 2) / F.col("group_n")
+    place = F.least(F.greatest(rank * F.col("other_n") - 0.5, F.lit(0.0)), F.col("other_n") - 1.0)
+    asked = (
+        runs.join(sized_broadcast(sizes, "groups"), keys)
+        .where("other <> group_value")
+        .select(*keys, F.col("other").alias("group_value"), F.col("group_value").alias("own"), F.col("value").alias("x"), place.alias("place"))
+    )
+    low = F.floor("place")
+    ends = F.explode(F.array(F.struct(low.alias("start"), (1 - (F.col("place") - low)).alias("share")),
+                             F.struct(F.ceil("place").alias("start"), (F.col("place") - low).alias("share"))))
+    asked = asked.withColumn("end", ends).select(*keys, "group_value", "own", "x", "end.start", "end.share")
+    found = latest_before(runs.select(*keys, "group_value", "start", "value"), asked, [*keys, "group_value"], "start", "value")
+    # a whole place is asked for twice, with shares one and nothing
+    counterparts = found.groupBy(*keys, "own", "x", "group_value").agg(F.sum(F.col("share") * F.col("value")).alias("at_rank"))
+    counterparts = counterparts.select(*keys, F.col("own").alias("group_value"), F.col("x").alias("value"), "at_rank")
+    own = runs.select(*keys, "group_value", "value", F.col("value").alias("at_rank"))
+    return counterparts.unionByName(own).groupBy(*keys, "group_value", "value").agg(F.median("at_rank").alias("target"))
 
 
 def disparate_impact_repair(
-    rows: DataFrame, keys, attribute: str, feature: str, amount: float = 1.0, levels: int = 100
+    rows: DataFrame, keys, attribute: str, feature: str, amount: float = 1.0
 ) -> DataFrame:
     """Move each value towards the median over groups at the same rank.
 
-    A value's rank is where it falls among its own group's quantiles, so order
-    within a group is kept. Adds ``<feature>_repaired``."""
-    edges = quantile_edges(rows, keys, attribute, feature, levels)
-    middle = (
-        edges.select(*keys, F.posexplode("edges").alias("level", "edge"))
-        .groupBy(*keys, "level")
-        .agg(F.median("edge").alias("middle"))
-        .groupBy(*keys)
-        .agg(
-            F.transform(F.array_sort(F.collect_list(F.struct("level", "middle"))), lambda e: e["middle"]).alias(
-                "targets"
-            )
-        )
-    )
-    table = sized_broadcast(edges.join(middle, list(keys)), "quantiles").select(
-        *[F.col(k).alias(f"_q_{k}") for k in keys], F.col("group_value").alias("_q_group"), "edges", "targets"
+    Ranks are exact and order within a group is kept. Adds ``<feature>_repaired``; a missing
+    value stays missing."""
+    targets = repaired_values(value_runs(rows, keys, attribute, feature), keys).select(
+        *[F.col(k).alias(f"_q_{k}") for k in keys], F.col("group_value").alias("_q_group"), F.col("value").alias("_q_value"), "target"
     )
-    match = [F.col(k) == F.col(f"_q_{k}") for k in keys] + [group_text(attribute) == F.col("_q_group")]
     x = F.col(feature).cast("double")
-    below = _count_before("edges", lambda e: e < x, levels)
-    not_above = _count_before("edges", lambda e: e <= x, levels)
-    level = F.least(F.floor((below + not_above) / 2).cast("int"), F.lit(levels - 1))
-    repaired = (1 - amount) * x + amount * F.get("targets", level)
+    match = [F.col(k) == F.col(f"_q_{k}") for k in keys]
+    match += [group_text(attribute) == F.col("_q_group"), x == F.col("_q_value")]
     return (
-        rows.join(table, match)
-        .withColumn(f"{feature}_repaired", repaired)
-        .drop("edges", "targets", "_q_group", *[f"_q_{k}" for k in keys])
+        rows.join(targets, match, "left")
+        .withColumn(f"{feature}_repaired", (1 - amount) * x + amount * F.coalesce("target", x))
+        .drop("target", "_q_group", "_q_value", *[f"_q_{k}" for k in keys])
     )
 
 
@@ -143,6 +150,42 @@ def threshold_curve(
     )
 
 
+def exact_curve(rows: DataFrame, keys, attribute: str, label: str = "y_true") -> DataFrame:
+    """The same counts at every distinct score, and the ``cell`` of scores it lies in."""
+    ids = [*keys, "group_value"]
+    hist = rows.groupBy(*keys, group_text(attribute).alias("group_value"), F.col("y_score").alias("threshold")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("pos")
+    )
+    hist = hist.repartitionByRange(*ids, F.desc("threshold")).withColumn("cell", F.spark_partition_id())
+    hist = materialize(hist, "score-cells")
+    whole = hist.groupBy(*ids).agg(F.sum("n").alias("group_n"), F.sum("pos").alias("group_pos"))
+    known = hist.where("threshold IS NOT NULL AND NOT isnan(threshold)")  # a row without a score is never selected
+    upto = prefix_totals(known, ids, [F.desc("threshold")], {"s": "n", "h": "pos"}, "cell")
+    return upto.join(sized_broadcast(whole, "group-sizes"), ids).select(
+        *ids,
+        "threshold",
+        (F.col("s") + F.col("n")).cast("long").alias("selected"),
+        (F.col("h") + F.col("pos")).cast("long").alias("selected_pos"),
+        "group_n",
+        "group_pos",
+        "cell",
+    )
+
+
+def curve_hull(curve: DataFrame, keys) -> DataFrame:
+    """The points of a curve that may be on its upper hull: those on the hull of their cell.
+
+    Upper hulls merge: the hull of the cells' hulls is that of the curve. Both constraints
+    look at linear images of (selected, truly positive), which keep hulls."""
+    ids = [*keys, "group_value", "cell"]
+
+    def hull(key, pdf):
+        order = _upper_hull(pdf["selected"].to_numpy(float), pdf["selected_pos"].to_numpy(float))
+        return pdf.iloc[order]
+
+    return curve.groupBy(*ids).applyInPandas(hull, curve.schema).drop("cell")
+
+
 def _upper_hull(x, y):
     """Indices of the upper convex hull of points, left to right."""
     order = np.lexsort((-y, x))
@@ -171,10 +214,21 @@ def _mix(grid, hx, ht):
     return ht[left], ht[right], np.clip(weight, 0.0, 1.0)
 
 
-def _choose_thresholds(curve: pd.DataFrame, constraint, objective, grid_size):
+def _meetings(x, lines):
+    """Where two of several functions, straight between the places ``x``, cross."""
+    out = []
+    for i in range(len(lines)):
+        for j in range(i):
+            d = lines[i] - lines[j]
+            at = np.flatnonzero(d[:-1] * d[1:] < 0)
+            out.append(x[at] + d[at] / (d[at] - d[at + 1]) * (x[at + 1] - x[at]))
+    return np.concatenate(out) if out else np.zeros(0)
+
+
+def _choose_thresholds(curve: pd.DataFrame, constraint, objective):
     """Best randomised threshold pair per group under the constraint (Hardt et al.,
-    2016). ``curve`` is bounded by groups times the score resolution."""
-    grid = np.linspace(0.0, 1.0, grid_size + 1)
+    2016), exactly: what is maximised is straight between the corners of the groups' hulls
+    and the places where hulls cross, so one of these is best. ``curve`` holds hull points."""
     n, p = 0.0, 0.0
     groups = []
     for g, c in curve.groupby("group_value", sort=True):
@@ -189,6 +243,7 @@ def _choose_thresholds(curve: pd.DataFrame, constraint, objective, grid_size):
     neg = n - p
     rows = []
     if constraint == "demographic_parity":
+        grid = np.unique(np.concatenate([s / gn for _, gn, _, _, s, _ in groups]))
         total = np.zeros(len(grid))
         mixes = []
         for g, gn, gp, t, s, h in groups:
@@ -205,6 +260,13 @@ def _choose_thresholds(curve: pd.DataFrame, constraint, objective, grid_size):
         for g, (t0, t1, w) in mixes:
             rows.append((g, float(t0[best]), float(t1[best]), float(w[best]), 0.0, 0.0, float(grid[best]), float(total[best])))
     else:
+        hulls = []
+        for g, gn, gp, t, s, h in groups:
+            fpr, tpr = (s - h) / max(gn - gp, 1.0), h / max(gp, 1.0)
+            hull = _upper_hull(fpr, tpr)
+            hulls.append((fpr[hull], tpr[hull]))
+        corners = np.unique(np.concatenate([[0.0, 1.0], *[x for x, _ in hulls]]))
+        grid = np.unique(np.r_[corners, _meetings(corners, [np.interp(corners, x, y) for x, y in hulls])])
         roofs, mixes = [], []
         for g, gn, gp, t, s, h in groups:
             fpr, tpr = (s - h) / max(gn - gp, 1.0), h / max(gp, 1.0)
@@ -236,17 +298,18 @@ def choose_thresholds(
     keys,
     constraint: str = "demographic_parity",
     objective: str = "accuracy_score",
-    grid_size: int = 1000,
 ) -> DataFrame:
     """Threshold pair per group that does best under the constraint, one small task
-    per key. Constraints: demographic_parity, equalized_odds."""
+    per key. Constraints: demographic_parity, equalized_odds. Of a curve with cells
+    (``exact_curve``) only the corners of the cells' hulls come together."""
     keys = list(keys)
+    curve = curve_hull(curve, keys) if "cell" in curve.columns else curve
     schema = T.StructType(
         [curve.schema[k] for k in keys] + list(T.StructType.fromDDL(_CHOICE).fields)
     )
 
     def solve(key, pdf):
-        rows = _choose_thresholds(pdf, constraint, objective, grid_size)
+        rows = _choose_thresholds(pdf, constraint, objective)
         return pd.DataFrame([(*key, *r) for r in rows], columns=schema.names)
 
     return curve.groupBy(*keys).applyInPandas(solve, schema)

@@ -72,3 +72,28 @@ def row_index(df: DataFrame, keys, order, label: str = "row-index") -> DataFrame
         .withColumn("row_no", F.col("_pos") - F.col("_start") + F.col("_offset"))
         .drop("_pos", "_part", "_start", "_offset")
     )
+
+
+def latest_before(known: DataFrame, asked: DataFrame, keys, at: str, value: str) -> DataFrame:
+    """``asked`` with the ``value`` of the last row of ``known`` whose ``at`` is not above its
+    own, within ``keys``: an as-of join.
+
+    Both sides are dealt by ranges of (keys, at) and walked in order inside a range; what a
+    range inherits is a small running look-up over the ranges before it, so neither a hot
+    key nor a long series lands in one task."""
+    kept = [c for c in asked.columns if c not in (*keys, at)]
+    sides = known.select(*keys, at, F.lit(0).alias("_asks"), F.col(value).alias("_known")).unionByName(
+        asked.withColumn("_asks", F.lit(1)), allowMissingColumns=True
+    )
+    dealt = materialize(
+        sides.repartitionByRange(*keys, at, "_asks").withColumn("_range", F.spark_partition_id()), "as-of"
+    )
+    inside = W.partitionBy(*keys, "_range").orderBy(at, "_asks")
+    seen = F.last("_known", ignorenulls=True).over(inside)
+    ends = dealt.groupBy(*keys, "_range").agg(
+        F.max(F.when(F.col("_asks") == 0, F.struct(at, F.col("_known")))).alias("_end")
+    )
+    before = W.partitionBy(*keys).orderBy("_range").rowsBetween(*_BEFORE)
+    ends = ends.select(*keys, "_range", F.last("_end", ignorenulls=True).over(before)["_known"].alias("_carried"))
+    found = dealt.withColumn("_seen", seen).where("_asks = 1").join(ends, [*keys, "_range"])
+    return found.select(*keys, at, *kept, F.coalesce("_seen", "_carried").alias(value))

@@ -60,38 +60,100 @@ def threshold_curve(spark, folder):
     return G.threshold_curve(predictions(spark, folder), KEYS, "sex")
 
 
-@query()
+# Roof of a group's points at x: the best chord over x. What is maximised is straight
+# between the points' places and the places where the two roofs cross.
+_HULL = """
+h AS (SELECT model_id, sex, y_score, count(*) AS n, sum(y_true) AS pos FROM p GROUP BY ALL),
+z AS (SELECT model_id, sex, sum(n) AS gn, sum(pos) AS gp FROM h GROUP BY ALL),
+c AS (SELECT model_id, sex, sum(n) OVER w AS s, sum(pos) OVER w AS hit FROM h
+    WINDOW w AS (PARTITION BY model_id, sex ORDER BY y_score DESC)
+  UNION ALL SELECT DISTINCT model_id, sex, 0, 0 FROM h),
+tot AS (SELECT model_id, sum(gn) AS nn, sum(gp) AS pp FROM z GROUP BY 1),
+pt AS (SELECT model_id, sex, s / gn AS x, (hit + (gn - gp) - (s - hit)) / nn AS y, (s - hit) / (gn - gp) AS fpr, hit / gp AS tpr, s, hit
+  FROM c JOIN z USING (model_id, sex) JOIN tot USING (model_id))"""
+
+
+def _roof(name, at, x, y):
+    """Height of every group's roof at the places of relation ``at``."""
+    return f"""{name} AS (SELECT q.model_id, a.sex, q.x, max(CASE WHEN b.{x} = a.{x} THEN greatest(a.{y}, b.{y})
+    ELSE a.{y} + (b.{y} - a.{y}) * (q.x - a.{x}) / (b.{x} - a.{x}) END) AS y
+  FROM {at} q JOIN pt a ON a.model_id = q.model_id AND a.{x} <= q.x JOIN pt b ON b.model_id = a.model_id AND b.sex = a.sex AND b.{x} >= q.x
+  GROUP BY 1, 2, 3)"""
+
+
+@query(
+    f"""WITH {P}, {_HULL},
+dx AS (SELECT DISTINCT model_id, x FROM pt), {_roof("dr", "dx", "x", "y")},
+dp AS (SELECT model_id, max(v) AS objective FROM (SELECT model_id, x, sum(y) AS v FROM dr GROUP BY 1, 2) GROUP BY 1),
+ox AS (SELECT DISTINCT model_id, fpr AS x FROM pt), {_roof("orf", "ox", "fpr", "tpr")},
+od AS (SELECT model_id, x, max(y) FILTER (sex = 'Male') - max(y) FILTER (sex = 'Female') AS d FROM orf GROUP BY 1, 2),
+on_ AS (SELECT *, lead(x) OVER w AS x1, lead(d) OVER w AS d1 FROM od WINDOW w AS (PARTITION BY model_id ORDER BY x)),
+ex AS (SELECT model_id, x FROM ox UNION SELECT model_id, x + d / (d - d1) * (x1 - x) FROM on_ WHERE d * d1 < 0), {_roof("er", "ex", "fpr", "tpr")},
+eo AS (SELECT model_id, max((y * pp + (1 - x) * (nn - pp)) / nn) AS objective
+  FROM (SELECT model_id, x, min(y) AS y FROM er GROUP BY 1, 2) JOIN tot USING (model_id) GROUP BY 1)
+SELECT model_id, 'demographic_parity' AS "constraint", group_value, round(objective, 6) AS objective, true AS same_rate
+FROM dp, (SELECT unnest(['Female', 'Male']) AS group_value)
+UNION ALL SELECT model_id, 'equalized_odds', group_value, round(objective, 6), true FROM eo, (SELECT unnest(['Female', 'Male']) AS group_value)"""
+)
 def fair_thresholds(spark, folder):
-    curve = G.threshold_curve(predictions(spark, folder), KEYS, "sex")
-    return G.choose_thresholds(curve, KEYS).withColumn(
-        "constraint", F.lit("demographic_parity")
-    ).unionByName(
-        G.choose_thresholds(curve, KEYS, "equalized_odds").withColumn(
-            "constraint", F.lit("equalized_odds")
-        )
-    )
+    """Best accuracy under each constraint, on exact scores; ``same_rate``: the chosen mix of
+    thresholds gives the group the rate that all groups share."""
+    curve = materialize(G.exact_curve(predictions(spark, folder), KEYS, "sex"), "curve")
+    ids = [*KEYS, "group_value"]
+    ends = curve.groupBy(*ids).agg(F.max("group_n").alias("gn"), F.max("group_pos").alias("gp"))
+    out = None
+    for constraint in ("demographic_parity", "equalized_odds"):
+        choice = G.choose_thresholds(curve, KEYS, constraint).join(ends, ids)
+        for side in ("a", "b"):
+            at = curve.select(*ids, F.col("threshold").alias(f"threshold_{side}"), F.struct("selected", "selected_pos").alias(f"at_{side}"))
+            choice = choice.join(at, [*ids, f"threshold_{side}"], "left")
 
+        def rate(side):
+            s, h = (F.coalesce(F.col(f"at_{side}.{c}"), F.lit(0)) for c in ("selected", "selected_pos"))
+            return s / F.col("gn") if constraint == "demographic_parity" else (s - h) / (F.col("gn") - F.col("gp"))
 
-@query()
+        mixed = F.col("weight_a") * rate("a") + (1 - F.col("weight_a")) * rate("b")
+        near = F.abs(mixed - F.col("target_rate")) < 1e-9
+        part = choice.select(*KEYS, F.lit(constraint).alias("constraint"), "group_value", F.round("objective", 6).alias("objective"), near.alias("same_rate"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(f"""WITH {P} SELECT model_id, sex, count(*) AS n, round(avg(y_pred), 6) AS rate_before, true AS near_target FROM p GROUP BY 1, 2""")
 def fair_predictions(spark, folder):
+    """Rates after fair thresholds lie at the shared target, but for the draw of each row."""
     rows = predictions(spark, folder)
-    choice = G.choose_thresholds(G.threshold_curve(rows, KEYS, "sex"), KEYS)
+    choice = materialize(G.choose_thresholds(G.exact_curve(rows, KEYS, "sex"), KEYS), "choice")
     fair = G.apply_thresholds(rows, choice, KEYS, "sex", "event_id")
-    return fair.groupBy("model_id", "sex").agg(
+    rates = fair.groupBy("model_id", "sex").agg(
         F.count(F.lit(1)).alias("n"),
-        F.avg("y_pred").alias("rate_before"),
+        F.round(F.avg("y_pred"), 6).alias("rate_before"),
         F.avg("y_fair").alias("rate_after"),
-        F.avg((F.col("y_fair") == F.col("y_true")).cast("double")).alias("accuracy_after"),
+    )
+    noise = 4 * F.sqrt(F.lit(0.25) / F.col("n"))
+    return rates.join(choice.select(*KEYS, F.col("group_value").alias("sex"), "target_rate"), [*KEYS, "sex"]).select(
+        *KEYS, "sex", "n", "rate_before", (F.abs(F.col("rate_after") - F.col("target_rate")) <= noise).alias("near_target")
     )
 
 
-@query()
+@query(
+    f"""WITH {P}, l AS (SELECT model_id, sex, list(price ORDER BY price) AS xs, count(*) AS gn FROM p GROUP BY 1, 2),
+r AS (SELECT model_id, sex, price, count(*) AS n, sum(count(*)) OVER (PARTITION BY model_id, sex ORDER BY price) - count(*) AS start FROM p GROUP BY 1, 2, 3),
+q AS (SELECT r.*, o.xs AS xs, least(greatest((start + n / 2) / l.gn * o.gn - 0.5, 0), o.gn - 1) AS place
+  FROM r JOIN l USING (model_id, sex) JOIN l AS o ON o.model_id = r.model_id),
+t AS (SELECT model_id, sex, price, n, median(xs[CAST(floor(place) AS BIGINT) + 1] * (1 - (place - floor(place)))
+    + xs[CAST(ceil(place) AS BIGINT) + 1] * (place - floor(place))) AS target FROM q GROUP BY ALL)
+SELECT model_id, sex, CAST(sum(n) AS BIGINT) AS n, round(sum(n * price) / sum(n), 4) AS mean_before, round(sum(n * target) / sum(n), 4) AS mean_after,
+  round(max(target), 4) AS highest, round(min(target), 4) AS lowest FROM t GROUP BY 1, 2"""
+)
 def impact_repair(spark, folder):
     rows = G.disparate_impact_repair(predictions(spark, folder), KEYS, "sex", "price")
     return rows.groupBy("model_id", "sex").agg(
         F.count(F.lit(1)).alias("n"),
-        F.avg("price").alias("mean_before"),
-        F.avg("price_repaired").alias("mean_after"),
+        F.round(F.avg("price"), 4).alias("mean_before"),
+        F.round(F.avg("price_repaired"), 4).alias("mean_after"),
+        F.round(F.max("price_repaired"), 4).alias("highest"),
+        F.round(F.min("price_repaired"), 4).alias("lowest"),
     )
 
 
