@@ -6,6 +6,7 @@ from evenhand.operators import cube, drift as D
 from evenhand.plans.history import drift_statistics, drift_view as view_of_model
 from evenhand.queries import query
 from evenhand.queries.views import P, predictions
+from evenhand.session import materialize
 
 _KEYS = ("model_id",)
 
@@ -22,7 +23,8 @@ def daily_gaps(spark, folder):
     rows = predictions(spark, folder).withColumnRenamed("ts", "day")
     groups = cube.confusion_cube(rows, ["model_id", "day"], ["sex"])
     rate = F.col("pred_pos") / F.col("n")
-    return groups.groupBy("model_id", "day").agg((F.max(rate) - F.min(rate)).alias("gap"))
+    gaps = groups.groupBy("model_id", "day").agg((F.max(rate) - F.min(rate)).alias("gap"))
+    return materialize(gaps, "daily-gaps")  # a short series that every detector walks
 
 
 _STEPS = """
@@ -65,11 +67,12 @@ def weekly_gaps(spark, folder):
     groups = cube.confusion_cube(rows, ["model_id", "week"], ["sex"])
     rate = F.col("pred_pos") / F.col("n")
     gaps = groups.groupBy("model_id", "week").agg((F.max(rate) - F.min(rate)).alias("gap"))
-    return gaps.select(
+    series = gaps.select(
         F.lit("all").alias("series"),
         F.concat("model_id", F.lit(" "), F.date_format("week", "yyyy-MM-dd")).alias("at"),
         "gap",
     )
+    return materialize(series, "weekly-gaps")
 
 
 @query(
@@ -99,11 +102,45 @@ def adwin(spark, folder):
     )
 
 
-@query()
+def _segments(penalty, jump=5, shortest=2):
+    """Brute force over relation ``ser`` (series, i, gap, place): the best cost up to every
+    multiple of ``jump`` from all starts before it, then the way back from the end."""
+    cost = """(x.ss[{t} + 1] - x.ss[{s} + 1]) - (x.s[{t} + 1] - x.s[{s} + 1]) * (x.s[{t} + 1] - x.s[{s} + 1]) / ({t} - {s})"""
+    step, last = cost.format(s=f"({jump} * j)", t=f"({jump} * (k + 1))"), cost.format(s=f"({jump} * j)", t="x.n")
+    return f"""
+pre AS (SELECT series, i, place, gap, sum(gap) OVER w AS cs, sum(gap * gap) OVER w AS css FROM ser WINDOW w AS (PARTITION BY series ORDER BY i)),
+x AS (SELECT series, count(*) AS n, list_prepend(0.0, list(cs ORDER BY i)) AS s, list_prepend(0.0, list(css ORDER BY i)) AS ss,
+    list(place ORDER BY i) AS ats FROM pre GROUP BY series),
+dp AS (SELECT series, CAST(0 AS BIGINT) AS k, [CAST(-{penalty} AS DOUBLE)] AS f, [CAST(NULL AS BIGINT)] AS back FROM x WHERE n >= 10
+  UNION ALL SELECT series, k + 1, list_append(f, b.v), list_append(back, b.j) FROM (
+    SELECT x.series, k, f, back, list_min(list_transform(range(0, k + 1), lambda j: {{'v': f[j + 1] + {step} + {penalty}, 'j': j}})) AS b
+    FROM dp JOIN x USING (series) WHERE {jump} * (k + 1) < x.n)),
+fin AS (SELECT x.series, back, ats, list_min(list_transform(range(0, (x.n - {shortest}) // {jump} + 1), lambda j: {{'v': f[j + 1] + {last}, 'j': j}})).j AS j
+  FROM dp JOIN x USING (series) WHERE {jump} * (k + 1) >= x.n),
+walk AS (SELECT series, j, back, ats FROM fin UNION ALL SELECT series, back[j + 1], back, ats FROM walk WHERE back[j + 1] > 0),
+cuts AS (SELECT series, CAST({jump} * j AS BIGINT) AS changepoint, ats[{jump} * j + 1] AS "at" FROM walk WHERE j > 0)"""
+
+
+@query(
+    f"""WITH RECURSIVE {WEEKLY},
+ser AS (SELECT 'all' AS series, row_number() OVER (ORDER BY model_id, day) - 1 AS i, gap, model_id || ' ' || strftime(day, '%Y-%m-%d') AS place FROM weekly),
+{_segments(0.5)} SELECT series, changepoint, "at" FROM cuts"""
+)
 def changepoints(spark, folder):
     return D.changepoints(weekly_gaps(spark, folder), ["series"], "at", "gap", penalty=0.5)
 
 
+@query(
+    f"""WITH RECURSIVE {DAILY},
+ser AS (SELECT model_id AS series, row_number() OVER (PARTITION BY model_id ORDER BY day) - 1 AS i, gap, strftime(day, '%Y-%m-%d') AS place FROM daily),
+{_segments(0.12)} SELECT series AS model_id, changepoint, "at" FROM cuts"""
+)
+def changepoints_daily(spark, folder):
+    """The daily history of each model, at a penalty that gives many segments."""
+    out = D.changepoints(daily_gaps(spark, folder), _KEYS, "day", "gap", penalty=0.12)
+    return out.select("model_id", "changepoint", F.date_format("at", "yyyy-MM-dd").alias("at"))
+
+
 # the running statistics, one row at a time
 @query(
     f"""WITH RECURSIVE {DAILY},
