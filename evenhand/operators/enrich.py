@@ -83,55 +83,61 @@ def enrich(predictions: DataFrame, enriched_at=None) -> DataFrame:
     )
 
 
-def _distribution(rows: DataFrame, row_keys, code: str, weight: str, name: str) -> DataFrame:
-    """Weights per row turned into one normalised JSON distribution.
-
-    Weights of a code that a lookup lists more than once add up."""
-    once = rows.groupBy(*row_keys, code).agg(F.sum(weight).alias(weight))
-    total = once.groupBy(*row_keys).agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct(code, weight)))).alias("_m"),
-        F.sum(weight).alias("_t"),
-        F.max(weight).alias("_top"),
-    )
-    # one entry per code of the lookup's vocabulary, a handful per row
-    return total.where("_t > 0").select(
-        *row_keys,
-        F.transform_values("_m", lambda _, v: F.round(v / F.col("_t"), 6)).alias(name),
-        (F.col("_top") / F.col("_t")).alias(f"{name}_quality"),
-    )
+def folded(lookup: DataFrame, key: F.Column, name: str) -> DataFrame:
+    """One row for each key of a lookup with code and weight: ``_k`` and the map ``name``
+    from code to weight. Weights of a code that comes more than once add up."""
+    once = lookup.groupBy(key.alias("_k"), "code").agg(F.sum("weight").alias("weight"))
+    # as many entries as the lookup's vocabulary has codes, a handful
+    entries = F.map_from_entries(F.array_sort(F.collect_list(F.struct("code", "weight"))))
+    return once.groupBy("_k").agg(entries.alias(name))
+
+
+def _distribution(weights: F.Column, name: str) -> list[F.Column]:
+    """The normalised distribution of a map of weights and its quality, the share of the
+    likeliest code; both null without weight."""
+    values = F.map_values(weights)
+    total = F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+    return [
+        F.when(total > 0, F.transform_values(weights, lambda _, v: F.round(v / total, 6))).alias(name),
+        F.when(total > 0, F.array_max(values) / total).alias(f"{name}_quality"),
+    ]
+
+
+def _looked_up(rows: DataFrame, lookup: DataFrame, key: F.Column) -> DataFrame:
+    return rows.withColumn("_k", key).join(lookup, "_k", "left").drop("_k")
 
 
-def proxy_gender(rows: DataFrame, names: DataFrame, row_id: str = "event_id") -> DataFrame:
-    """Gender distribution by first name. ``names`` has first_name, code, weight."""
+def proxy_gender(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """Gender distribution by first name. ``names`` has first_name, code, weight.
+
+    Adds ``gender_distribution`` and ``gender_distribution_quality``."""
     key = F.lower(strip("first_name"))
-    joined = rows.select(row_id, key.alias("_k")).join(
-        names.select(key.alias("_k"), "code", "weight"), "_k"
-    )
-    return _distribution(joined, [row_id], "code", "weight", "gender_distribution")
+    found = _looked_up(rows, folded(names, key, "_gender"), key)
+    return found.select("*", *_distribution(F.col("_gender"), "gender_distribution")).drop("_gender")
 
 
-def proxy_race(
-    rows: DataFrame, surnames: DataFrame, places: DataFrame, row_id: str = "event_id"
-) -> DataFrame:
+def proxy_race(rows: DataFrame, surnames: DataFrame, places: DataFrame) -> DataFrame:
     """Race distribution from surname and ZIP code by Bayes' rule.
 
     ``surnames`` has surname, code, weight = P(code | surname); ``places`` has
     zip_code, code, weight = P(zip | code). The product, normalised per row, is
-    the posterior."""
+    the posterior. Adds ``race_distribution`` and ``race_distribution_quality``."""
     name = F.upper(strip("surname"))
-    by_name = rows.select(row_id, "zip_code", name.alias("_k")).join(
-        surnames.select(name.alias("_k"), "code", F.col("weight").alias("_prior")), "_k"
+    found = _looked_up(rows, folded(surnames, name, "_prior"), name)
+    found = _looked_up(found, folded(places, F.col("zip_code"), "_likelihood"), F.col("zip_code"))
+    joint = F.map_filter(
+        F.map_zip_with("_prior", "_likelihood", lambda _, a, b: a * b), lambda _, v: v.isNotNull()
+    )
+    found = found.withColumn("_joint", joint)
+    return found.select("*", *_distribution(F.col("_joint"), "race_distribution")).drop(
+        "_prior", "_likelihood", "_joint"
     )
-    joint = by_name.join(
-        places.select("zip_code", "code", F.col("weight").alias("_likelihood")), ["zip_code", "code"]
-    ).withColumn("weight", F.col("_prior") * F.col("_likelihood"))
-    return _distribution(joint, [row_id], "code", "weight", "race_distribution")
 
 
-def proxy_income(rows: DataFrame, brackets: DataFrame, row_id: str = "event_id") -> DataFrame:
-    """Income bracket by ZIP code. ``brackets`` has zip_code and income_bracket."""
+def proxy_income(rows: DataFrame, brackets: DataFrame) -> DataFrame:
+    """Adds the income bracket by ZIP code. ``brackets`` has zip_code and income_bracket."""
     once = brackets.groupBy("zip_code").agg(F.min("income_bracket").alias("income_bracket"))
-    return rows.select(row_id, "zip_code").join(once, "zip_code", "left").drop("zip_code")
+    return rows.join(once, "zip_code", "left")
 
 
 def proxy_enrich(
@@ -144,18 +150,11 @@ def proxy_enrich(
 ) -> DataFrame:
     """Proxy demographics per row: distributions only, marked and scored.
 
-    The lookup tables come from the user; how they are joined is left to their
-    size at run time. Of an id that comes more than once, one row is enriched."""
-    rest = [c for c in rows.columns if c != row_id]
-    rows = rows.groupBy(row_id).agg(F.min(F.struct(*rest)).alias("_r")).select(row_id, "_r.*")
-    gender = proxy_gender(rows, names, row_id)
-    race = proxy_race(rows, surnames, places, row_id)
-    out = (
-        rows.select(row_id)
-        .join(gender, row_id, "left")
-        .join(race, row_id, "left")
-        .join(proxy_income(rows, brackets, row_id), row_id, "left")
-    )
+    The lookup tables come from the user; each is folded to one row for each key, and how
+    they are joined is left to their size at run time. Rows are read once and never
+    regrouped, so an id that comes more than once is enriched as often."""
+    rows = rows.select(row_id, "first_name", "surname", "zip_code")
+    out = proxy_income(proxy_race(proxy_gender(rows, names), surnames, places), brackets)
     scores = F.array_compact(
         F.array("gender_distribution_quality", "race_distribution_quality")
     )

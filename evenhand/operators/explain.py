@@ -127,6 +127,9 @@ def shapley_attribution(
         .withColumn("_walk", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
         .withColumn("_bg", F.pmod(F.xxhash64(F.lit(seed), row_id, "_walk"), F.lit(size)) + 1)
         .join(numbered, "_bg")
+        # dealt by row while they are few: the steps made below then stay where they are made,
+        # and are scored and added up without another shuffle
+        .repartition(row_id)
     )
     # random order of features: sort positions by a hash
     order = F.transform(
@@ -205,7 +208,8 @@ def counterfactuals(
 
     Features and changes are tried in order; ``predict`` adds ``prediction``.
     Only rows not already there are searched. One row per change found."""
-    wanting = rows.where(F.col(original) != desired)
+    # dealt by row before the changes are made, which then are judged where they are made
+    wanting = rows.where(F.col(original) != desired).repartition(row_id)
     flips = predict(perturbation_grid(wanting, features, [row_id])).where(
         F.col("prediction") == desired
     )
