@@ -115,12 +115,52 @@ FAMILIES = [
     ("all-rights-reserved", "reserved", "all rights (?:are )?reserved", "reserved", "rights reserved by"),
 ]
 
+# Versions written in one word, and sentences of the licenses themselves:
+# label, keyword, pattern, over words.
+JOINED = [
+    ("gpl-2.0", "gplv2", "gplv2(?: 0)?"),
+    ("gpl-2.0", "gpl2", "gpl2"),
+    ("gpl-3.0", "gplv3", "gplv3(?: 0)?"),
+    ("gpl-3.0", "gpl3", "gpl3"),
+    ("lgpl-2.0", "lgplv2", "lgplv2(?: 0)?"),
+    ("lgpl-2.1", "lgplv2", "lgplv2 1"),
+    ("lgpl-3.0", "lgplv3", "lgplv3(?: 0)?"),
+    ("agpl-3.0", "agplv3", "agplv3(?: 0)?"),
+    ("mpl-1.1", "mplv1", "mplv1 1"),
+    ("mpl-2.0", "mplv2", "mplv2(?: 0)?"),
+    ("epl-1.0", "eplv1", "eplv1(?: 0)?"),
+    ("epl-2.0", "eplv2", "eplv2(?: 0)?"),
+    ("apache-2.0", "apache2", "apache2"),
+]
+BODIES = [
+    ("mit", "hereby granted free", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
+    ("bsl-1.0", "hereby granted free", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software"),
+    ("isc", "permission to use", "permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted"),
+    ("bsd", "redistribution and use", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd-3-clause", "neither the name", "neither the name of (?:[^ ]+ ){1,12}(?:nor|or) the names of its contributors may be used to endorse"),
+    ("apache-2.0", "unless required by", "unless required by applicable law or agreed to in writing software distributed under the licen[cs]e is distributed on an as is basis"),
+    ("gpl", "program is free", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public licen[cs]e"),
+    ("lgpl", "library is free", "this library is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public licen[cs]e"),
+    ("mpl-2.0", "source code form", "this source code form is subject to the terms of the mozilla public licen[cs]e"),
+    ("zlib", "provided as is", "this software is provided as is without any express or implied warranty in no event will the authors be held liable"),
+    ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain"),
+    ("wtfpl", "verbatim or modified", "everyone is permitted to copy and distribute verbatim or modified copies of this licen[cs]e document and changing it is allowed"),
+    ("cc0-1.0", "associated a work", "the person who associated a work with this deed has dedicated the work to the public domain"),
+]
+#: Families whose bare identifier names them after a grant; their short forms are others.
+NAMED_BY_ID = (
+    "mit isc zlib unlicense ncsa postgresql curl openssl vim ruby w3c python-2.0 elastic-2.0 sleepycat bsd apache-2.0 gpl lgpl"
+).split()
+
 _GRANT = (
     "(?:licen[cs]ed|released|distributed|available|published|provided) (?:to you )?(?:under|with)"
     " (?:the )?(?:terms (?:and conditions )?of )?(?:the )?"
 )
+_UNDER = "(?:licen[cs]ed|released|distributed|available|published|provided) under "
+_LATER = "(?: or later| only)?"
 #: priority (0 best), weight, template, which of a family's forms.
 TEMPLATES = [
+    (0, 1.0, "spdx licen[cs]e identifier {}" + _LATER, "id"),
     (0, 1.0, "spdx licen[cs]e identifier {}", "short"),
     (1, 0.95, _GRANT + "{}", "name"),
     (1, 0.9, _GRANT + "{}", "short"),
@@ -142,23 +182,37 @@ def needs_license(pattern: str) -> bool:
 
 
 def rules(families=None, templates=None) -> list[dict]:
-    """All rules in order: every template for every family."""
+    """All rules in order: every template for every family, then the written-out ones."""
     out = []
+
+    def add(priority, weight, label, key, pattern):
+        out.append(
+            {
+                "priority": priority,
+                "place": len(out),
+                "label": label,
+                "weight": weight,
+                "keyword": f" {key} ",
+                "license": needs_license(pattern),
+                "pattern": f"(?<= )(?:{pattern})(?= )",
+            }
+        )
+
     for priority, weight, template, form in templates or TEMPLATES:
         for label, name_key, name, short_key, short in families or FAMILIES:
-            key, body = (name_key, name) if form == "name" else (short_key, short)
-            whole = template.format(f"(?:{body})")
-            out.append(
-                {
-                    "priority": priority,
-                    "place": len(out),
-                    "label": label,
-                    "weight": weight,
-                    "keyword": f" {key} ",
-                    "license": needs_license(whole),
-                    "pattern": f"(?<= )(?:{whole})(?= )",
-                }
-            )
+            words_ = label.replace("-", " ").replace(".", " ")
+            key, body = {"name": (name_key, name), "short": (short_key, short), "id": (words_, words_)}[form]
+            add(priority, weight, label, key, template.format(f"(?:{body})"))
+    if templates is None:
+        for label, key, body in JOINED:
+            add(1, 0.9, label, key, _GRANT + body + _LATER)
+            add(3, 0.6, label, key, body + _LATER)
+        for label, key, body in BODIES:
+            add(1, 0.95, label, key, body)
+        for label in NAMED_BY_ID:
+            words_ = label.replace("-", " ").replace(".", " ")
+            for article in ("", "the "):
+                add(1, 0.9, label, f"under {article}{words_}", f"{_UNDER}{article}{words_}")
     return out
 
 
@@ -173,7 +227,8 @@ def spaces(s: Column) -> Column:
 
 def words(text: Column) -> Column:
     """The words of ``text`` in lower case, with single spaces."""
-    return F.trim(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), _SEPARATORS, " ")))
+    plain = F.regexp_replace(F.coalesce(text, F.lit("")), _SEPARATORS, " ")
+    return F.trim(F.translate(plain, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
 
 
 def places(norm: Column, rule: Column) -> Column:

@@ -18,7 +18,9 @@ repeated rows. If the sample has only one class (tiny or empty tables), only bas
 are found. Extra columns are carried in a struct and cannot clash.
 """
 
+import bisect
 import hashlib
+import itertools
 import math
 import re
 from dataclasses import dataclass, field
@@ -40,7 +42,7 @@ _DIGIT = re.compile("[0-9]")
 
 # Generators.
 _LOOSE_MAIL = re.compile(
-    r"[\w.+-]{1,64}\s?(?:@|\(at\)|\[at\])\s?[\w-]{1,64}(?:\s?(?:\.|\(dot\)|\[dot\])\s?[\w-]{1,64})+"
+    r"[\w.+-]++(\s?(?:@|\(at\)|\[at\])\s?[\w-]{1,64}(?:\s?(?:\.|\(dot\)|\[dot\])\s?[\w-]{1,64})+)?"
 )
 _CHAIN = re.compile(r"[+(]?[0-9](?:[\x20().\-/]{0,2}[0-9])+")
 _GROUP = re.compile(r"[+(]?[0-9]+\)?")
@@ -57,7 +59,8 @@ _WORDS = {
     "secret": re.compile(r"(?i)token|secret|passw|key|pwd"),
 }
 CONTEXT = 24
-PARTS = 6
+#: Digits of a proposed chain.
+LEAST_DIGITS, MOST_DIGITS = 4, 24
 
 FEATURES = (
     "mail chain dotted colons long named length digits letters upper marks spaces distinct "
@@ -102,21 +105,25 @@ def proposals(text: str) -> list[tuple[str, str, int, int]]:
     out: dict[tuple[str, int, int], str] = {}
     if "@" in text or "(at)" in text or "[at]" in text:
         for m in _LOOSE_MAIL.finditer(text):
-            out.setdefault(("email", *m.span()), "mail")
+            if m[1]:
+                out.setdefault(("email", *m.span()), "mail")
     if _DIGIT.search(text):
         for m in _CHAIN.finditer(text):
+            # every run of whole groups with so many digits: a bounded number from each group
             groups = [(m.start() + g.start(), m.start() + g.end()) for g in _GROUP.finditer(m[0])]
-            for i in range(len(groups)):
-                for j in range(i, min(len(groups), i + PARTS)):
-                    a, b = groups[i][0], groups[j][1]
-                    digits = sum(c.isdigit() for c in text[a:b])
-                    if 4 <= digits <= 24:
-                        dotted = j - i == 3 and text[a:b].count(".") == 3
-                        kind = "ip" if dotted else "card" if digits >= 12 else "phone"
-                        out.setdefault((kind, a, b), "dotted" if dotted else "chain")
-            a, b = m.span()
-            if len(groups) > PARTS and sum(c.isdigit() for c in m[0]) <= 24:
-                out.setdefault(("card", a, b), "chain")
+            sizes = [sum(c.isdigit() for c in text[a:b]) for a, b in groups]
+            for i, (a, _) in enumerate(groups):
+                digits = 0
+                for j in range(i, len(groups)):
+                    digits += sizes[j]
+                    if digits > MOST_DIGITS:
+                        break
+                    if digits < LEAST_DIGITS:
+                        continue
+                    b = groups[j][1]
+                    dotted = j - i == 3 and text[a:b].count(".") == 3
+                    kind = "ip" if dotted else "card" if digits >= 12 else "phone"
+                    out.setdefault((kind, a, b), "dotted" if dotted else "chain")
         for m in _COLONS.finditer(text):
             out.setdefault(("ip", *m.span()), "colons")
         for m in _LONG.finditer(text):
@@ -168,16 +175,36 @@ def features(text: str, generator: str, start: int, end: int) -> list[float]:
     ]
 
 
-def weak_label(text: str, base: list[tuple[str, int, int]], cand: tuple[str, str, int, int]) -> float | None:
+class Taken:
+    """Spans in order of their starts, and whether a further one would overlap them."""
+
+    def __init__(self, spans: list[tuple[str, int, int]]):
+        self.spans = sorted(spans, key=lambda s: s[1])
+        self.starts = [a for _, a, _ in self.spans]
+        self.ends = list(itertools.accumulate((b for _, _, b in self.spans), max))
+
+    def meets(self, a: int, b: int) -> bool:
+        k = bisect.bisect_left(self.starts, b)
+        return k > 0 and self.ends[k - 1] > a
+
+    def over(self, a: int, b: int):
+        """The spans that overlap [a, b)."""
+        k = bisect.bisect_left(self.starts, b) - 1
+        while k >= 0 and self.ends[k] > a:
+            if self.spans[k][2] > a:
+                yield self.spans[k]
+            k -= 1
+
+
+def weak_label(text: str, base: Taken, cand: tuple[str, str, int, int]) -> float | None:
     """1 private, 0 not, None undecided, from base spans and plain facts of the text."""
     generator, kind, a, b = cand
     near, inside = False, False
-    for k, x, y in base:
+    for k, x, y in base.over(a, b):
         common = min(b, y) - max(a, x)
-        if common <= 0:
-            continue
         whole = max(b, y) - min(a, x)
-        part_of_phone = k == kind == "phone" and common == b - a and text[a] == "(" and 4 * common >= 3 * whole
+        # a national part holds most of the digits of its phone
+        part_of_phone = k == kind == "phone" and common == b - a and b == y and 4 * common >= 3 * whole
         near |= (common == whole or part_of_phone or (k == kind and 20 * common >= 17 * whole))
         inside = True
     if near or generator == "named":
@@ -228,8 +255,9 @@ class Judge:
         if self.trees:
             rows, owners = [], []
             for i, t in enumerate(texts):
+                taken = Taken(base[i])
                 for c in proposals(t):
-                    if not any(c[2] < y and x < c[3] for _, x, y in base[i]):
+                    if not taken.meets(c[2], c[3]):
                         rows.append(features(t, c[0], c[2], c[3]))
                         owners.append((i, c))
             if rows:
@@ -239,10 +267,14 @@ class Judge:
                 )
                 for k in order:
                     i, (_, kind, a, b) = owners[k]
-                    if chance[k] >= self.least.get(kind, 2.0) and not any(
-                        a < y and x < b for _, x, y in found[i]
-                    ):
-                        found[i].append((kind, a, b))
+                    if chance[k] < self.least.get(kind, 2.0):
+                        continue
+                    # spans taken so far do not overlap: only the neighbours can meet this one
+                    own = found[i]
+                    at = bisect.bisect_left(own, a, key=lambda s: s[1])
+                    if (at < len(own) and own[at][1] < b) or (at and own[at - 1][2] > a):
+                        continue
+                    own.insert(at, (kind, a, b))
         return list(zip(base, found))
 
 
@@ -289,10 +321,10 @@ def _candidates(docs: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for text in batch.column(0).to_pylist():
-                base = base_spans(text)
+                taken = Taken(base_spans(text))
                 fold = int.from_bytes(hashlib.md5(text.encode()).digest()[:4], "little") % 3
                 for c in proposals(text):
-                    label = weak_label(text, base, c)
+                    label = weak_label(text, taken, c)
                     if label is not None:
                         x = [float(v) for v in features(text, c[0], c[2], c[3])]
                         rows.append((c[1], x, label, fold))

@@ -16,6 +16,7 @@ their own. An empty table gives no rows. Extra columns are ignored.
 """
 
 import heapq
+import itertools
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,8 +29,8 @@ OVERHEAD = 16
 #: Ranges for each shard, least and most rows (on average) of a range, and sampled keys for
 #: each range.
 RANGES, LEAST_ROWS, RANGE_ROWS, SAMPLE = 64, 2, 50_000, 32
-#: A range over this many times the mean is subdivided, at most so many times over.
-OVERFULL, ROUNDS = 2.0, 4
+#: A divisible range over this many times the mean is subdivided.
+OVERFULL = 2.0
 
 
 @dataclass
@@ -75,6 +76,12 @@ def quantiles(sample: pd.DataFrame, count: int, whole_groups: bool) -> Splitters
     return Splitters(group, sub)
 
 
+def _second(sample: pd.DataFrame) -> Splitters:
+    """A boundary at the second key, which always divides the range the sample is from."""
+    keys = sample[["group", "sub"]].drop_duplicates().sort_values(["group", "sub"])
+    return Splitters(keys["group"].to_numpy()[1:2], keys["sub"].to_numpy()[1:2])
+
+
 def _draw(light: DataFrame, total: int, keys: int, salt: int) -> pd.DataFrame:
     """About ``keys`` keys, each drawn with a chance in proportion to its size."""
     level = max(total / max(keys, 1), 1.0)
@@ -120,17 +127,19 @@ def shard(docs: DataFrame, shards: int = 40, ranges: int = RANGES, sample: int =
     each = min(ranges, max(4, rows // (shards * LEAST_ROWS)))
     count = max(shards * each, rows // RANGE_ROWS)
     splitters = quantiles(_draw(light, total, count * sample, 0), count, True)
-    for k in range(1, ROUNDS + 1):
+    for k in itertools.count(1):  # each round halves what is overfull, down to single keys
         filled = _filled(_dealt(light, splitters))
         over = filled[(filled["size"] > OVERFULL * total / count) & filled["divisible"]]
-        if not len(over) or k == ROUNDS:
+        if not len(over):
             break
         inside = _dealt(light, splitters).where(F.col("range").isin(over["range"].tolist()))
-        drawn = _draw(inside, total, count * sample * 4, k)
+        # an overfull range gets boundaries even where its keys are few or small
+        drawn = _draw(inside, total, count * sample * 4**k, k)
         where = splitters.ranges(drawn["group"].to_numpy(), drawn["sub"].to_numpy())
         for r, size in zip(over["range"], over["size"]):
             parts = int(np.ceil(2 * size * count / total))
-            splitters = splitters.merged(quantiles(drawn[where == r], parts, False))
+            own = drawn[where == r]
+            splitters = splitters.merged(quantiles(own, parts, False)).merged(_second(own))
     # ranges to shards: the largest first, each to the emptiest shard
     load = [(0, s) for s in range(shards)]
     owner = {}

@@ -1,14 +1,14 @@
 """URL filters: fixed rules first, then a path-template tree per host.
 
-Paths are split into segments; digits, hashes and very long segments become wildcards of
-their shape. Urls are counted per (host, typed path) in a partial aggregate, so the tree
-is built over branches, not over urls. Fork by fork from the root of each host, down to
-the deepest, a branch is merged with its siblings into one wildcard if what lies below it is
-distributed as below all siblings of its depth together (total variation) and its labels
-agree with theirs (a binomial bound); others stay literal. Each branch is compared with
-that sum, never with each sibling. Where paths do not fork they stay literal, however long
-they are, and are passed in one step. A leaf of the tree is a template. Its share of
-bad labels, smoothed to the host's, which is smoothed to that of all hosts, rejects it.
+Paths are split into segments; digits and hashes become wildcards of their shape. Urls are
+counted per (host, typed path) in a partial aggregate, so the tree is built over branches,
+not over urls. Fork by fork from the root of each host, down to the deepest, a branch is
+merged with its siblings into one wildcard if what lies below it is distributed as below
+all siblings of its depth together (total variation) and its labels agree with theirs (a
+binomial bound); others stay literal. Each branch is compared with that sum, never with
+each sibling. Where paths do not fork they stay literal, however long they are, and are
+passed in one step. A leaf of the tree is a template. Its share of bad labels, smoothed to
+the host's, which is smoothed to that of all hosts, rejects it.
 
 All steps are built-in functions. Nulls: a null url, or one without ``://``, has empty
 host and path, and no labels by default. Repeated rows count and are judged one by one.
@@ -31,9 +31,6 @@ RULES = (
     ("block", "net", "/fr/"),
 )
 
-#: Segments :func:`typed` keeps if not told otherwise; what is deeper becomes one open end.
-#: Urls are judged by their whole paths.
-DEPTH = 6
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -55,23 +52,14 @@ def ruled(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
-def typed(path: Column, depth: int | None = DEPTH) -> Column:
-    """The segments of a path with variable ones as wildcards of their shape; all of them if
-    ``depth`` is None."""
-    segments = F.split(F.regexp_replace(path, "^/", ""), "/", -1)
+def typed(path: Column) -> Column:
+    """The segments of a path with digits and hashes as wildcards of their shape."""
 
     def shape(s: Column) -> Column:
-        digits = s.rlike("[0-9]")
-        return (
-            F.when(digits & s.rlike("^[0-9a-fA-F]{8,}(-[0-9a-fA-F]+)*$") & s.rlike("[a-fA-F]"), "{hex}")
-            .when(F.length(s) > 64, "{long}")
-            .otherwise(F.regexp_replace(s, "[0-9]+", "{n}"))
-        )
+        hashed = s.rlike("[0-9]") & s.rlike("^[0-9a-fA-F]{8,}(-[0-9a-fA-F]+)*$") & s.rlike("[a-fA-F]")
+        return F.when(hashed, "{hex}").otherwise(F.regexp_replace(s, "[0-9]+", "{n}"))
 
-    if depth is None:
-        return F.transform(segments, shape)
-    kept = F.transform(F.slice(segments, 1, depth), shape)
-    return F.when(F.size(segments) > depth, F.concat(kept, F.array(F.lit("{more}")))).otherwise(kept)
+    return F.transform(F.split(F.regexp_replace(path, "^/", ""), "/", -1), shape)
 
 
 def forked(state: DataFrame) -> DataFrame:
@@ -209,7 +197,7 @@ def judge(pages: DataFrame, labels: DataFrame | None = None, rules=RULES, **para
     each page, bad if any is."""
     host, path = parts(F.col("url"))
     split = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn(
-        "typed", typed(F.col("path"), None)
+        "typed", typed(F.col("path"))
     )
     if labels is None:
         labelled = split.withColumn("bad", F.lit(None).cast("int"))

@@ -1,5 +1,7 @@
 import re
 
+import pytest
+
 from evenhand.llm import licenses, queries
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -80,7 +82,29 @@ def test_containment(spark):
     r = licenses.scan(docs, ["doc_id"]).first()
     assert r.labels == "gpl,gpl-3.0" and r.score == 0.95
     short = licenses.scan(spark.createDataFrame([(1, "GPLv3")], "doc_id long, text string"), ["doc_id"]).first()
-    assert short.labels == ""  # one word, no rule
+    assert short.labels == "gpl-3.0"
+
+
+@pytest.mark.parametrize(
+    "text, labels",
+    [
+        ("SPDX-License-Identifier: MIT", "mit"),
+        ("// SPDX-License-Identifier: ISC", "isc"),
+        ("SPDX-License-Identifier: GPL-3.0-or-later", "gpl-3.0"),
+        ("SPDX-License-Identifier: Unlicense", "unlicense"),
+        ("Released under MIT.", "mit"),
+        ("It is distributed under the zlib.", "zlib"),
+        ("GPLv3 or later", "gpl-3.0"),
+        ("LGPLv2.1", "lgpl-2.1"),
+        ("AGPLv3", "agpl-3.0"),
+        ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "mit"),
+        ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted", "bsd"),
+        ("Neither the name of the copyright holder nor the names of its contributors may be used to endorse", "bsd-3-clause"),
+        ("Er kommt mit dem Zug und wird mit uns fahren", ""),
+    ],
+)
+def test_common_marks(spark, text, labels):
+    assert licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), ["doc_id"]).first().labels == labels
 
 
 def test_every_keyword_is_in_its_rule():

@@ -1,8 +1,12 @@
+import random
+import time
 import hashlib
 import re
 
 from hypothesis import given, settings, strategies as st
 
+import numpy as np
+
 from evenhand.llm import pii, queries
 
 PATTERNS = {
@@ -86,7 +90,7 @@ def test_held_out_accuracy(spark):
     for r in docs.where("doc_id % 2 = 1").collect():
         base = pii.base_spans(r.text)
         for c in pii.proposals(r.text):
-            label = pii.weak_label(r.text, base, c)
+            label = pii.weak_label(r.text, pii.Taken(base), c)
             if label is not None:
                 chance = judge.chance(__import__("numpy").array([pii.features(r.text, c[0], c[2], c[3])], float))[0]
                 right += (chance >= 0.5) == (label == 1)
@@ -114,3 +118,32 @@ def test_redact(spark, crowded):
     got = {r.doc_id: (r.text, r.n_chars) for r in pii.redact(one, judge).collect()}
     assert got == {1: ("<EMAIL> and <IP>", 16), 2: (None, None)}
     assert pii.redacted("abcdef", [("ip", 1, 4), ("card", 2, 5)]) == "a<IP>f"
+
+
+def test_runs_of_groups_are_proposed_by_their_digits():
+    text = "paid 41 11 11 11 11 11 11 11 12 26 today"
+    spans = {text[a:b] for _, _, a, b in pii.proposals(text)}
+    assert "41 11 11 11 11 11 11 11" in spans and "41 11 11 11 11 11 11 11 12 26" in spans
+    assert all(4 <= sum(c.isdigit() for c in s) <= 24 for s in spans)
+
+
+def test_overlaps_against_all_pairs():
+    rng = random.Random(3)
+    for _ in range(200):
+        spans = [("x", a, a + rng.randint(1, 9)) for a in (rng.randint(0, 60) for _ in range(rng.randint(0, 12)))]
+        taken = pii.Taken(spans)
+        for a in range(0, 70, 3):
+            b = a + rng.randint(1, 8)
+            want = sorted(s for s in spans if a < s[2] and s[1] < b)
+            assert taken.meets(a, b) == bool(want) and sorted(taken.over(a, b)) == want
+
+
+def test_long_texts_take_time_in_proportion():
+    judge = pii.Judge(trees=[(1.0, np.array([-1]), np.zeros(1), np.zeros(1, int), np.zeros(1, int), np.ones(1))], least={k: 0.5 for k in pii.KINDS})
+    line = "call +1 663 555 6869 or mail bob@x.org, order 12-34-56-78, key a8f7 "
+    times = []
+    for n in (500, 4000):
+        start = time.process_time()
+        judge.spans([line * n])
+        times.append(time.process_time() - start)
+    assert times[1] < 30 * times[0]

@@ -99,7 +99,14 @@ def test_labels_keep_branches_apart(spark):
 def test_shapes(spark):
     path = "/a1/0f3c9ad2b7/2024-05-01/" + "q" * 70 + "/deadbeef-12/x/y/z"
     one = spark.createDataFrame([(path,)], "p string").select(urls.typed(F.col("p")).alias("t")).first().t
-    assert one == ["a{n}", "{hex}", "{n}-{n}-{n}", "{long}", "{hex}", "x", "{more}"]
+    assert one == ["a{n}", "{hex}", "{n}-{n}-{n}", "q" * 70, "{hex}", "x", "y", "z"]
+
+
+def test_long_segments_are_kept_apart(spark):
+    same = "p" * 80
+    rows = [(i, f"http://a.org/{same}{('spam', 'ham')[i % 2]}/{i}") for i in range(200)]
+    got = Counter(r.verdict for r in tree(spark, rows, [(i, 1 - i % 2) for i in range(200)]).collect())
+    assert got == {"block": 100, "allow": 100}
 
 
 def test_empty_and_native(spark):
