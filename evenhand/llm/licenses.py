@@ -228,7 +228,10 @@ def spaces(s: Column) -> Column:
 def words(text: Column) -> Column:
     """The words of ``text`` in lower case, with single spaces."""
     plain = F.regexp_replace(F.coalesce(text, F.lit("")), _SEPARATORS, " ")
-    return F.trim(F.translate(plain, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    # only A-Z: other letters have lower cases among a-z; a text without them is lowered faster
+    ascii_ = F.octet_length(plain) == F.length(plain)
+    return F.trim(F.when(ascii_, F.lower(plain)).otherwise(F.translate(plain, letters, letters.lower())))
 
 
 def places(norm: Column, rule: Column) -> Column:
@@ -287,9 +290,11 @@ def scan(docs: DataFrame, carry: list[str], chosen: list[dict] | None = None) ->
     norm = F.col("norm")
     any_of = lambda keys: reduce(lambda a, k: a | norm.contains(k), sorted(keys), F.lit(False))
     licensed = norm.contains(" licen")
-    gate = (licensed & any_of({r["keyword"] for r in chosen if r["license"]})) | any_of(
-        {r["keyword"] for r in chosen if not r["license"]}
-    )
+    granted = norm.contains("ed under ") | norm.contains("available under ")
+    keys = {r["keyword"] for r in chosen if not r["license"]}
+    under = {k for k in keys if k.startswith(" under ")}  # these follow a grant
+    gate = (licensed & any_of({r["keyword"] for r in chosen if r["license"]})) | any_of(keys - under)
+    gate = gate | (granted & any_of(under))
     has_base = F.lit(False)
     for p in PHRASES:
         has_base = has_base | norm.contains(f" {p} ")
