@@ -38,11 +38,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with its token ids, and whether they decode to its text."""
+    """Every document with its token ids, and whether they decode to its text; columns of
+    the documents that have the names of these give way."""
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    return bpe.encoded(docs, path, docs.columns).select("_row.*", "n_tokens", "ids", "exact")
+    made = ["n_tokens", "ids", "exact"]
+    kept = [c for c in docs.columns if c.lower() not in made]
+    return bpe.encoded(docs, path, kept).select("_row.*", *made)
 
 
 STAGES = [
