@@ -141,19 +141,22 @@ def changepoints_daily(spark, folder):
     return out.select("model_id", "changepoint", F.date_format("at", "yyyy-MM-dd").alias("at"))
 
 
-# the running statistics, one row at a time
-@query(
-    f"""WITH RECURSIVE {DAILY},
-o AS (SELECT model_id, gap, day, row_number() OVER (PARTITION BY model_id ORDER BY day) - 1 AS i FROM daily),
-st AS (SELECT model_id, i, day, CAST(1 AS BIGINT) AS n, gap AS mean, CAST(0 AS DOUBLE) AS m2, false AS hit FROM o WHERE i = 0
+# the running statistics over relation ``o`` (model_id, i, gap), one row at a time
+_SIGMA = """
+st AS (SELECT model_id, i, CAST(1 AS BIGINT) AS n, gap AS mean, CAST(0 AS DOUBLE) AS m2, false AS hit FROM o WHERE i = 0
   UNION ALL
-  SELECT model_id, i, day, CASE WHEN hit THEN 1 ELSE n END, CASE WHEN hit THEN gap ELSE mean END, CASE WHEN hit THEN 0 ELSE m2 END, hit
+  SELECT model_id, i, CASE WHEN hit THEN 1 ELSE n END, CASE WHEN hit THEN gap ELSE mean END, CASE WHEN hit THEN 0 ELSE m2 END, hit
   FROM (SELECT *, n > 3 AND sqrt(m2 / (n - 1)) > 0 AND abs(gap - mean) > 2.0 * sqrt(m2 / (n - 1)) AS hit
-    FROM (SELECT model_id, i, day, gap, n, mean, m2p + (gap - prev) * (gap - mean) AS m2
-      FROM (SELECT o.model_id, o.i, o.day, o.gap, st.n + 1 AS n, st.mean AS prev, st.m2 AS m2p,
+    FROM (SELECT model_id, i, gap, n, mean, m2p + (gap - prev) * (gap - mean) AS m2
+      FROM (SELECT o.model_id, o.i, o.gap, st.n + 1 AS n, st.mean AS prev, st.m2 AS m2p,
               st.mean + (o.gap - st.mean) / (st.n + 1) AS mean
-            FROM st JOIN o ON o.model_id = st.model_id AND o.i = st.i + 1))))
-SELECT model_id, i AS changepoint, strftime(day, '%Y-%m-%d') AS day FROM st WHERE hit"""
+            FROM st JOIN o ON o.model_id = st.model_id AND o.i = st.i + 1))))"""
+
+
+@query(
+    f"""WITH RECURSIVE {DAILY},
+o AS (SELECT model_id, gap, day, row_number() OVER (PARTITION BY model_id ORDER BY day) - 1 AS i FROM daily), {_SIGMA}
+SELECT model_id, i AS changepoint, strftime(day, '%Y-%m-%d') AS day FROM st JOIN o USING (model_id, i) WHERE hit"""
 )
 def running_sigma_changepoints(spark, folder):
     out = D.simple_changepoints(daily_gaps(spark, folder), _KEYS, "day", "gap")
@@ -174,6 +177,8 @@ def drift_trend(spark, folder):
 def _flat(out):
     return out.withColumns(
         {
+            **{c: F.round(c, 6) for c in ("cusum", "current_mean", "historical_mean")},
+            "slope": F.round("slope", 12),
             "drift_points": F.array_join(F.col("drift_points").cast("array<string>"), ","),
             "changepoints": F.array_join(F.col("changepoints").cast("array<string>"), ","),
         }
@@ -190,11 +195,37 @@ def _history(spark, folder):
     )
 
 
-@query()
+def _report_sql(kept="true"):
+    """All statistics of the daily histories, each as its own query has it, joined."""
+    steps, _ = _STEPS.format(goal="min(gap) OVER (PARTITION BY model_id)").split("\nSELECT")
+    daily = DAILY.replace("daily AS (", "whole AS (") + f",\ndaily AS (SELECT * FROM whole WHERE {kept})"
+    return f"""WITH RECURSIVE {daily}, {steps},
+cu AS (SELECT model_id, points, greatest(max(cu - lu), max(cd - ld)) AS cusum FROM l GROUP BY 1, 2),
+at_ AS (SELECT model_id, row_number() OVER w - 1 AS ln, count(*) OVER (PARTITION BY model_id) AS n, gap, sum(gap) OVER w - gap AS ls,
+    sum(gap) OVER (PARTITION BY model_id) AS total FROM daily WINDOW w AS (PARTITION BY model_id ORDER BY day)),
+ah AS (SELECT *, n >= 10 AND ln >= n // 4 AND ln < 3 * n // 4 AND ln >= 3 AND n - ln >= 3
+    AND abs(ls / ln - (total - ls) / (n - ln)) >= sqrt(ln(4 / 0.002) / (2 / (1.0 / ln + 1.0 / (n - ln)))) AS hit FROM at_),
+aw AS (SELECT model_id, bool_or(coalesce(hit, false)) AS drift_detected,
+    coalesce(array_to_string((array_agg(ln ORDER BY ln) FILTER (hit))[1:5], ','), '') AS drift_points,
+    avg(gap) FILTER (ln >= n - CAST(ceil(n / 4) AS BIGINT)) AS current_mean, avg(gap) FILTER (ln < n // 4) AS historical_mean FROM ah GROUP BY 1),
+sl AS (SELECT model_id, regr_slope(gap, epoch(day) / 86400.0) AS slope FROM daily GROUP BY 1),
+ser AS (SELECT model_id AS series, row_number() OVER (PARTITION BY model_id ORDER BY day) - 1 AS i, gap, strftime(day, '%Y-%m-%d %H:%M:%S') AS place FROM daily),
+{_segments(1.0)},
+cp AS (SELECT series, string_agg("at", ',' ORDER BY changepoint) AS changepoints FROM cuts GROUP BY 1),
+o AS (SELECT series AS model_id, gap, i FROM ser), {_SIGMA},
+js AS (SELECT model_id, count(*) FILTER (hit) AS jumps FROM st GROUP BY 1)
+SELECT model_id, 'demographic_parity_difference' AS metric_name, points, round(cusum, 6) AS cusum, round(current_mean, 6) AS current_mean,
+  round(historical_mean, 6) AS historical_mean, drift_detected, drift_points, round(slope, 12) AS slope,
+  CASE WHEN slope > 0 THEN 'degrading' WHEN slope < 0 THEN 'improving' ELSE 'stable' END AS current_trend,
+  coalesce(changepoints, '') AS changepoints, jumps
+FROM cu JOIN aw USING (model_id) JOIN sl USING (model_id) JOIN js USING (model_id) LEFT JOIN cp ON series = model_id"""
+
+
+@query(_report_sql())
 def drift_report(spark, folder):
     return _flat(drift_statistics(_history(spark, folder)))
 
 
-@query()
+@query(_report_sql("model_id = 'model-o' AND day >= TIMESTAMP '2001-06-30' - INTERVAL 365 DAY"))
 def drift_view(spark, folder):
     return _flat(view_of_model(_history(spark, folder), "model-o", "2001-06-30", days=365))
