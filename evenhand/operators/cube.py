@@ -5,6 +5,8 @@ bin, prediction and truth; an audit takes it from its stored lattice. Every
 per-attribute table below is a re-aggregation of those counts.
 """
 
+import logging
+
 from pyspark.sql import DataFrame, functions as F
 
 from evenhand.schemas import PRIVILEGED_GROUPS
@@ -44,7 +46,10 @@ READABLE = "y_true IS NOT NULL AND y_pred IS NOT NULL"
 
 
 def present_attributes(df: DataFrame, attributes) -> list:
-    """Protected attributes that are columns of ``df``, in the order asked for."""
+    """Protected attributes that are columns of ``df``, in the order asked for; the others
+    are named in a warning."""
+    if absent := [a for a in attributes if a not in df.columns]:
+        logging.getLogger("evenhand").warning("attributes not in the data, left out: %s", ", ".join(absent))
     return [a for a in attributes if a in df.columns]
 
 

@@ -130,6 +130,24 @@ def sample_gate(spark, folder):
     return cube.sample_gate(rows, ["model_id", "month"], 100)
 
 
+@query(
+    f"""WITH {P}, r AS (SELECT model_id, strftime(ts, '%Y-%m') AS month, line_no <> 7 AND quantity <> 50 AS readable FROM p)
+SELECT model_id, month, count(*) AS "rows", count(*) FILTER (readable) AS sample_size, count(*) FILTER (NOT readable) AS unreadable,
+  CASE WHEN count(*) FILTER (readable) < 100 THEN 'INSUFFICIENT_SAMPLE' WHEN count(*) FILTER (NOT readable) > 0 THEN 'UNREADABLE_LABELS'
+    ELSE 'OK' END AS status FROM r GROUP BY 1, 2"""
+)
+def audit_status(spark, folder):
+    """Why a model's month is not audited, or not in full: labels that read as no number."""
+    rows = predictions(spark, folder).select(
+        "model_id",
+        F.date_format("ts", "yyyy-MM").alias("month"),
+        F.when(F.col("line_no") == 7, "n/a").otherwise(F.col("y_true").cast("string")).alias("ground_truth"),
+        F.when(F.col("quantity") != 50, F.col("y_pred").cast("string")).alias("prediction_label"),
+        F.col("y_score").alias("prediction_score"),
+    )
+    return A.label_status(A.label_columns(rows), ["model_id", "month"])
+
+
 _PRIV = "sum(CASE WHEN pr = 1 THEN {c} ELSE 0 END)"
 _UNPRIV = "sum(CASE WHEN pr = 0 THEN {c} ELSE 0 END)"
 

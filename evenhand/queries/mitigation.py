@@ -1,5 +1,7 @@
 """Explanation and mitigation queries."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from evenhand.operators import cube, explain as E, mitigate as G, metrics as M
@@ -7,7 +9,9 @@ from evenhand.queries import query
 from evenhand.queries.audits import METRIC_SQL
 from evenhand.queries.reports import JUDGED, KEYS as QUARTER, _audit_table, _tables
 from evenhand.queries.views import P, by_quarter, predictions
-from evenhand.session import materialize
+from evenhand.session import materialize, scratch_dir
+from evenhand.sources import sinks
+from evenhand.sources.commits import CommitLog
 from evenhand.sources.tables import load
 
 KEYS = ["model_id"]
@@ -312,6 +316,27 @@ def mitigation_log(spark, folder):
     )
 
 
+@query(
+    f"""WITH {_LOG} SELECT mitigation_id, model_id, strftime(triggered_at, '%Y-%m-%d') AS day, round(accuracy_delta, 6) AS accuracy_delta,
+  round(di_a, 6) AS impact_after, true AS no_error FROM log WHERE model_id = 'model-o' ORDER BY triggered_at DESC, mitigation_id LIMIT 5"""
+)
+def mitigation_table(spark, folder):
+    """The log written to its table, once though committed twice, and a model's newest rows."""
+    log = CommitLog(spark, f"{scratch_dir(spark)}/mitigations-{uuid.uuid4().hex}")
+    rows = sinks.mitigation_rows(mitigation_log(spark, folder)).withColumn("date", F.to_date("triggered_at"))
+    for _ in range(2):
+        log.commit("mitigations", {"mitigation_log": rows}, {"mitigation_log": ["date"]})
+    found = sinks.mitigation_lookup(log.read("mitigation_log"), model_id="model-o", newest=5)
+    return found.select(
+        "mitigation_id",
+        "model_id",
+        F.date_format("triggered_at", "yyyy-MM-dd").alias("day"),
+        F.round("accuracy_delta", 6).alias("accuracy_delta"),
+        F.round(F.get_json_object("metrics_after", "$.disparate_impact_ratio").cast("double"), 6).alias("impact_after"),
+        F.col("error_message").isNull().alias("no_error"),
+    )
+
+
 @query(
     f"""WITH {_LOG}
 SELECT mitigation_id, round(accuracy_delta, 6) AS accuracy_delta, accuracy_delta < -0.15 AS severe_degradation,

@@ -2,9 +2,9 @@
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from evenhand.schemas import LEDGER_EVENT_TYPES, SEVERITY_GAUGE
+from evenhand.schemas import LEDGER_EVENT_TYPES, MITIGATION_LOG, SEVERITY_GAUGE
 
 
 def append(df: DataFrame, path: str, partition_by=(), sort_by=()) -> None:
@@ -67,8 +67,33 @@ def append_timeseries(series: DataFrame, path: str) -> None:
     )
 
 
+def mitigation_rows(log: DataFrame) -> DataFrame:
+    """Rows of the mitigation table: all its columns, those a log lacks as null, metric maps
+    as JSON, and the change of accuracy where both sides are known."""
+
+    def given(field):
+        if field.name not in log.columns:
+            return F.lit(None).cast("string" if isinstance(field.dataType, T.MapType) else field.dataType)
+        return F.to_json(field.name) if isinstance(field.dataType, T.MapType) else F.col(field.name).cast(field.dataType)
+
+    out = log.select(*[given(f).alias(f.name) for f in MITIGATION_LOG.fields])
+    change = F.coalesce("accuracy_delta", F.col("accuracy_after") - F.col("accuracy_before"))
+    return out.withColumn("accuracy_delta", change)
+
+
 def append_mitigations(log: DataFrame, path: str) -> None:
-    append(log.withColumn("date", F.to_date("triggered_at")), path, ["date"], ["model_id"])
+    rows = mitigation_rows(log).withColumn("date", F.to_date("triggered_at"))
+    append(rows, path, ["date"], ["model_id", "status"])
+
+
+def mitigation_lookup(table: DataFrame, model_id=None, mitigation_id=None, newest: int | None = None) -> DataFrame:
+    """Mitigations of a model, or one of them, newest first."""
+    if mitigation_id is not None:
+        table = table.where(F.col("mitigation_id") == mitigation_id)
+    if model_id is not None:
+        table = table.where(F.col("model_id") == model_id)
+    out = table.orderBy(F.desc("triggered_at"), "mitigation_id")
+    return out if newest is None else out.limit(newest)
 
 
 def gauge_points(audits: DataFrame) -> DataFrame:

@@ -208,3 +208,10 @@ def test_prompt_and_drivers(spark):
     assert "* 1 Sex 0.5000" in text and "predictions: 1,000" in text
     story = C.narrative(audits, metrics, ["model_id"]).first()
     assert "* disparate_impact_ratio" in story["narrative"] and story["verdict"].startswith("NON-COMPLIANT")
+
+
+def test_absent_attributes_are_named(spark, caplog):
+    rows = frame_of(spark, two_groups((350, 125))).withColumn("model_version", F.lit("v1"))
+    with caplog.at_level("WARNING", logger="evenhand"):
+        assert A.cube.present_attributes(rows, ["sex", "missing"]) == ["sex"]
+    assert "missing" in caplog.text
