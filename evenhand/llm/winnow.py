@@ -2,20 +2,25 @@
 
 Every run of ``GRAM`` code points is hashed by a rolling polynomial; of each window of
 ``WINDOW`` consecutive hashes the smallest is chosen, the rightmost on ties, and kept with
-its position. Two texts that share a passage of ``GRAM + WINDOW - 1`` code points share a
-chosen hash. A text with fewer hashes than a window is one window; one shorter than a
+its position. Two texts that share a passage of ``GRAM + WINDOW - 1`` code points (31) share
+a chosen hash. A text with fewer hashes than a window is one window; one shorter than a
 gram is hashed whole; the empty text has the empty fingerprint.
 
-To compare each document with the next one by ``doc_id``, documents are dealt to parts at
-quantiles of the id, the first document of a part is sent to the part before it as well,
-and each part is read in order: a document's text crosses the network once, and a task
-holds two texts at a time.
+To compare each document with the next one by ``doc_id``, documents are dealt to parts of
+neighbouring ids, the first document of a part is sent to the part before it as well, and
+each part is read in order: a document's text crosses the network once, and a task holds
+two texts at a time. The parts are ranges of (id, start of the text), found by Spark's range
+partitioning of these keys alone; at most ``PARTS`` first keys go through the driver, one for
+each part, and beyond ``PARTS * PART_BYTES`` the parts grow, not their number.
 
 Nulls: a null text is empty; null ids come last. Documents with the same id follow each
-other in order of their text. A table with one row is its own next. Extra columns are
-ignored. An empty table gives no rows.
+other in order of their text, and may lie in several parts; those whose texts also start
+alike pass through one part, one after another. A table with one row is its own next.
+Ids may be of any type that Spark and Python order alike, such as numbers and strings.
+Extra columns are ignored. An empty table gives no rows.
 """
 
+import base64
 import bisect
 import hashlib
 
@@ -25,9 +30,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from evenhand.session import materialize
 
-GRAM, WINDOW = 32, 96
-#: Bytes of text in a part.
-PART_BYTES = 4 << 20
+GRAM, WINDOW = 16, 16
+#: Bytes of text in a part, and the most parts.
+PART_BYTES, PARTS = 16 << 20, 1 << 16
+#: Code points of a text that order parts among documents of one id.
+START = 64
+#: Code points of results that a task holds before it hands them on.
+HELD = 4 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _STIR = np.uint64(0xD6E8FEB86659FD93)
 _LAST = np.uint64(0xFFFFFFFF)
@@ -69,11 +78,43 @@ def winnow(text: str, gram: int = GRAM, window: int = WINDOW) -> np.ndarray:
 
 
 def written(keys: np.ndarray) -> str:
-    """Hash and position of every chosen gram, eight hex digits each."""
-    out = np.empty((len(keys), 2), ">u4")
-    out[:, 0] = keys >> np.uint64(32)
-    out[:, 1] = _LAST - (keys & _LAST)
-    return out.tobytes().hex()
+    """Base64 of the chosen grams: the four bytes of each hash, highest first, then the
+    distance of its position from that of the gram before it (from -1 for the first) as
+    groups of seven bits, lowest first, the eighth bit set where another group follows."""
+    gaps = np.diff(positions(keys), prepend=-1)
+    fits = gaps < 128
+    if fits.all():
+        out = np.empty((len(keys), 5), np.uint8)
+        out[:, :4] = (keys >> np.uint64(32)).astype(">u4").view(np.uint8).reshape(-1, 4)
+        out[:, 4] = gaps
+        return base64.b64encode(out.tobytes()).decode()
+    parts = []
+    for h, gap in zip((keys >> np.uint64(32)).tolist(), gaps.tolist()):
+        parts.append(h.to_bytes(4, "big"))
+        while gap > 127:
+            parts.append(bytes([128 | (gap & 127)]))
+            gap >>= 7
+        parts.append(bytes([gap]))
+    return base64.b64encode(b"".join(parts)).decode()
+
+
+def read(fingerprint: str) -> list[tuple[int, int]]:
+    """Hash and position of every gram of a written fingerprint."""
+    data, at, last, out = base64.b64decode(fingerprint), 0, -1, []
+    while at < len(data):
+        h, at = int.from_bytes(data[at : at + 4], "big"), at + 4
+        gap = shift = 0
+        while data[at] > 127:
+            gap, shift, at = gap | (data[at] & 127) << shift, shift + 7, at + 1
+        last += gap | data[at] << shift
+        at += 1
+        out.append((h, last))
+    return out
+
+
+def positions(keys: np.ndarray) -> np.ndarray:
+    """Position of every chosen gram."""
+    return (_LAST - (keys & _LAST)).astype(np.int64)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -91,72 +132,87 @@ def edited(text: str, after: str) -> str:
     return text[: len(text) - half] + after[:half]
 
 
-def _parts(docs: DataFrame):
-    """Boundaries of the id, and for each part that is not empty its first id and the part
-    before it, around the end."""
-    light = docs.select("doc_id", F.octet_length("text").alias("size"))
-    light = materialize(light, "winnow-ids")
+def _order():
+    """The key that orders documents into parts: null ids last, then the start of the text."""
+    return F.struct(
+        F.col("doc_id").isNull().alias("none"),
+        F.col("doc_id").alias("id"),
+        F.left("text", F.lit(START)).alias("start"),
+    )
+
+
+def _firsts(docs: DataFrame) -> list[tuple]:
+    """The first key of every part, in order; no part is empty."""
+    light = docs.select(_order().alias("key"), F.octet_length("text").alias("size"))
+    light = materialize(light, "winnow-keys")
     size = light.agg(F.sum("size")).first()[0] or 0
-    count = max(8, size // PART_BYTES)
-    probs = F.array(*[F.lit(k / count) for k in range(1, count)])
-    cuts = light.agg(F.percentile_approx("doc_id", probs, F.lit(20 * count))).first()[0]
-    cuts = sorted(set(cuts or ()))
-    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("doc_id")))
-    part = F.when(F.col("doc_id").isNull(), len(cuts)).otherwise(part)
-    firsts = dict(
-        light.groupBy(part.alias("part")).agg(F.min("doc_id").alias("first")).collect()
-    )  # one row for each part
-    order = sorted(firsts)
-    return cuts, {p: (firsts[p], order[i - 1]) for i, p in enumerate(order)}
+    count = int(min(max(8, size // PART_BYTES), PARTS))
+    ranges = light.select("key").repartitionByRange(count, "key")
+    first = ranges.groupBy(F.spark_partition_id().alias("part")).agg(F.min("key").alias("key"))
+    return sorted(
+        (tuple(r.key) for r in first.collect()),  # at most PARTS rows
+        key=lambda k: _comparable(*k),
+    )
+
+
+def _comparable(none: bool, doc_id, start: str) -> tuple:
+    return (1, 0, start) if none else (0, doc_id, start)
 
 
 def compare(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
     """The fingerprint of every text and of its edited text, and their likenesses."""
     docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    cuts, firsts = _parts(docs)
+    firsts = [_comparable(*k) for k in _firsts(docs)]
+    parts = max(len(firsts), 1)
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def deal(batches):
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            part = [len(cuts) if i is None else bisect.bisect_right(cuts, i) for i in ids]
-            again = [k for k, (i, p) in enumerate(zip(ids, part)) if i == firsts[p][0]]
+            ids, starts = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            keys = [_comparable(i is None, i, s) for i, s in zip(ids, starts)]
+            part = [max(bisect.bisect_right(firsts, k) - 1, 0) for k in keys]
+            again = [k for k, p in enumerate(part) if keys[k] == firsts[p]]
             rows = pa.array([*range(len(ids)), *again], pa.int64())
             both = batch.take(rows)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([*part, *(firsts[part[k]][1] for k in again)], pa.int32()),
+                    pa.array([*part, *((part[k] - 1) % parts for k in again)], pa.int32()),
                     pa.array([False] * len(ids) + [True] * len(again)),
-                    *both.columns,
+                    both.column(0),
+                    both.column(1),
                 ],
                 ["part", "ahead", "doc_id", "text"],
             )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    dealt = docs.mapInArrow(deal, f"part int, ahead boolean, doc_id {kind}, text string")
-    parts = max(firsts, default=0) + 1
-    ordered = dealt.repartition(parts, "part").sortWithinPartitions(
+    keyed = docs.withColumn("start", F.left("text", F.lit(START)))
+    dealt = keyed.mapInArrow(deal, f"part int, ahead boolean, doc_id {kind}, text string")
+    ordered = dealt.repartitionById(parts, "part").sortWithinPartitions(
         "part", "ahead", F.col("doc_id").asc_nulls_last(), "text"
     )
 
-    def read(batches):
-        held = None
+    def follow(batches):
+        held, out, size = None, [], 0
         for batch in batches:
-            out = []
-            part, ahead, ids, texts = (batch.column(k) for k in range(4))
+            ahead, ids, texts = (batch.column(k) for k in (1, 2, 3))
             for k in range(len(ids)):
-                now = (part[k].as_py(), ids[k].as_py(), texts[k].as_py())
                 more = ahead[k].as_py()
                 if held is None and more:
-                    continue  # another row with the id of the one ahead
-                keys = winnow(now[2], gram, window)
+                    continue  # another row with the key of the one ahead
+                text = texts[k].as_py()
+                keys = winnow(text, gram, window)
                 if held is not None:
-                    out.append(_row(held, now[2], keys, gram, window))
-                held = None if more else (*now[1:], keys)
+                    out.append(_row(held, text, keys, gram, window))
+                    size += len(out[-1]["fingerprint"]) + len(out[-1]["edited_fingerprint"])
+                held = None if more else (ids[k].as_py(), text, keys)
+                if size > HELD:
+                    yield pa.RecordBatch.from_pylist(out, _schema(ids.type))
+                    out, size = [], 0
             if out:
                 yield pa.RecordBatch.from_pylist(out, _schema(ids.type))
+                out, size = [], 0
 
     return ordered.mapInArrow(
-        read,
+        follow,
         f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string,"
         " edited_fingerprint string, near_edited double, near_next double",
     )

@@ -82,3 +82,37 @@ def test_parts_join_up(spark, monkeypatch):
         assert got[i].edited_sha256 == hashlib.sha256(new.encode()).hexdigest()
     one = winnow.compare(spark.createDataFrame(rows[:1], "doc_id long, text string")).collect()
     assert len(one) == 1 and one[0].near_next == 1.0
+
+
+def test_written_fingerprints_are_read_again():
+    rng = random.Random(4)
+    for n, gram, window in [(0, 4, 3), (5, 8, 4), (300, 4, 5), (900, 2, 400), (70_000, 1, 40_000)]:
+        keys = winnow.winnow("".join(rng.choices("abcdefé", k=n)), gram, window)
+        want = [(int(k) >> 32, 0xFFFFFFFF - (int(k) & 0xFFFFFFFF)) for k in keys]
+        assert winnow.read(winnow.written(keys)) == want
+
+
+def test_half_of_a_short_text_is_seen():
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+    for n in (64, 90, 127, 253):
+        a, b = text(n), text(400)
+        new = winnow.edited(a, b)
+        assert winnow.likeness(winnow.winnow(a), winnow.winnow(new)) > 0
+
+
+def test_ids_of_any_kind_repeated_and_null(spark, monkeypatch):
+    """String ids, one id and the null id with many rows: all rows are there, in order."""
+    monkeypatch.setattr(winnow, "PART_BYTES", 300)
+    rows = [(f"id-{k:03}", f"text {k} " * 3) for k in range(60)]
+    rows += [("id-030", f"again {k} " * 3) for k in range(60)]
+    rows += [(None, f"none {k} " * 3) for k in range(60)] + [(None, None), ("id-000", "")]
+    rows += [("id-059", "copy")] * 20
+    docs = spark.createDataFrame(rows, "doc_id string, text string").repartition(4)
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or "", r[1] or ""))
+    want = []
+    for k, (i, text) in enumerate(order):
+        new = winnow.edited(text or "", order[(k + 1) % len(order)][1] or "")
+        want.append((i or "", hashlib.sha256(new.encode()).hexdigest()))
+    got = [(r.doc_id or "", r.edited_sha256) for r in winnow.compare(docs).collect()]
+    assert sorted(got) == sorted(want)
