@@ -1,7 +1,10 @@
 """Helpers shared by the corpus operators."""
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from evenhand.session import materialize
@@ -28,6 +31,19 @@ def sized(df: DataFrame, label: str, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(table) if bytes_ <= limit else table
 
 
+def portions(
+    batches: Iterator[pa.RecordBatch], texts: Callable[[pa.RecordBatch], pa.Array], limit: int = 1 << 20
+) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in their order, in batches that end once ``texts`` of theirs
+    exceed ``limit`` bytes. What a batch took is given back to the system after it."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(texts(batch)), 0).to_numpy(zero_copy_only=False)
+        ends = np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // limit)) + 1
+        for a, b in zip([0, *ends], [*ends, len(sizes)]):
+            yield batch.slice(a, b - a)
+        pa.default_memory_pool().release_unused()
+
+
 def row_key() -> Column:
     """96 bits of a document row's id, text and source, to find the row again by."""
     own = ["doc_id", F.col("text").cast("string"), "source"]

@@ -24,7 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from evenhand.llm.common import GAP, WORD, keyed, row_key, sized
+from evenhand.llm.common import GAP, WORD, keyed, portions, row_key, sized
 from evenhand.session import materialize
 
 WEIGHTS = (3, 1, 2)
@@ -285,10 +285,12 @@ def mixed(docs: DataFrame, **params) -> DataFrame:
     row = joined.schema["_row"].dataType
     names = [f.name for f in row.fields]
 
+    at = names.index("text")
+
     def run(batches):
-        for batch in batches:
+        for batch in portions(batches, lambda b: b.column(0).field(at).cast(pa.string())):
             old = batch.column(0)
-            texts = old.field(names.index("text")).to_pylist()
+            texts = old.field(at).to_pylist()
             new = []
             for text, spans, size in zip(texts, batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 runs: list[list[int]] = []
@@ -299,7 +301,7 @@ def mixed(docs: DataFrame, **params) -> DataFrame:
                         runs.append([s["from_word"], s["to_word"]])
                 new.append(cut(text, [tuple(r) for r in runs], size))
             cols = [old.field(i) for i in range(len(names))]
-            cols[names.index("text")] = pa.array(new, pa.string())
+            cols[at] = pa.array(new, pa.string())
             yield pa.RecordBatch.from_arrays(cols, names)
 
     out = joined.mapInArrow(run, row)

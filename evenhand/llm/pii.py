@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from evenhand.llm.common import portions
 from evenhand.session import materialize
 
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -441,7 +442,7 @@ def redact(docs: DataFrame, judge: Judge) -> DataFrame:
     schema = kept.schema
 
     def run(batches):
-        for batch in batches:
+        for batch in portions(batches, lambda b: b.column("text")):
             at = batch.schema.get_field_index("text")
             texts = batch.column(at).to_pylist()
             found = judge.spans([t or "" for t in texts])
