@@ -2,10 +2,13 @@
 
 Every document is measured once. The measures of the documents that pass the base
 rules are summed into quantile sketches: counts per bucket of a log-linear grid
-(relative error at most 1/32), so that two sketches merge by adding counts. The
-quartiles of a (language, source) sketch set its limits; a group with too few
-documents takes the merged sketch of its language, then that of the corpus. The
-limits are joined back to the measures, and a document over any limit is rejected.
+(relative error at most 1/32), so that two sketches merge by adding counts. The limit of
+a rule is where the 200-quantiles of a (language, source) sketch break away from its bulk:
+the first place above the median at which they rise by more than ``rise`` within one
+hundredth of the documents, and the limit lies in the middle of that rise (for low limits,
+downward from the median). Where there is no such place the rule rejects nothing. A group
+with too few documents takes the merged sketch of its language, then that of the corpus.
+The limits are joined back to the measures, and a document over any limit is rejected.
 
 Everything is built-in DataFrame functions and integer arithmetic: a rerun gives the
 same rows. Nulls: a null text has no words; null languages and sources are groups
@@ -25,13 +28,12 @@ WINDOW = 8
 
 @dataclass(frozen=True)
 class Rule:
-    """``value`` may lie at most max(width * interquartile range, slack) above the median,
-    or below it if ``low``."""
+    """A measure that may not lie above (``low``: below) the place where its quantiles rise
+    by more than ``rise`` within one hundredth of the documents."""
 
     name: str
     value: Column
-    slack: int
-    width: int = 6
+    rise: int
     low: bool = False
 
 
@@ -146,26 +148,59 @@ def merged(sketch: DataFrame, by: list[str]) -> DataFrame:
     return sketch.groupBy(*by, "rule", "bucket").agg(F.sum("n").alias("n"), F.max("top").alias("top"))
 
 
-def quartiles(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """Documents and quartiles of each rule, per ``by``."""
+#: Quantiles of a sketch, and how many of them one rise may span: one hundredth of all.
+STEPS, SPAN = 200, 2
+
+
+def breaks(sketch: DataFrame, by: list[str], chosen: list[Rule]) -> DataFrame:
+    """``docs``, ``high`` and ``low`` of each rule, per ``by``: the middles of the first rise
+    above and below the median, null where there is none.
+
+    Each cell of a sketch is spread over the quantiles that end in it, ``STEPS`` rows in all
+    for each sketch, whatever its documents."""
     keys = ", ".join([*by, "rule"])
-    upto = sketch.withColumns(
+    rise = F.create_map(*[F.lit(x) for r in chosen for x in (r.name, r.rise)])
+    cells = sketch.withColumns(
         {
             "upto": F.expr(f"sum(n) OVER (PARTITION BY {keys} ORDER BY bucket)"),
             "docs": F.expr(f"sum(n) OVER (PARTITION BY {keys})"),
         }
     )
-    q = lambda k: F.min(F.when(F.col("upto") * 4 >= F.col("docs") * k, F.col("top")))
-    return upto.groupBy(*by, "rule").agg(
-        F.max("docs").alias("docs"), *[q(k).alias(f"q{k}") for k in (1, 2, 3)]
+    steps = cells.withColumns(
+        {
+            "first": F.expr(f"{STEPS} * (upto - n) DIV docs + 1"),
+            "last": F.expr(f"{STEPS} * upto DIV docs"),
+        }
+    ).where("first <= last")
+    steps = steps.withColumn("step", F.explode(F.expr("sequence(first, last)")))
+    near = steps.withColumns(
+        {
+            "ahead": F.expr(
+                f"max(top) OVER (PARTITION BY {keys} ORDER BY step ROWS BETWEEN CURRENT ROW AND {SPAN} FOLLOWING)"
+            ),
+            "behind": F.expr(
+                f"min(top) OVER (PARTITION BY {keys} ORDER BY step ROWS BETWEEN {SPAN} PRECEDING AND CURRENT ROW)"
+            ),
+            "rise": rise[F.col("rule")],
+        }
+    )
+    half = STEPS // 2
+    return near.groupBy(*by, "rule").agg(
+        F.max("docs").alias("docs"),
+        F.expr(
+            f"min_by((top + ahead) / 2, step) FILTER (WHERE step >= {half} AND ahead - top > rise)"
+        ).alias("high"),
+        F.expr(
+            f"max_by((top + behind) / 2, step) FILTER (WHERE step <= {half} AND top - behind > rise)"
+        ).alias("low"),
     )
 
 
 def limits(sketch: DataFrame, chosen: list[Rule], min_docs: int) -> DataFrame:
     """One row per (lang, source) with an array of limits in the order of ``chosen``."""
-    own = quartiles(sketch, ["lang", "source"])
-    lang = quartiles(merged(sketch, ["lang"]), ["lang"])
-    every = quartiles(merged(sketch, []), [])
+    own = breaks(sketch, ["lang", "source"], chosen)
+    lang = breaks(merged(sketch, ["lang"]), ["lang"], chosen)
+    every = breaks(merged(sketch, []), [], chosen)
     o, g, e = own.alias("o"), lang.alias("g"), every.alias("e")
     joined = o.join(
         g, F.col("o.lang").eqNullSafe(F.col("g.lang")) & (F.col("o.rule") == F.col("g.rule"))
@@ -173,17 +208,8 @@ def limits(sketch: DataFrame, chosen: list[Rule], min_docs: int) -> DataFrame:
     pick = lambda k: F.expr(
         f"CASE WHEN o.docs >= {min_docs} THEN o.{k} WHEN g.docs >= {min_docs} THEN g.{k} ELSE e.{k} END"
     )
-    parts = joined.select(
-        "o.lang", "o.source", "o.rule", *[pick(f"q{k}").alias(f"q{k}") for k in (1, 2, 3)]
-    )
-    at = lambda r: F.max(
-        F.when(
-            F.col("rule") == r.name,
-            (F.col("q2") - F.greatest(r.width * (F.col("q3") - F.col("q1")), F.lit(r.slack)))
-            if r.low
-            else (F.col("q2") + F.greatest(r.width * (F.col("q3") - F.col("q1")), F.lit(r.slack))),
-        )
-    )
+    parts = joined.select("o.lang", "o.source", "o.rule", pick("high").alias("high"), pick("low").alias("low"))
+    at = lambda r: F.max(F.when(F.col("rule") == r.name, F.col("low" if r.low else "high")))
     return parts.groupBy("lang", "source").agg(F.array(*[at(r) for r in chosen]).alias("bounds"))
 
 

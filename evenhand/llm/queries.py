@@ -23,24 +23,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 _RULES_SQL = """[
-    {'rule': 'symbols', 'v': 1000 * n_symbols // greatest(word_chars, 1), 'slack': 40, 'low': false},
-    {'rule': 'marks', 'v': 1000 * n_marks // greatest(word_chars, 1), 'slack': 80, 'low': false},
-    {'rule': 'capitals', 'v': 1000 * n_capitals // greatest(word_chars, 1), 'slack': 150, 'low': false},
-    {'rule': 'echoes', 'v': 1000 * n_echoes // greatest(n_words, 1), 'slack': 200, 'low': false},
-    {'rule': 'dup_lines', 'v': 1000 * n_dup_lines // greatest(n_lines, 1), 'slack': 600, 'low': false},
-    {'rule': 'repeats', 'v': 1000 * n_repeat_words // greatest(n_words, 1), 'slack': 280, 'low': false},
-    {'rule': 'long_words', 'v': 100 * word_chars // greatest(n_words, 1), 'slack': 300, 'low': false},
-    {'rule': 'short_words', 'v': 100 * word_chars // greatest(n_words, 1), 'slack': 200, 'low': true}]"""
-
-
-def _quartiles_sql(name: str, keys: str) -> str:
-    """CTE with the quartiles of the merged sketches per ``keys`` and rule."""
-    by = f"{keys}, rule" if keys else "rule"
+    {'rule': 'symbols', 'v': 1000 * n_symbols // greatest(word_chars, 1), 'rise': 40, 'low': false},
+    {'rule': 'marks', 'v': 1000 * n_marks // greatest(word_chars, 1), 'rise': 80, 'low': false},
+    {'rule': 'capitals', 'v': 1000 * n_capitals // greatest(word_chars, 1), 'rise': 150, 'low': false},
+    {'rule': 'echoes', 'v': 1000 * n_echoes // greatest(n_words, 1), 'rise': 200, 'low': false},
+    {'rule': 'dup_lines', 'v': 1000 * n_dup_lines // greatest(n_lines, 1), 'rise': 600, 'low': false},
+    {'rule': 'repeats', 'v': 1000 * n_repeat_words // greatest(n_words, 1), 'rise': 280, 'low': false},
+    {'rule': 'long_words', 'v': 100 * word_chars // greatest(n_words, 1), 'rise': 300, 'low': false},
+    {'rule': 'short_words', 'v': 100 * word_chars // greatest(n_words, 1), 'rise': 200, 'low': true}]"""
+
+
+def _breaks_sql(name: str, keys: str) -> str:
+    """CTE with the first rises of the merged sketches' quantiles per ``keys`` and rule."""
+    by = f"{keys}, rule, rise" if keys else "rule, rise"
     return f"""{name}_c AS (SELECT {by}, bucket, sum(n) AS n, max(top) AS top FROM sketch GROUP BY {by}, bucket),
-{name}_u AS (SELECT *, sum(n) OVER (PARTITION BY {by} ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {by}) AS docs
-  FROM {name}_c),
-{name} AS (SELECT {by}, max(docs) AS docs, min(top) FILTER (4 * upto >= docs) AS q1,
-  min(top) FILTER (4 * upto >= 2 * docs) AS q2, min(top) FILTER (4 * upto >= 3 * docs) AS q3 FROM {name}_u GROUP BY {by})"""
+{name}_u AS (SELECT *, CAST(sum(n) OVER (PARTITION BY {by} ORDER BY bucket) AS BIGINT) AS upto,
+  CAST(sum(n) OVER (PARTITION BY {by}) AS BIGINT) AS docs FROM {name}_c),
+{name}_k AS (SELECT {by}, docs, top, unnest(range(CAST(200 * (upto - n) // docs AS BIGINT) + 1, 200 * upto // docs + 1)) AS step FROM {name}_u),
+{name}_w AS (SELECT *, max(top) OVER (PARTITION BY {by} ORDER BY step ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS ahead,
+  min(top) OVER (PARTITION BY {by} ORDER BY step ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS behind FROM {name}_k),
+{name} AS (SELECT {by}, max(docs) AS docs, min_by((top + ahead) / 2, step) FILTER (step >= 100 AND ahead - top > rise) AS high,
+  max_by((top + behind) / 2, step) FILTER (step <= 100 AND top - behind > rise) AS low FROM {name}_w GROUP BY {by})"""
 
 
 _OP1_SQL = rf"""
@@ -60,23 +63,21 @@ m AS (SELECT w.doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(le
   FROM w LEFT JOIN cov USING (doc_id)),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
 e AS (SELECT doc_id, lang, source, base_failed, unnest({_RULES_SQL}) AS r FROM b),
-v AS (SELECT doc_id, lang, source, base_failed, r.rule AS rule, CAST(r.v AS BIGINT) AS v, r.slack AS slack, r.low AS low FROM e),
-sketch AS (SELECT lang, source, rule, count(*) AS n, max(v) AS top,
+v AS (SELECT doc_id, lang, source, base_failed, r.rule AS rule, CAST(r.v AS BIGINT) AS v, r.rise AS rise, r.low AS low FROM e),
+sketch AS (SELECT lang, source, rule, rise, count(*) AS n, max(v) AS top,
     CASE WHEN v < 64 THEN v ELSE 64 + (length(bin(v)) - 7) * 32 + (v >> CAST(length(bin(v)) - 6 AS BIGINT)) - 32 END AS bucket
   FROM v WHERE NOT base_failed GROUP BY ALL),
-{_quartiles_sql("own", "lang, source")},
-{_quartiles_sql("per", "lang")},
-{_quartiles_sql("every", "")},
+{_breaks_sql("own", "lang, source")},
+{_breaks_sql("per", "lang")},
+{_breaks_sql("every", "")},
 q AS (SELECT own.lang, own.source, own.rule,
-    CASE WHEN own.docs >= 200 THEN own.q1 WHEN per.docs >= 200 THEN per.q1 ELSE every.q1 END AS q1,
-    CASE WHEN own.docs >= 200 THEN own.q2 WHEN per.docs >= 200 THEN per.q2 ELSE every.q2 END AS q2,
-    CASE WHEN own.docs >= 200 THEN own.q3 WHEN per.docs >= 200 THEN per.q3 ELSE every.q3 END AS q3
+    CASE WHEN own.docs >= 200 THEN own.high WHEN per.docs >= 200 THEN per.high ELSE every.high END AS high,
+    CASE WHEN own.docs >= 200 THEN own.low WHEN per.docs >= 200 THEN per.low ELSE every.low END AS low
   FROM own JOIN per ON own.lang IS NOT DISTINCT FROM per.lang AND own.rule = per.rule JOIN every ON own.rule = every.rule),
 f AS (SELECT v.doc_id, string_agg(v.rule, ',' ORDER BY list_position(['symbols', 'marks', 'capitals', 'echoes', 'dup_lines',
     'repeats', 'long_words', 'short_words'], v.rule)) AS broken
   FROM v JOIN q ON v.lang IS NOT DISTINCT FROM q.lang AND v.source IS NOT DISTINCT FROM q.source AND v.rule = q.rule
-  WHERE NOT base_failed AND CASE WHEN low THEN v < q2 - greatest(6 * (q3 - q1), slack)
-    ELSE v > q2 + greatest(6 * (q3 - q1), slack) END GROUP BY v.doc_id)
+  WHERE NOT base_failed AND CASE WHEN v.low THEN v < q.low ELSE v > q.high END GROUP BY v.doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND broken IS NULL AS kept, coalesce(broken, '') AS broken FROM b LEFT JOIN f USING (doc_id)"""
 

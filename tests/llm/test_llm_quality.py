@@ -31,8 +31,8 @@ def test_base_counts(spark, docs, rows, as_table):
     assert not any(r.kept for r in got if r.base_failed)
 
 
-def quartile(values, k):
-    """Largest value of the bucket in which the k-th quarter ends."""
+def high(values, rise):
+    """Middle of the first rise of the 200-quantiles above the median."""
 
     def bucket(v):
         if v < 64:
@@ -40,38 +40,56 @@ def quartile(values, k):
         e = v.bit_length() - 6
         return 64 + (e - 1) * 32 + (v >> e) - 32
 
-    cells = {}
-    for v in values:
-        n, top = cells.get(bucket(v), (0, 0))
-        cells[bucket(v)] = (n + 1, max(top, v))
-    upto = 0
-    for b in sorted(cells):
-        upto += cells[b][0]
-        if 4 * upto >= k * len(values):
-            return cells[b][1]
+    top = {b: max(v for v in values if bucket(v) == b) for b in map(bucket, values)}
+    values = sorted(values)
+    q = [top[bucket(values[-(-k * len(values) // 200) - 1])] for k in range(1, 201)]
+    for k in range(99, 200):
+        if q[min(k + 2, 199)] - q[k] > rise:
+            return (q[k] + q[min(k + 2, 199)]) / 2
+    return float("inf")
+
+
+def corpus(spark, rows):
+    distinct = [(d, g, s, " ".join(f"{w}{k % 9}{k}" for k, w in enumerate(t.split()))) for d, g, s, t in rows]
+    return spark.createDataFrame(distinct, "doc_id long, lang string, source string, text string")
 
 
 def test_limits_follow_the_group(spark):
     plain = "word " * 40
     rows = [(i, "en", "a", f"{plain} {'#' * (i % 5)} w{i}") for i in range(60)]
     rows += [(100 + i, "en", "b", f"{plain} {'#' * (60 + i % 7)} w{i}") for i in range(60)]
-    rows += [(200, "en", "a", f"{plain} {'#' * 90}"), (201, "en", "b", f"{plain} {'#' * 90}")]
-    rows += [(202, "en", "small", f"{plain} x")]
-    distinct = [(d, g, s, " ".join(f"{w}{k % 9}{k}" for k, w in enumerate(t.split()))) for d, g, s, t in rows]
-    docs = spark.createDataFrame(distinct, "doc_id long, lang string, source string, text string")
+    rows += [(200, "en", "a", f"{plain} {'#' * 68}"), (201, "en", "b", f"{plain} {'#' * 68}")]
+    rows += [(202, "en", "small", f"{plain} x"), (203, "en", "b", f"{plain} {'#' * 200}")]
     rule = [r for r in quality.rules() if r.name == "symbols"]
-    judged = quality.judge(docs, ["doc_id", "source"], rule, min_docs=50).collect()
+    judged = quality.judge(corpus(spark, rows), ["doc_id", "source"], rule, min_docs=50).collect()
     value = {r._row.doc_id: 1000 * r.n_symbols // r.word_chars for r in judged}
     for source in ("a", "b"):
-        own = [value[r._row.doc_id] for r in judged if r._row.source == source and not r.base_failed]
-        q1, q2, q3 = (quartile(own, k) for k in (1, 2, 3))
-        limit = q2 + max(6 * (q3 - q1), 40)
+        limit = high([value[r._row.doc_id] for r in judged if r._row.source == source and not r.base_failed], 40)
         for r in judged:
             if r._row.source == source and not r.base_failed:
                 assert r.kept == (value[r._row.doc_id] <= limit)
     kept = {r._row.doc_id: r.kept for r in judged}
     assert not kept[200] and kept[201]  # as many symbols, but usual in its source
     assert kept[202]  # a small source takes the sketch of its language
+    assert not kept[203]
+
+
+def test_a_part_that_breaks_away_goes_however_large(spark):
+    plain = "word " * 40
+    rows = [(i, "en", "a", f"{plain} {'#' * (i % 2)} w{i}") for i in range(210)]
+    rows += [(300 + i, "en", "a", f"{plain} {'#' * (90 + i)} w{i}") for i in range(60)]
+    rule = [r for r in quality.rules() if r.name == "symbols"]
+    kept = {r._row.doc_id: r.kept for r in quality.judge(corpus(spark, rows), ["doc_id"], rule).collect()}
+    assert all(kept[i] == (i < 300) for i in kept)
+
+
+def test_words_shorter_than_all_others_go(spark):
+    text = lambda w, i: " ".join(f"{w}{chr(97 + (k * 7 + i) % 26)}" for k in range(60))
+    rows = [(i, "en", "a", text("wonder", i)) for i in range(230)] + [(300 + i, "en", "a", text("o", i)) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, source string, text string")
+    rule = [r for r in quality.rules() if r.low]
+    kept = {r._row.doc_id: r.kept for r in quality.judge(docs, ["doc_id"], rule, repeat_percent=100).collect()}
+    assert all(kept[i] == (i < 300) for i in kept)
 
 
 def test_keep_good(crowded, docs, none):
