@@ -7,6 +7,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from evenhand.operators import explain as E, mitigate as G
+from evenhand.session import sized_broadcast
 
 K = ["model_id"]
 
@@ -166,3 +167,11 @@ def test_importance_ranks(spark):
     summary = E.attribution_summary(values, K, 2, "x").first()
     assert summary["top_features"] == ["y_score", "x"] and summary["rows_explained"] == 200
     assert summary["sensitive_rank"] == 2 and summary["mean"] == pytest.approx(0.0, abs=1e-9)
+
+
+def test_large_keyed_tables_are_never_broadcast(spark):
+    few, many = spark.range(4), spark.range(9).select("id", F.explode(F.array(*map(F.lit, range(8)))).alias("k"))
+    for most, broadcast in ((3, False), (4, True)):
+        joined = many.join(sized_broadcast(few, "few", most), "id")
+        assert joined.count() == 32
+        assert ("BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString()) is broadcast
