@@ -7,6 +7,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from evenhand.operators import explain as E, mitigate as G
+from evenhand.queries import mitigation
 from evenhand.session import sized_broadcast
 
 K = ["model_id"]
@@ -175,3 +176,11 @@ def test_large_keyed_tables_are_never_broadcast(spark):
         joined = many.join(sized_broadcast(few, "few", most), "id")
         assert joined.count() == 32
         assert ("BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString()) is broadcast
+
+
+def test_background_copies_are_made_and_judged_in_place(spark, tmp_path):
+    rows = [(k, float(k * 100 - 300)) for k in range(1, 8)]
+    spark.createDataFrame(rows, "c_custkey long, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    out = mitigation.background_copies(spark, str(tmp_path))
+    assert sorted(map(tuple, out.collect())) == [(k, 50, True) for k, _ in rows]
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
