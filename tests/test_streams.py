@@ -1,7 +1,10 @@
 import datetime as dt
 import json
+import random
+import types
 import uuid
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -217,3 +220,48 @@ def test_settled_messages_are_forgotten(spark):
     rows = spark.read.parquet(f"{base}/out").where("message_id = 'a'").collect()
     assert [r.attempt for r in rows] == [1, 1]
     assert [redelivery.delay(k) for k in (1, 2, 7, 40)] == [10, 20, 600, 600]
+
+
+class _Kept:
+    """A value and timers as a state keeps them."""
+
+    def __init__(self):
+        self.value, self.timers = None, set()
+        self.exists, self.get = lambda: self.value is not None, lambda: self.value
+        self.registerTimer, self.deleteTimer = self.timers.add, self.timers.remove
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+
+def test_one_call_settles_many_messages():
+    rng = random.Random(3)
+    kept, now = _Kept(), types.SimpleNamespace(getCurrentWatermarkInMs=lambda: 0)
+    bucket = redelivery.Attempts(5, 7200)
+    bucket.init(kept)
+    known = {}
+    for batch in range(4):
+        rows = [(rng.choice([None, *"abcdefgh"]), f"{batch}-{k}", START + dt.timedelta(minutes=60 * batch, seconds=rng.randrange(3000), milliseconds=k), rng.random() < 0.85) for k in range(25)]
+        frame = pd.DataFrame(rows, columns=["message_id", "raw", "at", "failed"])
+        (out,) = bucket.handleInputRows((0,), iter([frame[:10], frame[10:]]), now)
+        want = {}
+        for name, raw, at, failed in sorted(rows, key=lambda r: r[2]):
+            n, settled = known.get(name, (0, False))
+            outcome, due = "duplicate", None
+            if not settled:
+                n += 1
+                outcome = "accepted" if not failed else "dead" if n == 5 else "retry"
+                due = at + dt.timedelta(seconds=redelivery.delay(n)) if outcome == "retry" else None
+            known[name] = (n, settled or outcome in ("accepted", "dead"))
+            want[raw] = (name, outcome, n, due)
+        due = [None if pd.isna(x) else x.to_pydatetime() for x in out["due_at"]]
+        assert dict(zip(out["raw"], zip(out["message_id"], out["outcome"], out["attempt"], due))) == want
+        assert len(kept.timers) == 1
+    late = types.SimpleNamespace(getCurrentWatermarkInMs=lambda: max(kept.value[3]) + 1)
+    assert list(bucket.handleExpiredTimer((0,), late, None)) == [] and kept.value is None
