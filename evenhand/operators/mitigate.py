@@ -66,6 +66,8 @@ def value_runs(rows: DataFrame, keys, attribute: str, feature: str) -> DataFrame
         .groupBy(*ids, "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    # rows are counted once: sorting into ranges and sizes both start from the values
+    values = materialize(values, "values")
     dealt = values.repartitionByRange(*ids, "value").withColumn("cell", F.spark_partition_id())
     runs = prefix_totals(materialize(dealt, "value-cells"), ids, ["value"], {"start": "n"}, "cell")
     sizes = sized_broadcast(values.groupBy(*ids).agg(F.sum("n").alias("group_n")), "group-sizes")
@@ -109,6 +111,8 @@ def disparate_impact_repair(
     targets = repaired_values(value_runs(rows, keys, attribute, feature), keys).select(
         *[F.col(k).alias(f"_q_{k}") for k in keys], F.col("group_value").alias("_q_group"), F.col("value").alias("_q_value"), "target"
     )
+    # rows look their value up among the targets of its part, without being sorted
+    targets = materialize(targets, "repair-targets").hint("shuffle_hash")
     x = F.col(feature).cast("double")
     match = [F.col(k) == F.col(f"_q_{k}") for k in keys]
     match += [group_text(attribute) == F.col("_q_group"), x == F.col("_q_value")]

@@ -1,3 +1,4 @@
+import datetime as dt
 import itertools
 
 import numpy as np
@@ -184,3 +185,18 @@ def test_background_copies_are_made_and_judged_in_place(spark, tmp_path):
     out = mitigation.background_copies(spark, str(tmp_path))
     assert sorted(map(tuple, out.collect())) == [(k, 50, True) for k, _ in rows]
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_impact_repair_joins_the_tables_once(spark, tmp_path):
+    lines = [(k, k, k, 1, 10.0 + k, float(k % 20), 0.05, 0.04, "OF"[k % 2], dt.date(1995, 1, 1 + k % 28)) for k in range(80)]
+    schema = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double"
+    spark.createDataFrame(lines, f"{schema}, l_discount double, l_tax double, l_linestatus string, l_shipdate date").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k, k // 2 % 5) for k in range(80)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(k, "M") for k in range(5)], "c_custkey long, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    out = mitigation.impact_repair(spark, str(tmp_path))
+    assert not [f for f in out.inputFiles() if "lineitem" in f]
+    seen = {(r.model_id, r.sex): (r.n, r.mean_before) for r in out.collect()}
+    groups = {}
+    for k, *_, price, _, _, status, _ in lines:
+        groups.setdefault((f"model-{status.lower()}", "Male" if k // 2 % 5 % 2 == 0 else "Female"), []).append(price)
+    assert seen == {g: (len(x), pytest.approx(sum(x) / len(x), abs=1e-4)) for g, x in groups.items()}
