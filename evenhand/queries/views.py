@@ -101,10 +101,15 @@ s AS (
 )
 
 
+def quarter_start(at) -> F.Column:
+    """First month of a time's quarter as year-month; a date's own text needs no formatter."""
+    day = F.trunc(at, "quarter").cast("string")
+    return F.left(day, F.length(day) - 3)
+
+
 def by_quarter(spark: SparkSession, folder: str) -> DataFrame:
     """Predictions with the first month of the quarter they fall in."""
-    month = F.date_format(F.date_trunc("quarter", "ts"), "yyyy-MM")
-    return predictions(spark, folder).withColumn("month", month)
+    return predictions(spark, folder).withColumn("month", quarter_start("ts"))
 
 
 # The same rows with the quarter inside the key, so that one SQL audits models and quarters.

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from evenhand import schemas
 from evenhand.operators import report as C, slices as S, cube
 from evenhand.plans import audit as A, views
+from evenhand.queries.views import quarter_start
 from evenhand.schemas import BIAS_AUDITS
 from evenhand.session import scratch_dir
 from evenhand.sources import sinks
@@ -215,3 +216,12 @@ def test_absent_attributes_are_named(spark, caplog):
     with caplog.at_level("WARNING", logger="evenhand"):
         assert A.cube.present_attributes(rows, ["sex", "missing"]) == ["sex"]
     assert "missing" in caplog.text
+
+
+def test_quarters_are_named_without_a_formatter(spark):
+    at = F.explode(F.expr("sequence(timestamp'1969-11-30 23:59:59', timestamp'1973-01-02 00:00:00', interval 17 hours)"))
+    times = spark.range(1).select(at.alias("ts")).unionByName(spark.sql("SELECT CAST(NULL AS timestamp) AS ts"))
+    named = times.select("ts", quarter_start("ts").alias("month"))
+    for r in named.collect():
+        assert r.month == (r.ts and f"{r.ts.year:04d}-{(r.ts.month - 1) // 3 * 3 + 1:02d}")
+    assert "date_format" not in named._jdf.queryExecution().optimizedPlan().toString()
