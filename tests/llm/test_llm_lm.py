@@ -158,3 +158,45 @@ def test_order_of_words_counts(spark):
         assert got[i].score > got[j].score + 1  # the same words, in the order of the training texts
 
 
+
+
+def test_passages_are_found_in_other_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 40, int(rng.integers(0, 90)))) for _ in range(60)]
+    texts = [texts[int(k)] for k in rng.integers(0, 60, 120)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    whole = {r.doc_id: r for r in lm.scores(docs).collect()}
+    for size in (100, 700):
+        monkeypatch.setattr(lm, "BLOCK_TOKENS", size)
+        parts = {r.doc_id: r for r in lm.scores(docs).collect()}
+        assert all(abs(whole[i].score - parts[i].score) < 1e-6 for i in range(120))
+
+
+def test_blocks_ask_and_tell_all_that_a_plain_search_finds():
+    rng = np.random.default_rng(7)
+    words = [b"", *(b"w%d" % k for k in range(1, 5))]
+    flat = lambda x: (np.concatenate(x), np.repeat(np.arange(len(x), dtype=np.int32), [len(d) for d in x]))
+    for _ in range(40):
+        docs = [rng.integers(0, 5, int(rng.integers(1, 30))) for _ in range(12)]
+        train = rng.random(12) < 0.5
+        tokens, doc = flat(docs)
+        want = lm.hits(tokens, doc, train[doc])
+        rows = []
+        for b in range(4):
+            t, d = flat(docs[3 * b : 3 * b + 3])
+            rows += [(k, b, x, p) for k, x, p in lm._contexts(t, d, train[3 * b : 3 * b + 3][d], words)]
+        far = [[] for _ in range(4)]
+        for bucket in {r[0] for r in rows}:
+            own = [r for r in rows if r[0] == bucket]
+            data = np.concatenate([np.frombuffer(r[2], np.uint8) for r in own]).reshape(-1, lm.PAIR_BYTES + lm.NEXT_BYTES)
+            steps = [lm.unpacked(r[3]) for r in own]
+            found = iter(lm._answered(data, np.concatenate(steps) & 3))
+            for r, s in zip(own, steps):
+                far[r[1]] += [(p, a == 2) for p, a in zip(np.cumsum(s >> 2), found) if a]
+        got = []
+        for b in range(4):
+            t, d = flat(docs[3 * b : 3 * b + 3])
+            place, hit = (np.array(x) for x in zip(*far[b])) if far[b] else (np.zeros(0, int), np.zeros(0, bool))
+            got.append(lm.hits(t, d, train[3 * b : 3 * b + 3][d], (place, hit)))
+        for k in range(2):
+            assert (np.concatenate([g[k] for g in got]) == want[k]).all()
