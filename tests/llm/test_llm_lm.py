@@ -2,6 +2,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 
@@ -200,3 +201,37 @@ def test_blocks_ask_and_tell_all_that_a_plain_search_finds():
             got.append(lm.hits(t, d, train[3 * b : 3 * b + 3][d], (place, hit)))
         for k in range(2):
             assert (np.concatenate([g[k] for g in got]) == want[k]).all()
+
+
+def test_word_pairs_are_not_written_as_a_table(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    words = [a + b for a in "abcdefghijklmnopqrst" for b in "abcdefghijklmnopqrst"]
+    texts = [" ".join(rng.choice(words, 400)) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    folder = Path(lm.scratch_dir(spark).removeprefix("file:"))
+    used = lambda: sum(f.stat().st_size for f in folder.rglob("*") if f.is_file())
+    answers, sizes, before = lm._answers, [], used()
+    monkeypatch.setattr(lm, "_answers", lambda pairs: sizes.append(used() - before) or answers(pairs))
+    lm._told(docs)
+    assert len(sizes) == lm.ROUNDS
+    assert max(sizes) < 1.2 * sum(map(len, texts))  # the pairs are four times as large as the texts
+
+
+def test_rounds_share_all_pairs_of_a_block():
+    rng = np.random.default_rng(9)
+    words = [b"", *(b"w%d" % k for k in range(1, 30))]
+    for n in (0, 1, 5, 3000):
+        tokens = rng.integers(0, 30, n).astype(np.int32)
+        doc = np.sort(rng.integers(0, 1 + n // 50, n)).astype(np.int32)
+        train = (rng.random(1 + n // 50) < 0.5)[doc]
+        rounds = [list(lm._contexts(tokens, doc, train, words, k)) for k in range(lm.ROUNDS)]
+        assert all(b % lm.ROUNDS == k for k, rows in enumerate(rounds) for b, _, _ in rows)
+        assert sorted(r for rows in rounds for r in rows) == list(lm._contexts(tokens, doc, train, words))
+
+
+def test_pairs_of_very_many_words():
+    rng = np.random.default_rng(10)
+    tokens, doc = rng.integers(0, 6, 500), np.sort(rng.integers(0, 9, 500))
+    train = (rng.random(9) < 0.5)[doc]
+    few, many = (lm._pairs(tokens * by, doc, train) for by in (1, 1 << 27))  # the second does not fit one number
+    assert all((x == y).all() for x, y in zip(few, many))
