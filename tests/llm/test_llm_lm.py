@@ -1,3 +1,4 @@
+import itertools
 import math
 import re
 import zlib
@@ -235,3 +236,25 @@ def test_pairs_of_very_many_words():
     train = (rng.random(9) < 0.5)[doc]
     few, many = (lm._pairs(tokens * by, doc, train) for by in (1, 1 << 27))  # the second does not fit one number
     assert all((x == y).all() for x, y in zip(few, many))
+
+
+def test_blocks_hold_all_texts_and_end_at_their_bounds(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 200, int(rng.integers(0, 40)))) for _ in range(60)]
+    docs = spark.createDataFrame([(i, t or None) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    for most, distinct, least in ((100, 300_000, 8), (1 << 20, 50, 8), (200, 60, 6), (1 << 20, 300_000, 1)):
+        monkeypatch.setattr(lm, "BLOCK_TOKENS", most)
+        monkeypatch.setattr(lm, "BLOCK_WORDS", distinct)
+        got, rows = [], lm._blocks(docs).collect()
+        assert len(rows) >= least
+        for r in rows:
+            words, ids, begin = bytes(r.words).split(b" "), lm.unpacked(r.ids), np.cumsum([0, *r.sizes])
+            own = [[words[k] for k in ids[a:z]] for a, z in zip(begin, begin[1:])]
+            assert words[0] == b"" and len(set(words)) == len(words) == len(set().union(*own))
+            assert r.n_bytes == [sum(len(w) + 1 for w in x) for x in own]
+            train = Counter(w for i, x in zip(r.doc_ids, own) if not lm.held(i) for w in x)
+            assert [train[w] for w in words] == lm.unpacked(r.counts).tolist()
+            full = lambda x: sum(map(len, x)) >= most or len({b"", *itertools.chain(*x)}) >= distinct
+            assert not full(own[:-1]) and (full(own) or r is rows[-1])
+            got += [*zip(r.doc_ids, r.held, own)]
+        assert got == [(i, lm.held(i), [w.encode() for w in tokens(t)]) for i, t in enumerate(texts)]
